@@ -35,6 +35,19 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+class _Numbers(dict):
+    """Pieces numbered in the order in which they are first looked up; ``new`` has those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = number = len(self)
+        return number
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without added special tokens."""
 
@@ -64,8 +77,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.chars = 0
+        self.number, self.chars = _Numbers(), 0
         self.ids, self.first, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -76,34 +88,41 @@ class Encoder:
         encoding = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         return np.array(encoding.ids, np.int32), np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(pieces))
 
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_split_pieces``; pieces that begin with a space are encoded as one running text, which is quicker."""
+        ids = self._plain(["".join(pieces)])[0]
+        begins = np.flatnonzero(self.after_space[ids])
+        if len(begins) == len(pieces) and begins[0] == 0:
+            return ids, np.diff(begins, append=len(ids))
+        return self._split_pieces(pieces)
+
     def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pieces. Those that begin with a space are encoded as one running text."""
-        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        others = [p for p in pieces if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
-        for known, running in ((spaced, True), (others, False)):
-            for at in range(0, len(known), 20_000):
-                some = known[at : at + 20_000]
-                ids = lengths = None
-                if running:
-                    ids = self._plain(["".join(some)])[0]
-                    begins = np.flatnonzero(self.after_space[ids])
-                    lengths = np.diff(begins, append=len(ids)) if len(begins) == len(some) and begins[0] == 0 else None
-                if lengths is None:
-                    ids, lengths = self._split_pieces(some)
-                self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lengths) - lengths])
-                self.length = np.concatenate([self.length, lengths])
-                self.ids = np.concatenate([self.ids, ids])
-                self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+        """Remember the ids of new pieces, which have the numbers after those known."""
+        running = np.fromiter((len(p) > 1 and p[0] == " " and p[1] > " " for p in pieces), bool, len(pieces))
+        lengths, found = np.zeros(len(pieces), np.int64), [None, None]
+        for k, how in ((0, self._split_pieces), (1, self._encode_pieces)):
+            places = np.flatnonzero(running == k)
+            some = [pieces[i] for i in places.tolist()]
+            parts = [how(some[at : at + 20_000]) for at in range(0, len(some), 20_000)]
+            if parts:
+                lengths[places] = np.concatenate([n for _, n in parts])
+                found[k] = np.concatenate([ids for ids, _ in parts])
+        flat = np.empty(lengths.sum(), np.int32)
+        for k in (0, 1):
+            if found[k] is not None:
+                flat[np.repeat(running == k, lengths)] = found[k]
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.ids = np.concatenate([self.ids, flat])
 
     def _by_piece(self, texts: list[str]) -> list[np.ndarray]:
-        found = [PIECES.findall(t) for t in texts]
-        new = set().union(*found).difference(self.number)
-        if len(self.number) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(self.number) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
-            new = set().union(*found)
-        self.chars += sum(map(len, new))
-        self._learn(list(new))
+        found = [PIECES.findall(t) for t in texts]
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64)
+        new, self.number.new = self.number.new, []
+        self.chars += sum(map(len, new))
+        self._learn(new)
         lengths = self.length[numbers]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
