@@ -156,3 +156,14 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(at, os.path.relpath(at, root))
     spark.sparkContext.addPyFile(archive)
     _SHIPPED.add(app)
+
+
+#: Rows of whole texts that go to a Python worker at once, where the session has Spark's default.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold fewer rows than Spark's default: rows of texts are wide, and a worker holds a batch or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
