@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eigenloom.llm.text import body
+from eigenloom.session import text_batches
 
 THRESHOLD = 0.8
 #: Usual licence notices by SPDX-like id.
@@ -126,6 +127,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``license`` and ``dice`` are the best match's; ``matches`` is an array of
     (start, end, license, dice) with character offsets.
     """
+    text_batches(docs.sparkSession)
     kind = "array<struct<start: long, end: long, license: string, dice: double>>"
 
     @F.pandas_udf(kind)

@@ -38,7 +38,7 @@ from pyspark.sql.types import LongType
 
 from eigenloom.llm.components import connected_components
 from eigenloom.llm.text import body
-from eigenloom.session import free_name, join_checked, materialise
+from eigenloom.session import free_name, join_checked, materialise, text_batches
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -140,6 +140,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     two bits; the keeper is the row that stands for the component: of its
     smallest id, that with the smallest content hash.
     """
+    text_batches(docs.sparkSession)
     rows = materialise(
         docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"), simhash(F.col(text_col)).alias("fp")),
         "simhash-rows",

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from eigenloom.llm.encoder import encoder, file_digest
 from eigenloom.llm.text import body
-from eigenloom.session import path_exists
+from eigenloom.session import path_exists, text_batches
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_bytes long, n_tokens long"
 OVER = 512
@@ -58,6 +58,7 @@ def _counter(path: str):
 def fill_cache(docs: DataFrame, cache: str, tokenizer: str, *, text_col: str = "text") -> None:
     """Encode what the cache lacks of ``docs``' contents and append it."""
     spark, version = docs.sparkSession, file_digest(tokenizer)
+    text_batches(spark)
     distinct = docs.select(content_digest(text_col).alias("content"), body(text_col).alias("text")).groupBy("content").agg(F.first("text").alias("text"))
     known = cached_counts(spark, cache, version) if path_exists(spark, cache) else None
     misses = distinct if known is None else distinct.join(known, "content", "left_anti")

@@ -38,7 +38,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from eigenloom.llm.encoder import encoder
 from eigenloom.llm.text import body
-from eigenloom.session import join_checked, planned_partitions
+from eigenloom.session import join_checked, planned_partitions, text_batches
 
 END_ID = 2
 CHUNK_IDS = 1 << 18
@@ -169,6 +169,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "do
 
     Equal ids are ranged on by a hash of their content, so no id is too large for a task.
     """
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = texts.repartitionByRange(planned_partitions(texts), *order).sortWithinPartitions(*order)

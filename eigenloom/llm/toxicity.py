@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from eigenloom.llm.text import body
-from eigenloom.session import join_checked, materialise
+from eigenloom.session import join_checked, materialise, text_batches
 
 ORDER = 4
 SYMBOLS = 32
@@ -221,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     fitted with.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.select("doc_id", "toxic", fold_of(F.col("doc_id")).alias("fold")).filter("fold <> 1")
     group = F.when(F.col("fold") == 0, F.when(F.col("toxic") == 1, 1).otherwise(2)).otherwise(F.when(F.col("toxic") == 1, 3).otherwise(4))
