@@ -1,3 +1,673 @@
-"""Queries of the library's operators, with their SQL."""
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries of the library's operators over the test tables, with SQL where SQL can say the same.
+
+``embeddings`` serves as the feature table: domain ``vec_id % 5``, pair
+``vec_id // 5``, group ``vec_id // 25``, and half a unit added to the element of
+the row's domain, so that domains differ.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eigenloom.functions import names
+from eigenloom.functions import vectors as V
+from eigenloom.operators import deltas as D
+from eigenloom.operators import erasers as E
+from eigenloom.operators import geometry as G
+from eigenloom.operators import images as I
+from eigenloom.operators import metrics as M
+from eigenloom.operators import moments as Mo
+from eigenloom.operators import probe as P
+from eigenloom.operators import splits as K
+from eigenloom.operators import stain as S
+from eigenloom.operators import summary as A
+from eigenloom.plans import experiments, grid
+from eigenloom.roles import Roles
+from eigenloom.sources.artifacts import rows_frame
+from eigenloom.streaming.moments import event_windows
+
+ROLES = Roles()
+TARGETS = ["t0", "t1", "t2", "t3"]
+DIM = 64
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+BASE = f"""
+WITH f AS (SELECT vec_id, label, (vec_id % 5)::VARCHAR AS domain, vec_id // 5 AS pair, vec_id // 25 AS grp, embedding FROM embeddings),
+e AS (
+  SELECT vec_id, label, domain, pair, grp, i, embedding[i + 1]::DOUBLE + (CASE WHEN i = vec_id % 5 THEN 0.5 ELSE 0 END)::DOUBLE AS v
+  FROM (SELECT *, unnest(range(0, {DIM})) AS i FROM f)),
+gm AS (SELECT grp, domain, i, avg(v) AS v FROM e GROUP BY grp, domain, i),
+pm AS (SELECT grp, pair, domain, i, avg(v) AS v FROM e GROUP BY grp, pair, domain, i),
+g2m AS (SELECT grp, domain, i, v - avg(v) OVER (PARTITION BY grp, i) AS v FROM gm),
+p2m AS (SELECT grp, pair, domain, i, v - avg(v) OVER (PARTITION BY grp, pair, i) AS v FROM pm)
+"""
+STAIN = f"""
+, t AS (SELECT unnest(range(0, 4)) AS target_index),
+s AS (
+  SELECT e.vec_id, e.grp, e.domain, target_index, 't' || target_index AS target_id, i,
+         v * (1 + 0.1::DOUBLE * (CASE WHEN i % 4 = target_index THEN target_index + 1 ELSE 0 END)) AS v, v AS x
+  FROM e, t)
+"""
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = F.transform(V.vec("embedding"), lambda v, i: v + F.when(i == F.col("vec_id") % 5, 0.5).otherwise(0.0))
+    return t.select("vec_id", F.col("label").cast("long").alias("label"), (F.col("vec_id") % 5).cast("string").alias("domain"), F.floor(F.col("vec_id") / 5).alias("pair"), F.floor(F.col("vec_id") / 25).alias("grp"), x.alias("x"))
+
+
+def stain(f: DataFrame) -> DataFrame:
+    """A synthetic stain table: every fourth element from the target's on is a tenth (times) larger."""
+    keys = S.stain_keys(f.select("vec_id", "grp", "domain", "pair", "x"), TARGETS, key="vec_id", slide="grp", domain="domain")
+    z = F.transform("source_x", lambda v, i: v * (1 + F.lit(0.1) * F.when(i % 4 == F.col("target_index"), F.col("target_index") + 1).otherwise(0)))
+    return keys.withColumn("z", z).drop("source_x")
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six places, without negative zeros; whole numbers as longs."""
+    def clean(c: str, kind: str):
+        return (F.round(c, 6) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind == "int" else F.col(c)
+
+    return df.select(*[clean(c, kind) for c, kind in df.dtypes])
+
+
+def query(sql: str | None = None):
+    """Register a function of (features, spark, sf_dir) under its name."""
+    def register(function):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return tidy(function(features(spark, sf_dir), spark, sf_dir))
+
+        QUERIES[function.__name__] = run
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def base(sql: str) -> str:
+    return BASE + sql
+
+
+def long(df: DataFrame, x: str, *keys: str) -> DataFrame:
+    return V.long_form(df, x, *keys)
+
+
+# Deltas
+
+
+@query(base("SELECT domain, round(avg(n), 6) AS mean_energy, count(*)::BIGINT AS n_deltas FROM (SELECT grp, domain, sum(v * v) AS n FROM g2m GROUP BY grp, domain) GROUP BY domain"))
+def delta_energy_by_domain(f, spark, sf_dir):
+    deltas = D.domain_deltas(f, ROLES)
+    return deltas.groupBy(F.col("domain_a").alias("domain")).agg(F.avg(V.squared_norm("delta")).alias("mean_energy"), F.count("*").alias("n_deltas"))
+
+
+@query(base("SELECT grp, domain, i, round(v, 6) + 0.0 AS v FROM gm"))
+def group_means(f, spark, sf_dir):
+    return long(D.domain_means(f, ["grp"], "domain", "x"), "mean", "grp", "domain")
+
+
+@query(base("SELECT grp, domain AS domain_a, i, round(v, 6) + 0.0 AS v FROM g2m"))
+def group_to_mean_deltas(f, spark, sf_dir):
+    return long(D.domain_deltas(f, ROLES), "delta", "grp", "domain_a")
+
+
+@query(base("SELECT a.grp, a.domain AS domain_a, b.domain AS domain_b, a.i, round(b.v - a.v, 6) + 0.0 AS v FROM gm a JOIN gm b ON a.grp = b.grp AND a.i = b.i AND a.domain < b.domain"))
+def group_pairwise_deltas(f, spark, sf_dir):
+    return long(D.domain_deltas(f, ROLES, "group_pairwise"), "delta", "grp", "domain_a", "domain_b")
+
+
+@query(base("SELECT grp, pair, domain AS domain_a, i, round(v, 6) + 0.0 AS v FROM p2m"))
+def pair_to_mean_deltas(f, spark, sf_dir):
+    return long(D.domain_deltas(f, ROLES, "pair_col_to_mean"), "delta", "grp", "pair", "domain_a")
+
+
+@query(base("SELECT a.grp, a.pair, a.domain AS domain_a, b.domain AS domain_b, round(sqrt(sum((b.v - a.v) * (b.v - a.v))), 6) AS norm FROM pm a JOIN pm b ON a.grp = b.grp AND a.pair = b.pair AND a.i = b.i AND a.domain < b.domain GROUP BY ALL"))
+def pair_pairwise_deltas(f, spark, sf_dir):
+    return D.domain_deltas(f, ROLES, "pair_col_pairwise").select("grp", "pair", "domain_a", "domain_b", V.norm("delta").alias("norm"))
+
+
+@query(base("SELECT grp, domain AS domain_a, s AS sign, i, round(v * s, 6) + 0.0 AS v FROM g2m, (VALUES (1::BIGINT), (-1::BIGINT)) AS signs(s)"))
+def sign_both_deltas(f, spark, sf_dir):
+    return long(D.domain_deltas(f, ROLES, sign_mode="both"), "delta", "grp", "domain_a", "sign")
+
+
+_DUP = """
+, d AS (SELECT *, (vec_id % 3)::VARCHAR AS dom FROM e),
+dm AS (SELECT pair, dom, i, avg(v) AS v FROM d GROUP BY pair, dom, i),
+dd AS (SELECT pair, dom, i, v - avg(v) OVER (PARTITION BY pair, i) AS v FROM dm)
+SELECT pair, dom AS domain_a, round(sum(v * v), 6) AS energy FROM dd GROUP BY pair, dom
+"""
+
+
+@query(base(_DUP))
+def duplicate_domain_deltas(f, spark, sf_dir):
+    own = f.withColumn("domain", (F.col("vec_id") % 3).cast("string"))
+    return D.domain_deltas(own, Roles(group="pair")).select("pair", "domain_a", V.squared_norm("delta").alias("energy"))
+
+
+_NULL = """
+, d AS (SELECT *, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE grp END AS g FROM e),
+dm AS (SELECT g, domain, i, avg(v) AS v FROM d WHERE g IS NOT NULL GROUP BY g, domain, i),
+dd AS (SELECT g, domain, i, v - avg(v) OVER (PARTITION BY g, i) AS v, count(*) OVER (PARTITION BY g, i) AS k FROM dm)
+SELECT g AS grp, domain AS domain_a, round(sum(v * v), 6) AS energy FROM dd WHERE k >= 2 GROUP BY g, domain
+"""
+
+
+@query(base(_NULL))
+def null_group_deltas(f, spark, sf_dir):
+    own = f.withColumn("grp", F.when(F.col("vec_id") % 11 != 0, F.col("grp")))
+    return D.domain_deltas(own, ROLES).select("grp", "domain_a", V.squared_norm("delta").alias("energy"))
+
+
+@query(base("SELECT a.pair, a.vec_id, a.domain, a.domain || '-0' AS delta_name, round(sqrt(sum((a.v - r.v) * (a.v - r.v))), 6) AS norm FROM e a JOIN e r ON a.pair = r.pair AND a.i = r.i AND r.domain = '0' WHERE a.domain <> '0' GROUP BY ALL"))
+def reference_domain_deltas(f, spark, sf_dir):
+    return D.reference_deltas(f, Roles(group="pair"), "0").select("pair", "vec_id", "domain", "delta_name", V.norm("delta").alias("norm"))
+
+
+@query(base("SELECT vec_id, round(sqrt(sum((v - m) * (v - m))), 6) AS norm FROM (SELECT *, avg(v) OVER (PARTITION BY grp, i) AS m FROM e) GROUP BY vec_id"))
+def group_centered_norms(f, spark, sf_dir):
+    return D.centre_by(f, ["grp"], "x").select("vec_id", V.norm("x").alias("norm"))
+
+
+@query(base("SELECT a.grp, a.pair, a.domain AS domain_a, b.domain AS domain_b, round(sqrt(sum((b.v - a.v) * (b.v - a.v))), 6) AS l2, round(sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v)) + 1e-8), 6) AS cosine FROM pm a JOIN pm b ON a.pair = b.pair AND a.i = b.i AND a.domain < b.domain GROUP BY ALL"))
+def paired_displacement(f, spark, sf_dir):
+    return D.displacement_pairs(f, ROLES, ["grp", "pair"])
+
+
+_DISPLACED = """
+, q AS (SELECT grp, domain, i, v, CASE WHEN i < 4 THEN 0 ELSE v END AS w FROM gm),
+d AS (
+  SELECT a.grp, a.domain AS domain_a, b.domain AS domain_b, sqrt(sum((b.v - a.v) * (b.v - a.v))) AS l2_raw, sqrt(sum((b.w - a.w) * (b.w - a.w))) AS l2_erased,
+         sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v)) + 1e-8) AS cosine_raw, sum(a.w * b.w) / (sqrt(sum(a.w * a.w)) * sqrt(sum(b.w * b.w)) + 1e-8) AS cosine_erased
+  FROM q a JOIN q b ON a.grp = b.grp AND a.i = b.i AND a.domain < b.domain GROUP BY ALL)
+SELECT domain_a, domain_b, count(*)::BIGINT AS n, round(avg(l2_raw), 6) AS l2_raw, round(avg(l2_erased), 6) AS l2_erased, round(avg(cosine_raw), 6) AS cosine_raw,
+       round(avg(cosine_erased), 6) AS cosine_erased, round(avg(l2_erased / (l2_raw + 1e-8)), 6) AS relative_l2_remaining, round(1 - avg(l2_erased / (l2_raw + 1e-8)), 6) AS fraction_l2_removed
+FROM d GROUP BY domain_a, domain_b
+"""
+
+
+@query(base(_DISPLACED))
+def displacement_before_and_after(f, spark, sf_dir):
+    erased = G.project(f, "x", np.eye(DIM)[:4])
+    return A.displacement_summary(D.displacement_pairs(f, ROLES), D.displacement_pairs(erased, ROLES), ["grp"])
+
+
+@query(base("SELECT a.grp, a.domain AS domain_a, b.domain AS domain_b, round(sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v)) + 1e-8), 6) AS cosine FROM g2m a JOIN g2m b ON a.grp = b.grp AND a.i = b.i AND a.domain < b.domain GROUP BY ALL"))
+def delta_cosine_consistency(f, spark, sf_dir):
+    return G.delta_consistency(D.domain_deltas(f, ROLES), ["grp"], "domain_a", "delta")
+
+
+@query(base("SELECT event_type AS domain_a, user_id, round(m - avg(m) OVER (PARTITION BY user_id), 6) + 0.0 AS v FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS k FROM (SELECT user_id, event_type, avg(value) AS m FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL)) WHERE k >= 2"))
+def event_deltas(f, spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("x", F.array("value"))
+    deltas = D.domain_deltas(events, Roles(domain="event_type", group="user_id", pair=None))
+    return deltas.select("domain_a", "user_id", F.get("delta", F.lit(0)).alias("v"))
+
+
+_COMPLETE = """
+, k AS (SELECT *, (CASE WHEN vec_id % 5 = 4 AND grp % 2 = 1 THEN '3' ELSE domain END) AS dom FROM e),
+c AS (SELECT dom FROM k GROUP BY dom HAVING count(DISTINCT grp) = (SELECT count(DISTINCT grp) FROM k)),
+g AS (SELECT grp, i, avg(v) AS v FROM k WHERE dom IN (SELECT dom FROM c) GROUP BY grp, i),
+m AS (SELECT grp, dom, i, avg(v) AS v FROM k WHERE dom IN (SELECT dom FROM c) GROUP BY grp, dom, i)
+SELECT m.grp, m.dom AS domain, round(sqrt(sum((m.v - g.v) * (m.v - g.v))), 6) AS norm FROM m JOIN g ON m.grp = g.grp AND m.i = g.i GROUP BY m.grp, m.dom
+"""
+
+
+@query(base(_COMPLETE))
+def complete_domain_deltas(f, spark, sf_dir):
+    own = f.withColumn("domain", F.when((F.col("vec_id") % 5 == 4) & (F.col("grp") % 2 == 1), "3").otherwise(F.col("domain")))
+    return D.complete_group_means(own, ROLES).select("grp", "domain", V.norm("delta").alias("norm"))
+
+
+_SYNTHETIC = """
+, w AS (SELECT * FROM (VALUES ('0', 1.0::DOUBLE, 0.2::DOUBLE), ('1', 0.0, 0.2), ('2', 0.0, 0.1), ('3', 0.0, 0.4), ('4', 0.0, 0.1)) AS w(domain, w0, w1)),
+g AS (SELECT grp, i, avg(v) AS v FROM e GROUP BY grp, i),
+m AS (SELECT gm.grp, gm.i, sum(w0 * (gm.v - g.v)) AS d0, sum(w1 * (gm.v - g.v)) AS d1, max(g.v) AS g FROM gm JOIN g ON gm.grp = g.grp AND gm.i = g.i JOIN w ON gm.domain = w.domain GROUP BY gm.grp, gm.i)
+SELECT grp, synthetic, round(sqrt(sum(x * x)), 6) AS norm FROM (SELECT grp, 0::BIGINT AS synthetic, g + d0 AS x FROM m UNION ALL SELECT grp, 1, g + d1 FROM m) GROUP BY grp, synthetic
+"""
+
+
+@query(base(_SYNTHETIC))
+def synthetic_domains(f, spark, sf_dir):
+    weights = np.array([[1, 0, 0, 0, 0], [0.2, 0.2, 0.1, 0.4, 0.1]])
+    made = D.synthetic_mixtures(D.complete_group_means(f, ROLES), ROLES, weights, list("01234"))
+    return made.select("grp", "synthetic", V.norm("x").alias("norm"))
+
+
+@query()
+def synthetic_pca_domains(f, spark, sf_dir):
+    space = G.pca_of(Mo.collect_moments(D.domain_deltas(f, ROLES), "delta")["default"], 4)
+    groups = f.groupBy("grp").agg(V.mean_of("x").alias("group_mean"))
+    made = D.synthetic_coordinates(groups, ROLES, space.components, np.full(4, 0.1), n=3, seed=1)
+    return made.select("grp", "synthetic", V.norm("x").alias("norm"))
+
+
+# Stain tables
+
+
+@query("""
+WITH f AS (SELECT vec_id, (vec_id % 5)::VARCHAR AS domain, vec_id // 5 AS pair, vec_id // 25 AS grp FROM embeddings), t AS (SELECT unnest(range(0, 4)) AS target_index)
+SELECT vec_id AS source_row_index, grp AS source_grp, domain AS source_domain, vec_id::VARCHAR AS source_id, grp::VARCHAR AS source_slide_id, domain AS source_scanner_id,
+       pair::VARCHAR AS source_pair_id, target_index, 't' || target_index AS target_id FROM f, t
+""")
+def stain_cross_join(f, spark, sf_dir):
+    keys = S.stain_keys(f.select("vec_id", "grp", "domain", "pair"), TARGETS, key="vec_id", slide="grp", domain="domain", pair="pair")
+    return keys.select("source_row_index", "source_grp", "source_domain", "source_id", "source_slide_id", "source_scanner_id", "source_pair_id", "target_index", "target_id")
+
+
+@query(base(STAIN + "SELECT vec_id AS source_row_index, target_id AS label, round(sqrt(sum((v - x) * (v - x))), 6) AS norm FROM s GROUP BY ALL"))
+def stain_original_to_target(f, spark, sf_dir):
+    originals = f.select(F.col("vec_id").alias("source_row_index"), "x")
+    return S.stain_deltas(stain(f), originals, "original_to_target").select("source_row_index", "label", V.norm("delta").alias("norm"))
+
+
+@query(base(STAIN + "SELECT vec_id AS source_row_index, target_id AS label, round(sqrt(sum((v - m) * (v - m))), 6) AS norm FROM (SELECT *, avg(v) OVER (PARTITION BY vec_id, i) AS m FROM s WHERE 't' || (grp % 6) <> target_id) GROUP BY ALL"))
+def stain_target_to_mean(f, spark, sf_dir):
+    own = stain(f).withColumn("source_slide_id", F.concat(F.lit("t"), (F.col("source_grp") % 6).cast("string")))
+    return S.stain_deltas(own, None, "target_to_mean", exclude_identity=True).select("source_row_index", "label", V.norm("delta").alias("norm"))
+
+
+@query(base(STAIN + "SELECT a.vec_id AS source_row_index, a.target_id || '__to__' || b.target_id AS label, round(sqrt(sum((b.v - a.v) * (b.v - a.v))), 6) AS norm FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.i = b.i AND a.target_index < b.target_index GROUP BY ALL"))
+def stain_target_pairwise(f, spark, sf_dir):
+    return S.stain_deltas(stain(f), None, "target_pairwise").select("source_row_index", "label", V.norm("delta").alias("norm"))
+
+
+@query(base(STAIN + ", m AS (SELECT grp, target_id, i, avg(v) AS v, min(vec_id) AS first FROM s GROUP BY ALL) SELECT grp AS source_grp, min(first) AS source_row_index, target_id AS label, round(sqrt(sum((v - m) * (v - m))), 6) AS norm FROM (SELECT *, avg(v) OVER (PARTITION BY grp, i) AS m FROM m) GROUP BY grp, target_id"))
+def stain_group_to_mean(f, spark, sf_dir):
+    return S.stain_deltas(stain(f), None, "group_to_mean", group="source_grp").select("source_grp", "source_row_index", "label", V.norm("delta").alias("norm"))
+
+
+# Summaries and splits
+
+
+@query("SELECT count(*)::BIGINT AS n_rows, count(DISTINCT vec_id % 5)::BIGINT AS n_domains, count(DISTINCT vec_id // 25)::BIGINT AS n_groups, count(DISTINCT vec_id // 5)::BIGINT AS n_pairs FROM embeddings")
+def metadata_summary(f, spark, sf_dir):
+    return A.metadata_summary(f, "domain", "grp", "pair")
+
+
+@query("SELECT n_domains, count(*)::BIGINT AS n FROM (SELECT vec_id // 5 AS pair, count(DISTINCT vec_id % 5)::BIGINT AS n_domains FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY pair) GROUP BY n_domains")
+def domain_count_histogram(f, spark, sf_dir):
+    return A.domain_count_histogram(f.filter("vec_id % 7 <> 0"), "domain", "pair")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id // 5 IN (SELECT vec_id // 5 FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY 1 HAVING count(DISTINCT vec_id % 5) = 5)")
+def complete_pair_filter(f, spark, sf_dir):
+    return K.complete_pairs(f.filter("vec_id % 7 <> 0"), "domain", "pair").select("vec_id")
+
+
+@query("SELECT grp, ((row_number() OVER (ORDER BY grp::VARCHAR DESC) - 1) % 5)::BIGINT AS fold FROM (SELECT DISTINCT vec_id // 25 AS grp FROM embeddings)")
+def fold_assignment(f, spark, sf_dir):
+    return K.group_folds(f, "grp", 5)
+
+
+@query("SELECT vec_id, label::BIGINT AS label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '|7'), vec_id) AS r FROM embeddings) WHERE r <= 20")
+def stratified_sample(f, spark, sf_dir):
+    return K.sample_per_group(f, ["label"], 20, ["vec_id"], 7).select("vec_id", "label")
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY md5(vec_id::VARCHAR || '|3'), vec_id LIMIT 50")
+def random_cap(f, spark, sf_dir):
+    return K.sample_rows(f, 50, ["vec_id"], 3).select("vec_id")
+
+
+@query("""
+SELECT vec_id, label::BIGINT AS label FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '|0'), vec_id) > (SELECT 200 // count(DISTINCT label) FROM embeddings) AS extra FROM embeddings)
+ORDER BY extra, md5(vec_id::VARCHAR || '|0'), vec_id LIMIT 200
+""")
+def balanced_subsample(f, spark, sf_dir):
+    return K.balanced_sample(f, "label", 200, ["vec_id"]).select("vec_id", "label")
+
+
+@query(base("SELECT domain, count(*)::BIGINT AS n, 64::BIGINT AS dim, round(avg(norm), 6) AS mean, round(quantile_cont(norm, 0.5), 6) AS median, round(stddev_pop(norm), 6) AS std FROM (SELECT vec_id, domain, sqrt(sum(v * v)) AS norm FROM e GROUP BY ALL) GROUP BY domain"))
+def norm_summary(f, spark, sf_dir):
+    return A.norm_summary(f, "domain", "x")
+
+
+@query("SELECT event_type, sum(n)::BIGINT AS n, round(sum(n * m) / sum(n), 6) AS mean, round(greatest(sum(n * (q + m * m)) / sum(n) - (sum(n * m) / sum(n)) * (sum(n * m) / sum(n)), 1e-6), 6) AS var FROM (SELECT event_type, user_id, count(value) AS n, avg(value) AS m, var_pop(value) AS q FROM events GROUP BY ALL) GROUP BY event_type")
+def pooled_moments(f, spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    parts = events.groupBy("event_type", "user_id").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("q"))
+    return A.pooled_moments(parts, "event_type", "n", "m", "q")
+
+
+@query("SELECT round(quantile_cont(m, 0.5), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS std, count(*)::BIGINT AS n FROM (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY user_id)")
+def median_reference(f, spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    return A.median_reference(events, "m", "s")
+
+
+@query("SELECT l, user_id % 3 AS k, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, round(max(value), 6) AS value_max, count(DISTINCT user_id)::BIGINT AS n_user_id FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS l FROM events) GROUP BY l, user_id % 3")
+def grid_summary(f, spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns({"l": F.when(F.col("event_id") % 4 != 0, F.col("event_type")), "k": F.col("user_id") % 3})
+    return A.mean_std(events, ["l", "k"], ["value"], with_max=True, count_of="user_id")
+
+
+@query("SELECT event_type, printf('%.3f ± %.3f', avg(value), stddev_samp(value)) AS value FROM events GROUP BY event_type")
+def paper_table(f, spark, sf_dir):
+    return A.paper_table(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], ["value"])
+
+
+@query("SELECT source AS source, count(*)::BIGINT AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 1")
+def mode_value(f, spark, sf_dir):
+    return K.mode_value(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source")
+
+
+_OPERATING = """
+WITH s AS (SELECT user_id, avg(value) / 100 AS a, max(value) / 200 AS b, min(value) AS cost FROM events GROUP BY user_id),
+t AS (SELECT unnest([0.2, 0.5, 0.9])::DOUBLE AS tau),
+r AS (SELECT tau, s.*, row_number() OVER (PARTITION BY tau ORDER BY cost, user_id) AS r FROM t JOIN s ON a <= tau AND b <= tau)
+SELECT t.tau, user_id::DOUBLE AS user_id, round(cost, 6) AS cost FROM t LEFT JOIN (SELECT * FROM r WHERE r = 1) r ON t.tau = r.tau
+"""
+
+
+@query(_OPERATING)
+def operating_points(f, spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = events.groupBy("user_id").agg((F.avg("value") / 100).alias("a"), (F.max("value") / 200).alias("b"), F.min("value").alias("cost"))
+    return A.operating_points(table, [0.2, 0.5, 0.9], "a", "b", "cost", ["user_id"]).select("tau", F.col("user_id").cast("double").alias("user_id"), "cost")
+
+
+@query("SELECT label::VARCHAR AS \"true\", ((label + vec_id % 3) % 10)::VARCHAR AS predicted, count(*)::BIGINT AS n FROM embeddings GROUP BY ALL")
+def confusion_matrix(f, spark, sf_dir):
+    return P.confusion(f.withColumn("predicted", ((F.col("label") + F.col("vec_id") % 3) % 10).cast("string")), "label")
+
+
+@query("SELECT round(avg(r), 6) AS balanced_accuracy, round(sum(h) / sum(n), 6) AS accuracy FROM (SELECT label, avg(CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS r, sum(CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS h, count(*)::DOUBLE AS n FROM embeddings GROUP BY label)")
+def balanced_accuracy(f, spark, sf_dir):
+    return P.balanced_accuracy(f.withColumn("predicted", ((F.col("label") + F.col("vec_id") % 3) % 10).cast("string")), "label")
+
+
+@query("SELECT sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::BIGINT AS is_0, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS is_1, sum(CASE WHEN label = 2 THEN 1 ELSE 0 END)::BIGINT AS is_2 FROM embeddings WHERE label < 3")
+def one_hot_counts(f, spark, sf_dir):
+    hot = Mo.one_hot(f.filter("label < 3"), "label", ["0", "1", "2"])
+    return hot.agg(*[F.sum(f"is_{k}").alias(f"is_{k}") for k in range(3)])
+
+
+# Moments
+
+
+@query(base("SELECT a.i, b.i AS j, round((sum(a.v * b.v) - sum(a.v) * sum(b.v) / count(*)) / (count(*) - 1), 6) + 0.0 AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.i, b.i"))
+def covariance_cells(f, spark, sf_dir):
+    cov = Mo.collect_moments(f, "x")["default"].covariance()
+    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(DIM) for j in range(DIM)], "i long, j long, cov double")
+
+
+@query(base("SELECT a.i, b.i AS j, round(sum(a.v * b.v) / count(*), 6) + 0.0 AS s FROM g2m a JOIN g2m b ON a.grp = b.grp AND a.domain = b.domain GROUP BY a.i, b.i"))
+def second_moment_cells(f, spark, sf_dir):
+    return Mo.second_moment_cells(D.domain_deltas(f, ROLES), "delta").select("i", "j", (F.col("s") / F.col("n")).alias("s"))
+
+
+@query(base("SELECT i, round(var_samp(v), 6) AS variance FROM e GROUP BY i"))
+def feature_variance_by_dim(f, spark, sf_dir):
+    return M.variance_by_dimension(f, "x")
+
+
+_SHRINK = """
+, c AS (SELECT a.i, b.i AS j, (sum(a.v * b.v) - sum(a.v) * sum(b.v) / count(*)) / count(*) AS s, count(*) AS n FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
+k AS (SELECT sum(CASE WHEN i = j THEN s ELSE 0 END) AS t, sum(s * s) AS q, max(n) AS n FROM c)
+SELECT round(1 - (t * t * (t * t / 64) / n + 1e-12) / (q * (t * t / 64) - (t * t / 64) * (t * t / 64) + 1e-12), 6) AS alpha, round(t, 6) AS trace FROM k
+"""
+
+
+@query(base(_SHRINK))
+def shrinkage_coefficients(f, spark, sf_dir):
+    m = Mo.collect_moments(f, "x")["default"]
+    s = m.m2 / m.n
+    return spark.createDataFrame([(float(Mo.shrinkage_weight(s, m.n)), float(np.trace(s)))], "alpha double, trace double")
+
+
+@query(base("SELECT label::VARCHAR AS class, i, round(sum(n) * (max(cm) - max(m)) / ((SELECT count(*) FROM embeddings) - 1), 6) + 0.0 AS cov FROM (SELECT label, i, count(*) AS n, avg(v) AS cm FROM e GROUP BY label, i) JOIN (SELECT i, avg(v) AS m FROM e GROUP BY i) USING (i) GROUP BY label, i"))
+def cross_covariance_cells(f, spark, sf_dir):
+    c = Mo.label_moments(f, "x", "label")
+    return spark.createDataFrame([(k, i, float(c.cross[i, j])) for j, k in enumerate(c.classes) for i in range(DIM)], "class string, i long, cov double")
+
+
+@query(base("SELECT label, i, round(avg(v), 6) + 0.0 AS v FROM e GROUP BY label, i"))
+def class_centroids(f, spark, sf_dir):
+    return long(f.groupBy("label").agg(V.mean_of("x").alias("mean")), "mean", "label")
+
+
+# Projection with a fixed basis, and metrics
+
+
+@query(base("SELECT vec_id, round(sqrt(sum(CASE WHEN i < 4 THEN 0 ELSE v * v END)), 6) AS norm FROM e GROUP BY vec_id"))
+def project_away_fixed_basis(f, spark, sf_dir):
+    return G.project(f, "x", np.eye(DIM)[:4]).select("vec_id", V.norm("x").alias("norm"))
+
+
+@query(base("SELECT vec_id, round(sum(CASE WHEN i < 4 THEN v * v ELSE 0 END) / (sum(v * v) + 1e-12), 6) AS energy FROM e GROUP BY vec_id"))
+def projection_energy_fixed_basis(f, spark, sf_dir):
+    return f.select("vec_id", G.projection_energy("x", 2 * np.eye(DIM)[[3, 1, 0, 2]]).alias("energy"))
+
+
+@query(base("SELECT vec_id, i, round(0.25 + CASE WHEN i < 2 THEN 0.5 ELSE 1 END * (v - 0.25), 6) + 0.0 AS v FROM e"))
+def affine_map_native(f, spark, sf_dir):
+    m = E.LinearMap(matrix=np.diag([0.5] * 2 + [1.0] * 62), bias=np.full(DIM, 0.25))
+    return long(E.apply_map_native(f, "x", m), "x", "vec_id")
+
+
+@query(base("SELECT vec_id, i, round(0.25 + CASE WHEN i < 2 THEN 0.25 ELSE 1 END * (v - 0.25), 6) + 0.0 AS v FROM e"))
+def composed_chain(f, spark, sf_dir):
+    m = E.LinearMap(matrix=np.diag([0.5] * 2 + [1.0] * 62), bias=np.full(DIM, 0.25))
+    return long(E.apply_map(f, "x", E.compose([m, m])), "x", "vec_id")
+
+
+@query(base("""
+, r AS (SELECT vec_id, sqrt(sum(CASE WHEN i < 4 THEN v * v ELSE 0 END)) AS c, sqrt(sum(v * v)) AS a, sqrt(sum(CASE WHEN i < 4 THEN 0 ELSE v * v END)) AS b FROM e GROUP BY vec_id)
+SELECT round(avg(c), 6) AS mean_change, round(quantile_cont(c, 0.5), 6) AS median_change, round(avg(a), 6) AS mean_raw_norm, round(quantile_cont(a, 0.5), 6) AS median_raw_norm,
+       round(avg(b), 6) AS mean_projected_norm, round(quantile_cont(b, 0.5), 6) AS median_projected_norm, round(avg(c / (a + 1e-8)), 6) AS mean_relative_change, round(avg(c) / (avg(a) + 1e-8), 6) AS ratio_of_mean_norms FROM r
+"""))
+def feature_change_summary(f, spark, sf_dir):
+    return M.feature_change(E.apply_map(f, "x", E.LinearMap(left=np.eye(DIM)[:, :4], right=np.eye(DIM)[:4]), "y"), "x", "y")
+
+
+@query(base("""
+, r AS (SELECT grp, domain, sum(v * v) AS a, sum(CASE WHEN i < 4 THEN 0 ELSE v * v END) AS b FROM g2m GROUP BY grp, domain)
+SELECT count(*)::BIGINT AS n, round(avg(b) / (avg(a) + 1e-12), 6) AS remaining_energy, round(avg(b) / avg(a), 6) AS residual_ratio, round(1 - avg(b) / avg(a), 6) AS removed_fraction,
+       round(avg(sqrt(b) / (sqrt(a) + 1e-12)), 6) AS mean_norm_ratio, round(quantile_cont(sqrt(b) / (sqrt(a) + 1e-12), 0.5), 6) AS median_norm_ratio FROM r
+"""))
+def delta_residual_summary(f, spark, sf_dir):
+    m = E.LinearMap(left=np.eye(DIM)[:, :4], right=np.eye(DIM)[:4], bias=np.ones(DIM))
+    return M.delta_change(E.apply_map(D.domain_deltas(f, ROLES), "delta", m, "after", affine=False), "delta", "after")
+
+
+@query(base("SELECT round(sum(CASE WHEN i < 4 THEN 0 ELSE v * v END) / sum(v * v), 6) AS residual_ratio FROM g2m"))
+def residual_from_moments(f, spark, sf_dir):
+    m = E.LinearMap(left=np.eye(DIM)[:, :4], right=np.eye(DIM)[:4])
+    got = M.residual_from_moments(Mo.collect_moments(D.domain_deltas(f, ROLES), "delta")["default"], m)
+    return spark.createDataFrame([(got["residual_ratio"],)], "residual_ratio double")
+
+
+@query(base(", p AS (SELECT vec_id, i % 16 AS k, avg(embedding[i + 1]::DOUBLE) AS m, avg(CASE WHEN i >= 16 THEN embedding[i + 1]::DOUBLE END) AS n, max(CASE WHEN i < 16 THEN embedding[i + 1]::DOUBLE END) AS c FROM (SELECT *, unnest(range(0, 64)) AS i FROM f) GROUP BY vec_id, i % 16) SELECT vec_id, round(sqrt(sum(m * m)), 6) AS mean, round(sqrt(sum(n * n)), 6) AS mean_no_cls, round(sqrt(sum(c * c)), 6) AS cls FROM p GROUP BY vec_id"))
+def token_pooling(f, spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    tokens = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(4)])
+    return t.select("vec_id", *[V.norm(V.pool_tokens(tokens, m)).alias(m) for m in V.POOLINGS])
+
+
+_MATRICES = """
+WITH m AS (SELECT vec_id // 5 AS slide_id, vec_id % 5 AS scanner_id, vec_id, embedding[1:3] AS h, embedding[4:6] AS e FROM embeddings),
+u AS (
+  SELECT slide_id, scanner_id, list_transform(h, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(h, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-12)) AS h,
+         list_transform(e, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(e, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-12)) AS e FROM m),
+d AS (
+  SELECT a.slide_id AS item_a, b.slide_id AS item_b, CASE WHEN a.slide_id = b.slide_id THEN 0.0::DOUBLE ELSE
+    ((1 - greatest(-1, least(1, a.h[1] * b.h[1] + a.h[2] * b.h[2] + a.h[3] * b.h[3]))) + (1 - greatest(-1, least(1, a.e[1] * b.e[1] + a.e[2] * b.e[2] + a.e[3] * b.e[3])))) / 2 END AS distance
+  FROM u a JOIN u b ON a.scanner_id = b.scanner_id)
+"""
+
+
+def _matrices(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    matrix = F.array(F.slice(V.vec("embedding"), 1, 3), F.slice(V.vec("embedding"), 4, 3))
+    return t.select(F.floor(F.col("vec_id") / 5).alias("slide_id"), (F.col("vec_id") % 5).alias("scanner_id"), matrix.alias("matrix"))
+
+
+@query(_MATRICES + "SELECT item_a, item_b, count(*)::BIGINT AS n, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std FROM d GROUP BY item_a, item_b")
+def stain_pair_distances(f, spark, sf_dir):
+    return G.pair_distances(_matrices(spark, sf_dir))
+
+
+@query(_MATRICES + ", n AS (SELECT item_a, min(distance) AS nearest FROM (SELECT item_a, item_b, avg(distance) AS distance FROM d GROUP BY ALL) WHERE item_b IN (0, 1, 2) GROUP BY item_a) SELECT round(avg(nearest), 6) AS mean, round(quantile_cont(nearest, 0.5), 6) AS median, round(max(nearest), 6) AS max FROM n")
+def panel_coverage(f, spark, sf_dir):
+    return G.panel_coverage(G.pair_distances(_matrices(spark, sf_dir)), [0, 1, 2])
+
+
+@query()
+def dispersion_qc(f, spark, sf_dir):
+    return A.leave_one_out_dispersion(_matrices(spark, sf_dir), "slide_id", "scanner_id")
+
+
+@query()
+def exemplar_selection(f, spark, sf_dir):
+    ids, d = G.distance_matrix(G.pair_distances(_matrices(spark, sf_dir)))
+    chosen, plane = G.exemplars(ids, d, 5), G.classical_mds(d)
+    at = {n: i for i, n in enumerate(ids)}
+    return spark.createDataFrame([(k, int(n), *map(float, plane[at[n]])) for k, n in enumerate(chosen)], "place int, slide_id long, x double, y double")
+
+
+# Names, JSON, images
+
+
+_NAMES = "(SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'slide_1-sample_' || vec_id || '-tile_0_0-GT450' WHEN 1 THEN 'a-b-' || vec_id WHEN 2 THEN 'abc' || vec_id ELSE 'tile_0-x' || vec_id || '-c' END AS tile_id FROM embeddings)"
+
+
+@query(f"SELECT vec_id, split_part(tile_id, '-', 1) AS slide_id, CASE vec_id % 4 WHEN 0 THEN 'slide_1-sample_' || vec_id WHEN 1 THEN 'a-b' WHEN 2 THEN tile_id ELSE 'tile_0-x' || vec_id END AS image_id, substr(sha1(tile_id || chr(10) || vec_id), 1, 8) AS digest FROM {_NAMES}")
+def identifiers(f, spark, sf_dir):
+    n = F.col("vec_id").cast("string")
+    tile = F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("slide_1-sample_"), n, F.lit("-tile_0_0-GT450"))).when(F.col("vec_id") % 4 == 1, F.concat(F.lit("a-b-"), n)).when(F.col("vec_id") % 4 == 2, F.concat(F.lit("abc"), n)).otherwise(F.concat(F.lit("tile_0-x"), n, F.lit("-c")))
+    own = f.select("vec_id", tile.alias("tile_id"))
+    return own.select("vec_id", names.slide_id("tile_id").alias("slide_id"), names.image_id("tile_id").alias("image_id"), names.short_digest(F.array("tile_id", F.col("vec_id").cast("string"))).alias("digest"))
+
+
+@query("SELECT vec_id, coalesce(CASE WHEN vec_id % 11 <> 0 THEN (vec_id // 25)::VARCHAR END, 'nan') || '::' || (vec_id // 5)::VARCHAR AS pair_key FROM embeddings")
+def pair_keys(f, spark, sf_dir):
+    return f.withColumn("grp", F.when(F.col("vec_id") % 11 != 0, F.col("grp"))).select("vec_id", names.pair_key(["grp", "pair"]).alias("pair_key"))
+
+
+@query("SELECT vec_id, (vec_id % 7)::DOUBLE / 2 AS mean, (vec_id % 3)::DOUBLE AS median, (vec_id % 3)::DOUBLE AS lambda FROM embeddings")
+def parsed_fields(f, spark, sf_dir):
+    text = F.concat(((F.col("vec_id") % 7) / 2).cast("string"), F.lit(" (0.1) ; "), (F.col("vec_id") % 3).cast("string"), F.lit(" (0.0)"))
+    pair = F.concat(F.lit("[1.0, "), (F.col("vec_id") % 3).cast("string"), F.lit("]"))
+    return f.select("vec_id", names.mean_or_median(text, "mean").alias("mean"), names.mean_or_median(text).alias("median"), F.get(names.literal_list(pair), F.lit(1)).alias("lambda"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 3 = 1")
+def nested_config_filter(f, spark, sf_dir):
+    stages = F.concat(F.lit('[{"lambda": '), (F.col("vec_id") % 3).cast("string"), F.lit('.0}, {"lambda": null}]'))
+    return f.filter(A.config_matches(stages, "lambda", [1.0, None])).select("vec_id")
+
+
+@query("""
+WITH d AS (SELECT doc_id, n_chars % 700 + 40 AS h, n_chars % 500 + 40 AS w FROM documents)
+SELECT doc_id, r AS tile_row, c AS tile_col, ((h - (h // 96) * 96) // 2 + r * 96)::BIGINT AS top, ((w - (w // 96) * 96) // 2 + c * 96)::BIGINT AS "left"
+FROM (SELECT *, unnest(range(0, (w // 96)::BIGINT)) AS c FROM (SELECT *, unnest(range(0, (h // 96)::BIGINT)) AS r FROM d))
+""")
+def tile_grid(f, spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("n_chars") % 700 + 40).alias("height"), (F.col("n_chars") % 500 + 40).alias("width"))
+    return I.tile_grid(docs, 96, keys=["doc_id"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(sqrt(var_pop(value) * count(value)), 6) AS spread FROM events GROUP BY ALL")
+def event_windows_hourly(f, spark, sf_dir):
+    return event_windows(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("spread", F.sqrt("m2")).drop("m2")
+
+
+# Fitted maps: no SQL; tests hold them to their defining properties
+
+
+def _moments(f):
+    return Mo.collect_moments(f, "x")["default"], Mo.collect_moments(D.domain_deltas(f, ROLES), "delta")
+
+
+def _erased(f, m):
+    return E.apply_map(f, "x", m).select("vec_id", V.norm("x").alias("norm"))
+
+
+@query()
+def pca_eraser(f, spark, sf_dir):
+    x, s = _moments(f)
+    return _erased(f, E.pca_eraser(x, s, 4))
+
+
+@query()
+def hard_eraser(f, spark, sf_dir):
+    x, s = _moments(f)
+    return _erased(f, E.hard_eraser(x, s, 4))
+
+
+@query()
+def soft_eraser(f, spark, sf_dir):
+    x, s = _moments(f)
+    return _erased(f, E.soft_eraser(x, s, 10.0, joint="match_x_trace"))
+
+
+@query()
+def leace_eraser(f, spark, sf_dir):
+    return _erased(f, E.leace_eraser(Mo.label_moments(f, "x", "domain")))
+
+
+@query()
+def orth_eraser(f, spark, sf_dir):
+    return _erased(f, E.orth_eraser(Mo.label_moments(f, "x", "domain"), tol=1e-4))
+
+
+@query()
+def soft_lambda_sweep(f, spark, sf_dir):
+    x, s = _moments(f)
+    member, values = E.soft_family(x, s)
+    rows = [{"lambda": lam} | M.attenuation(values, lam) | M.residual_from_moments(s["default"], member(lam)) for lam in (0.1, 1.0, 10.0, 100.0)]
+    return rows_frame(spark, rows)
+
+
+@query()
+def moment_diagnostics(f, spark, sf_dir):
+    x, s = _moments(f)
+    return rows_frame(spark, M.joint_diagnostics(x, s, [Mo.SourceSpec()], E.pca_eraser(x, s, 4)))
+
+
+@query()
+def spectrum_summary(f, spark, sf_dir):
+    space = G.pca_subspace(f, "x", DIM)
+    return rows_frame(spark, [M.spectrum(space.explained_variance_ratio, top_k=8) | G.subspace_overlap(space.components[:5], np.eye(DIM)[:5])])
+
+
+@query()
+def probe_cross_validation(f, spark, sf_dir):
+    return rows_frame(spark, [P.probe_cv(K.with_folds(f, "grp", 3), "x", "domain")])
+
+
+@query()
+def crossfit_leace(f, spark, sf_dir):
+    erased = experiments.crossfit(f, ROLES, experiments.leace_fit(ROLES), n_splits=3)
+    return erased.select("vec_id", "fold", V.norm("erased").alias("norm"))
+
+
+@query()
+def sequential_delta_grid(f, spark, sf_dir):
+    stages = [{"method": "soft", "lambdas": [1.0, 100.0]}, {"method": "pca", "ranks": [2]}]
+    return grid.run_grid(f, ROLES, stages, {"scanner": {"mode": "group_to_mean"}}, n_splits=2, folds=[0])
+
+
+@query()
+def chained_leace_grid(f, spark, sf_dir):
+    stages = [{"method": "leace", "concept": "domain", "tols": [0.01]}, {"method": "leace", "concept": "label", "tols": [0.01]}]
+    return grid.run_grid(f, ROLES, stages, {"scanner": {}}, n_splits=2, folds=[0], concepts=["domain", "label"])
+
+
+@query()
+def paired_delta_pca(f, spark, sf_dir):
+    return experiments.delta_pca(f, ROLES, ranks=[2, 4], n_splits=2, folds=[0])
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
