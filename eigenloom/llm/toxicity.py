@@ -11,12 +11,13 @@ its own discounted four-symbol counts with one shared backoff, an interpolated
 Kneser-Ney model of continuation counts (distinct symbols seen before an
 expression) over all documents: an expression that a class has rarely seen is
 judged by what is usual in the corpus. A document's evidence is the difference
-of its two log-likelihoods divided by its number of symbols; a logistic curve
-turns evidence and length into a score.
+of its two log-likelihoods divided by its number of symbols; a curve turns evidence and
+length into a score: logistic weights make one number of both, and a rising step
+function of it, joined by lines, gives the share of toxic rows.
 
 The curve is fitted on evidence that training documents get from models that
-have not seen them: the training rows are split in two by their hash and each
-half is judged by the other half's models. It is fitted on a histogram over all
+have not seen them: training rows are in ``PARTS`` parts by their hash, and each
+part is judged by the models of the others. It is fitted on a histogram over all
 training rows, whose bins are fixed, so no rows come to the driver.
 
 Defined results
@@ -36,7 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from eigenloom.llm.text import body
 from eigenloom.session import join_checked, materialise, text_batches
@@ -44,6 +45,8 @@ from eigenloom.session import join_checked, materialise, text_batches
 ORDER = 4
 SYMBOLS = 32
 CELLS = SYMBOLS**ORDER
+#: Parts of the training rows, each judged by models of the others.
+PARTS = 4
 THRESHOLD = 0.7
 #: Rows of the training labels up to which they are broadcast to the texts.
 LABEL_ROWS = 2_000_000
@@ -83,12 +86,12 @@ def expressions(text: str | None) -> Iterator[np.ndarray]:
             yield cells
 
 
-def fold_of(doc_id: Column) -> Column:
-    """The hash by which rows are held out (1) or split into training halves (0 and 2)."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+def hash_of(doc_id: Column) -> Column:
+    """The hash that deals rows out: remainder 1 by three is held out, the quotient gives the part of the others."""
+    return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-_COUNTS = ("n_all", "toxic_0", "plain_0", "toxic_2", "plain_2")
+_COUNTS = ("n_all", *(f"{kind}_{k}" for k in range(PARTS) for kind in ("toxic", "plain")))
 
 
 def _count_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,42 +146,52 @@ def log_ratio(toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray) -> np.nd
     return (np.log(_interpolate(toxic, shared)) - np.log(_interpolate(plain, shared))).astype(np.float32)
 
 
+@dataclass(frozen=True)
+class Curve:
+    """Weights of (1, evidence, evidence by root of length), and points (z, share of toxic rows) that rise."""
+
+    weights: tuple[float, float, float]
+    points: tuple[tuple[float, float], ...]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Log-ratio tables (the whole model and its two halves) and the curve's three weights, None if untrained."""
+    """Log-ratio tables (the whole model, then those without each part) and the curve; None if untrained."""
 
     tables: np.ndarray | None
-    curve: tuple[float, float, float] | None = None
+    curve: Curve | None = None
 
 
 def fit_tables(counts: DataFrame) -> np.ndarray | None:
-    """The three log-ratio tables from the counts of ``expression_counts``; at most CELLS rows come to the driver."""
+    """Log-ratio tables from the counts of ``expression_counts``; at most CELLS rows come to the driver."""
     got = counts.toPandas()
     dense = {c: np.zeros(CELLS, np.int64) for c in _COUNTS}
     for c in _COUNTS:
         dense[c][got["cell"].to_numpy(np.int64)] = got[c].to_numpy(np.int64)
-    toxic, plain = dense["toxic_0"] + dense["toxic_2"], dense["plain_0"] + dense["plain_2"]
+    toxic, plain = (sum(dense[f"{kind}_{k}"] for k in range(PARTS)) for kind in ("toxic", "plain"))
     if not toxic.any() or not plain.any():
         return None
     shared = shared_backoff(dense["n_all"])
-    return np.stack([log_ratio(toxic, plain, shared), log_ratio(dense["toxic_0"], dense["plain_0"], shared), log_ratio(dense["toxic_2"], dense["plain_2"], shared)])
+    without = [log_ratio(toxic - dense[f"toxic_{k}"], plain - dense[f"plain_{k}"], shared) for k in range(PARTS)]
+    return np.stack([log_ratio(toxic, plain, shared), *without])
 
 
 def evidence_udf(spark, tables: np.ndarray):
-    """UDF: text to (n_symbols, by the whole model, by half 0, by half 2): mean log-ratios a symbol."""
+    """UDF: text to (n_symbols, evidence): mean log-ratio a symbol by each table."""
     shared = spark.sparkContext.broadcast(tables)
-    kind = StructType([StructField("n_symbols", LongType()), *[StructField(c, DoubleType()) for c in ("whole", "half_0", "half_2")]])
+    kind = StructType([StructField("n_symbols", LongType()), StructField("evidence", ArrayType(DoubleType()))])
 
     def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            rows = []
+            sizes, means = [], []
             for text in batch:
-                n, sums = 0, np.zeros(3)
+                n, sums = 0, np.zeros(len(shared.value))
                 for cells in expressions(text):
                     n += len(cells)
                     sums += shared.value[:, cells].sum(axis=1, dtype=np.float64)
-                rows.append((n, *(sums / max(n, 1))))
-            yield pd.DataFrame(rows, columns=["n_symbols", "whole", "half_0", "half_2"])
+                sizes.append(n)
+                means.append(sums / max(n, 1))
+            yield pd.DataFrame({"n_symbols": sizes, "evidence": means})
 
     return F.pandas_udf(measure, kind)
 
@@ -188,8 +201,20 @@ def _features(evidence: np.ndarray, log2_length: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(evidence), evidence * 20, evidence * np.sqrt(np.exp2(log2_length)) / 2], axis=1)
 
 
-def fit_curve(bins: pd.DataFrame) -> tuple[float, float, float]:
-    """Logistic weights by Newton steps on binned rows (evidence_bin, length_bin, toxic, n), slightly regularised."""
+def rising(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[tuple[float, float]]:
+    """Both ends of each step of the best rising step function of ``z``: neighbours are pooled until shares y / n rise."""
+    blocks: list[list[float]] = []
+    for zi, yi, ni in zip(*(a[np.argsort(z, kind="stable")] for a in (z, y, n)), strict=True):
+        blocks.append([zi, yi, ni, zi])
+        while len(blocks) > 1 and (blocks[-2][1] + 0.5) / (blocks[-2][2] + 1) >= (blocks[-1][1] + 0.5) / (blocks[-1][2] + 1):
+            _, ys, ns, end = blocks.pop()
+            blocks[-1] = [blocks[-1][0], blocks[-1][1] + ys, blocks[-1][2] + ns, end]
+    share = lambda ys, ns: float((ys + 0.5) / (ns + 1))
+    return [(float(z), share(ys, ns)) for first, ys, ns, last in blocks for z in sorted({first, last})]
+
+
+def fit_curve(bins: pd.DataFrame) -> Curve:
+    """From binned rows (evidence_bin, length_bin, toxic, n): Newton steps for the weights, slightly regularised, then the points."""
     x = _features(bins["evidence_bin"].to_numpy(float) * EVIDENCE_STEP, bins["length_bin"].to_numpy(float) * LENGTH_STEP)
     y, n = bins["toxic"].to_numpy(float), bins["n"].to_numpy(float)
     w = np.zeros(3)
@@ -203,42 +228,45 @@ def fit_curve(bins: pd.DataFrame) -> tuple[float, float, float]:
         w = w - step * min(1.0, 2.0 / max(size, 1e-12))
         if size < 1e-8:
             break
-    return tuple(float(v) for v in w)
+    # more evidence must never lower a score
+    w[1:] = np.maximum(w[1:], 0)
+    return Curve(tuple(float(v) for v in w), tuple(rising(np.clip(x @ w, -30, 30), n * y, n)))
 
 
-def curve_score(curve: tuple[float, float, float], evidence: Column, n_symbols: Column) -> Column:
-    """The fitted curve as a column, 0 to 1."""
+def curve_score(curve: Curve, evidence: Column, n_symbols: Column) -> Column:
+    """The fitted curve as a column, 0 to 1, strictly rising."""
     root = F.sqrt(F.greatest(n_symbols, F.lit(1)).cast("double"))
-    z = F.lit(curve[0]) + F.lit(curve[1]) * evidence * 20 + F.lit(curve[2]) * evidence * root / 2
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    w = curve.weights
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(w[0]) + F.lit(w[1]) * evidence * 20 + F.lit(w[2]) * evidence * root / 2))
+    level = F.lit(curve.points[0][1])
+    for (a, low), (b, high) in zip(curve.points, curve.points[1:], strict=False):
+        level = level + F.lit((high - low) / max(b - a, 1e-9)) * F.greatest(F.lit(0.0), F.least(F.lit(max(b - a, 1e-9)), z - F.lit(a)))
+    return level * 0.999 + 0.001 / (1 + F.exp(-z))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", measured: bool = False):
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks and that are not held out.
 
     Returns the model, or with ``measured`` the model and the table
-    (doc_id, n_symbols, whole, half_0, half_2) of all documents that it was
-    fitted with.
+    (doc_id, n_symbols, evidence) of all documents that it was fitted with.
     """
     spark = docs.sparkSession
     text_batches(spark)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.select("doc_id", "toxic", fold_of(F.col("doc_id")).alias("fold")).filter("fold <> 1")
-    group = F.when(F.col("fold") == 0, F.when(F.col("toxic") == 1, 1).otherwise(2)).otherwise(F.when(F.col("toxic") == 1, 3).otherwise(4))
-    known = materialise(known.select(F.col("doc_id").alias("known_id"), "toxic", "fold", group.alias("counted_as")), "toxicity-labels")
+    known = known.withColumn("hash", hash_of(F.col("doc_id"))).filter("hash % 3 <> 1")
+    part = (F.floor(F.col("hash") / 3) % PARTS).cast("int")
+    known = known.select(F.col("doc_id").alias("known_id"), "toxic", part.alias("part"), (2 * part + F.when(F.col("toxic") == 1, 1).otherwise(2)).alias("counted_as"))
+    known = materialise(known, "toxicity-labels")
     texts = docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("text"))
     marked = join_checked(texts, known, texts["doc_id"] == known["known_id"], "left", LABEL_ROWS)
     tables = fit_tables(expression_counts(marked.select("text", F.coalesce("counted_as", F.lit(0)).alias("counted_as"))))
     if tables is None:
         return (ToxicityModel(None), None) if measured else ToxicityModel(None)
-    evidence = texts.select("doc_id", evidence_udf(spark, tables)(F.col("text")).alias("e")).select("doc_id", "e.*")
-    if not measured:  # for the curve, training rows are enough
-        evidence = join_checked(texts, known, texts["doc_id"] == known["known_id"], "left_semi", LABEL_ROWS).select(
-            "doc_id", evidence_udf(spark, tables)(F.col("text")).alias("e")
-        ).select("doc_id", "e.*")
+    judged = texts if measured else join_checked(texts, known, texts["doc_id"] == known["known_id"], "left_semi", LABEL_ROWS)
+    evidence = judged.select("doc_id", evidence_udf(spark, tables)(F.col("text")).alias("e")).select("doc_id", "e.*")
     evidence = materialise(evidence, "toxicity-evidence")
-    by_other = F.when(F.col("fold") == 0, F.col("half_2")).otherwise(F.col("half_0"))
-    clipped = F.greatest(F.lit(-EVIDENCE_LIMIT), F.least(F.lit(EVIDENCE_LIMIT), by_other))
+    by_others = F.get("evidence", F.col("part") + 1)
+    clipped = F.greatest(F.lit(-EVIDENCE_LIMIT), F.least(F.lit(EVIDENCE_LIMIT), by_others))
     bins = (
         evidence.join(known, evidence["doc_id"] == known["known_id"])
         .groupBy(
@@ -255,11 +283,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_symbols, log_ratio) of every document."""
     model, evidence = fit(docs, labels, id_col=id_col, text_col=text_col, measured=True)
-    held = F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+    held = F.coalesce(hash_of(F.col("doc_id")) % 3 == 1, F.lit(False)).alias("held_out")
     if model.curve is None:
         zero = docs.select(F.col(id_col).alias("doc_id"))
         return zero.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_ratio"))
-    scored = evidence.select("doc_id", held, curve_score(model.curve, F.col("whole"), F.col("n_symbols")).alias("score"), "n_symbols", F.col("whole").alias("log_ratio"))
+    scored = evidence.select("doc_id", held, curve_score(model.curve, F.get("evidence", F.lit(0)), F.col("n_symbols")).alias("score"), "n_symbols", F.get("evidence", F.lit(0)).alias("log_ratio"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_symbols", "log_ratio")
 
 
@@ -268,7 +296,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     if model.curve is None:
         return docs
-    measure = evidence_udf(docs.sparkSession, model.tables[:1].repeat(3, axis=0))(body(text_col))
+    measure = evidence_udf(docs.sparkSession, model.tables[:1])(body(text_col))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     judged = docs.select(row.alias("row"), measure.alias("e"))
-    return judged.filter(curve_score(model.curve, F.col("e.whole"), F.col("e.n_symbols")) < threshold).select("row.*")
+    return judged.filter(curve_score(model.curve, F.get("e.evidence", F.lit(0)), F.col("e.n_symbols")) < threshold).select("row.*")
