@@ -157,6 +157,33 @@ def synthetic_coordinates(groups: DataFrame, roles: Roles, components: np.ndarra
     return each.select(roles.group, "d.synthetic", V.add("group_mean", "d.shift").alias("x"))
 
 
+def augmentation_deltas(images: DataFrame, encode, augmentations: list, *, key: str, pixels: str = "pixels", height: str = "height", width: str = "width", mode: str = "original_to_augmented", originals: DataFrame | None = None, vector: str = "embedding") -> DataFrame:
+    """(key, draw, delta): what image augmentations do to embeddings.
+
+    ``augmentations`` are functions of an image (height x width x 3), one draw
+    each; ``augmented_to_augmented`` pairs them in twos. ``originals`` (key,
+    vector) spares the originals' encoding. Images that a function fails on are left out.
+    """
+    from eigenloom.operators.images import encode_images, map_pixels
+
+    def embedded(function) -> DataFrame:
+        seen = images if function is None else map_pixels(images, function, pixels=pixels, height=height, width=width, output=pixels).filter(F.col(pixels).isNotNull())
+        return encode_images(seen, encode, pixels=pixels, output="_e").select(key, "_e")
+
+    if mode == "original_to_augmented":
+        start = embedded(None) if originals is None else originals.select(key, F.col(vector).alias("_e"))
+        pairs = [(start, a) for a in augmentations]
+    elif mode == "augmented_to_augmented":
+        pairs = [(embedded(a), b) for a, b in zip(augmentations[::2], augmentations[1::2], strict=True)]
+    else:
+        raise ValueError(f"mode {mode!r}")
+    parts = [aligned_deltas(embedded(after), before, key, "_e").withColumn("draw", F.lit(k)) for k, (before, after) in enumerate(pairs)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(key, "draw", "delta")
+
+
 def proxy_deltas(df: DataFrame, key: str, proxy: str, vector: str, mode: str = "per_patch_centered") -> DataFrame:
     """(key, proxy, delta) of rows seen under several proxies, less their mean or their first proxy, then centred over all."""
     groups = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(proxy).alias("proxy"), V.vec(vector).alias("v")))).alias("all"))

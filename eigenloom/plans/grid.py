@@ -167,6 +167,25 @@ def run_grid(features: DataFrame, roles: Roles, stages: list[dict], delta_option
     return rows_frame(features.sparkSession, out)
 
 
+def fit_eraser(features: DataFrame, roles: Roles, stage: dict, delta_options: dict) -> LinearMap:
+    """One eraser on all rows and one delta configuration."""
+    return fit_chain(features, roles, [stage], {"default": delta_options})[0][0]
+
+
+def fit_leace(features: DataFrame, vector: str, concept: str, *, center_by: list[str] | None = None, leave_out: tuple[str, str] | None = None, index: bool = False, **options) -> LinearMap:
+    """LEACE of a column on all rows, on rows centred by groups or without a value of a column if asked.
+
+    ``index`` takes the concept as one number in place of one-hot classes.
+    """
+    rows = features if leave_out is None else features.filter(F.col(leave_out[0]) != leave_out[1])
+    rows = rows if center_by is None else D.centre_by(rows, center_by, vector)
+    if not index:
+        return leace_eraser(label_moments(rows, vector, concept), **options)
+    both = collect_moments(rows.withColumn("_both", F.concat(F.array(F.col(concept).cast("double")), F.col(vector).cast("array<double>"))), "_both")["default"]
+    x = Moments(both.n, both.mean[1:], both.m2[1:, 1:])
+    return leace_eraser(CrossMoments(x, ["index"], both.m2[1:, :1] / (both.n - 1)), **options)
+
+
 def fit_chain(features: DataFrame, roles: Roles, stages: list[dict], delta_options: dict[str, dict], *, concepts: list[str] = (), extra: dict[str, DataFrame] | None = None, diagnostics: bool = False) -> tuple[list[LinearMap], list[dict]]:
     """A selected chain on all rows: its maps, and moment diagnostics of each stage.
 

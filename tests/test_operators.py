@@ -65,6 +65,16 @@ def test_proxies_and_alignment(spark, small):
     assert {r.id: r.delta for r in D.aligned_deltas(moved, small, "id", "x").collect()}[3] == [4, 4]
 
 
+def test_augmentation_deltas(spark):
+    df = spark.createDataFrame([(k, [10 * k + v for v in range(12)], 2, 2) for k in range(3)], "id long, pixels array<int>, height int, width int")
+    encode = lambda batch: batch[:, :2] * 1.0
+    brighter, darker = I.augmentation("brightness", by=5), I.augmentation("brightness", by=50)
+    got = D.augmentation_deltas(df, encode, [brighter, darker], key="id").collect()
+    assert {(r.draw, tuple(r.delta)) for r in got} == {(0, (5.0, 5.0)), (1, (50.0, 50.0))} and len(got) == 6
+    got = D.augmentation_deltas(df, encode, [brighter, darker], key="id", mode="augmented_to_augmented").collect()
+    assert {tuple(r.delta) for r in got} == {(45.0, 45.0)}
+
+
 def test_moments_of_rows(many):
     x = np.array([r.x for r in many.collect()])
     for parts in (1, 7):
@@ -243,6 +253,10 @@ def test_grids_and_chains(many):
     erased = E.apply_map(many, "x", chain)
     means = np.array([r.m for r in erased.groupBy("c").agg(V.mean_of("x").alias("m")).collect()])
     assert np.allclose(means[0], means[1], atol=0.05)
+    assert grid.fit_eraser(many, roles, {"method": "pca", "rank": 2}, {}).rank == 2
+    one = grid.fit_leace(many.withColumn("n", F.when(F.col("c") == "a", 0).otherwise(1)), "x", "n", index=True)
+    assert np.allclose(one.dense(), grid.fit_leace(many, "x", "c").dense(), atol=1e-8)
+    assert grid.fit_leace(many, "x", "c", center_by=["g"], leave_out=("d", "d1")).rank == 1
     with pytest.raises(ValueError):
         grid.fit_chain(many, roles, [{"method": "pca", "ranks": [1, 2]}], {"s": {}})
     out = experiments.crossfit_analysis(many, roles, experiments.leace_fit(roles), n_splits=2)
