@@ -92,8 +92,7 @@ def measurements(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
     step = lambda s, at: F.struct((s["n"] + F.least(F.lit(WINDOW), at - s["last"])).alias("n"), at.alias("last"))
     covered = F.aggregate("places", start, step, lambda s: s["n"])
-    return placed.select(
-        "doc_id",
+    measured = F.struct(
         F.size("found").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -101,6 +100,9 @@ def measurements(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
     )
+    # A generated row: a filter on measurements stays above it, else it would be pushed
+    # down with all of their expressions put into one another.
+    return placed.select("doc_id", F.explode_outer(F.array(measured)).alias("m")).select("doc_id", "m.*")
 
 
 def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,8 +15,11 @@ from .fixtures import no_documents, odd_documents, odd_rows, prose
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def plain(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_agrees_with_the_library():
