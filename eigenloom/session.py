@@ -167,3 +167,9 @@ def text_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(TEXT_ROWS))
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a table that exists deleted when the JVM ends."""
+    at, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(at)
