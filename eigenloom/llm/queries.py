@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eigenloom.llm import chat, decontam, licenses, mixing, quality, simhash, token_counts, token_store, toxicity, urls
 from eigenloom.llm.text import unsigned_hex
-from eigenloom.session import new_table_path
+from eigenloom.session import delete_at_exit, new_table_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -38,12 +38,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = new_table_path(spark, "token-cache")
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), cache, tokenizer_path())
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), cache, tokenizer_path())
+    delete_at_exit(spark, cache)
+    return counts
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_table_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), store, tokenizer_path())
+    delete_at_exit(spark, store)
     return token_store.read_documents(spark, store)
 
 
