@@ -665,6 +665,44 @@ def paired_delta_pca(f, spark, sf_dir):
     return experiments.delta_pca(f, ROLES, ranks=[2, 4], n_splits=2, folds=[0])
 
 
+@query()
+def fitted_chain(f, spark, sf_dir):
+    stages = [{"method": "soft", "lam": 10.0}, {"method": "leace", "concept": "label"}]
+    chain, _ = grid.fit_chain(f, ROLES, stages, {"scanner": {}}, concepts=["label"])
+    return E.apply_map(f, "x", chain).select("vec_id", V.norm("x").alias("norm"))
+
+
+@query()
+def rlace_eraser(f, spark, sf_dir):
+    return _erased(f, E.rlace_eraser(f, "x", "domain", key="vec_id", rank=2, max_rows=2000, rounds=100))
+
+
+@query()
+def class_recalls(f, spark, sf_dir):
+    rows = K.with_folds(f, "grp", 3)
+    predict, _ = P.fit_probe(K.train_rows(rows, 0), "x", "domain")
+    return P.class_recalls(predict(K.test_rows(rows, 0)), "domain")
+
+
+def _images(f):
+    """Three by seven pixels from each vector, dark enough to be tissue."""
+    pixels = F.transform(F.slice("x", 1, 63), lambda v, i: (30 + (F.abs(v) * 997 + i * 31) % 150).cast("int"))
+    return f.select("vec_id", "grp", "domain", pixels.alias("pixels"), F.lit(3).alias("height"), F.lit(7).alias("width"))
+
+
+@query()
+def stain_estimation(f, spark, sf_dir):
+    found = I.pooled_stain_matrices(_images(f), ["grp", "domain"])
+    return found.select("grp", "domain", "n", *[F.get(F.get("matrix", F.lit(r)), F.lit(c)).alias(f"m{r}{c}") for r in range(2) for c in range(3)])
+
+
+@query()
+def augmentation_delta_norms(f, spark, sf_dir):
+    encode = lambda batch: batch.reshape(len(batch), 21, 3).mean(axis=1)
+    made = D.augmentation_deltas(_images(f), encode, [I.augmentation("gamma"), I.augmentation("brightness")], key="vec_id")
+    return made.select("vec_id", "draw", V.norm("delta").alias("norm"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
