@@ -62,7 +62,7 @@ class EliasFano:
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
-        low_bits = max(0, (universe // n).bit_length() - 1) if n else 0
+        low_bits = max(0, (universe // n).bit_length() - 1) if n else universe.bit_length()
         upper = (values >> np.uint64(low_bits)).astype(np.int64)
         ones = upper + np.arange(n)
         high = np.zeros((universe >> low_bits) + n + 1, np.uint8)
