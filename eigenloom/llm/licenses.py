@@ -49,6 +49,8 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 _TOKEN = re.compile(r"[^\W_]+")
+#: Characters from which a unit is read word by word, until it has too many bigrams.
+LONG_UNIT = 2000
 
 
 def bigrams(text: str) -> set[tuple[str, str]]:
@@ -74,13 +76,28 @@ class Scanner:
         self.least, self.most = min(b[0] for b in self.bounds), max(b[1] for b in self.bounds)
         self.anchors = {w for pair in self.index for w in pair}
 
+    def pairs(self, unit: str) -> set[tuple[str, str]] | None:
+        """A unit's bigrams; None if its number of them allows no template. Stops reading at the first one too many."""
+        if len(unit) <= LONG_UNIT:
+            words = _TOKEN.findall(unit.lower())
+            if len(words) - 1 < self.least or self.anchors.isdisjoint(words):
+                return None
+            found = set(zip(words, words[1:], strict=False))
+        else:
+            found, last = set(), None
+            for m in _TOKEN.finditer(unit.lower()):
+                word = m[0]
+                if last is not None:
+                    found.add((last, word))
+                    if len(found) > self.most:
+                        return None
+                last = word
+        return found if self.least <= len(found) <= self.most else None
+
     def match(self, unit: str) -> tuple[float, int] | None:
         """Best (dice, template) of a unit at or over the threshold."""
-        words = _TOKEN.findall(unit.lower())
-        if len(words) - 1 < self.least or self.anchors.isdisjoint(words):
-            return None
-        pairs = set(zip(words, words[1:], strict=False))
-        if not self.least <= len(pairs) <= self.most:
+        pairs = self.pairs(unit)
+        if pairs is None:
             return None
         shared: dict[int, int] = {}
         for pair in pairs:
@@ -116,7 +133,7 @@ class Scanner:
             units.append((blocks[0][0], blocks[-1][1]))
         found = []
         for start, end in sorted(units):
-            if end - start <= 40 * (self.most + 2) and (hit := self.match(text[start:end])):
+            if hit := self.match(text[start:end]):
                 found.append((start, end, self.names[hit[1]], hit[0]))
         return found
 

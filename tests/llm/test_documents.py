@@ -51,6 +51,9 @@ def test_licenses(spark):
     assert {m[2] for m in licenses.Scanner().scan("intro\n\n" + broken + "\n\nend")} == {"BSD-3-Clause"}
     for name, text in licenses.TEMPLATES:  # each finds itself, and its best match is exact
         assert max(licenses.Scanner().scan(text), key=lambda m: m[3])[2:] == (name, 1.0)
+    many = " ".join([mit] * 5000)  # a long unit of few bigrams is compared like any other
+    assert [m[1:3] for m in licenses.Scanner().scan(many)] == [(len(many), "MIT")]
+    assert licenses.Scanner().scan(mit[:-1] + " ".join(f" w{k}" for k in range(5000))) == []
     docs = odd_documents(spark)
     got = licenses.scan_licenses(docs).collect()
     assert len(got) == docs.count() and all(r.n_matches == 0 for r in got)
