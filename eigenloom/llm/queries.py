@@ -240,5 +240,56 @@ SELECT docs.doc_id, license, round(dice, 6) AS dice, coalesce(n, 0)::BIGINT AS n
 """
 
 
+def _host_sql(url: str) -> str:
+    """Host of a url in SQL."""
+    return f"translate(coalesce(regexp_extract({url}, '{urls._PARTS}', 1), ''), '{urls._UPPER}', '{urls._LOWER}')"
+
+
+def _rules_sql(value: str) -> str:
+    """A CASE over the rules, longest first, for a field of the rule that fits."""
+    cases = (
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, value)}'"
+        for r in sorted(urls.RULES, key=lambda r: -len(r.text))
+    )
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _rounds_sql() -> str:
+    """One table a round of propagation."""
+    return "".join(
+        f""",
+state{k + 1} AS MATERIALIZED (
+  SELECT b.host, seed_trust + {urls.DAMPING}::DOUBLE * coalesce(t.v, 0) AS trust, seed_distrust + {urls.DAMPING}::DOUBLE * coalesce(d.v, 0) AS distrust
+  FROM state0 b
+  LEFT JOIN (SELECT dst AS host, sum(trust * forward) AS v FROM shares JOIN state{k} ON src = host GROUP BY dst) t ON b.host = t.host
+  LEFT JOIN (SELECT src AS host, sum(distrust * back) AS v FROM shares JOIN state{k} ON dst = host GROUP BY src) d ON b.host = d.host)"""
+        for k in range(urls.ROUNDS)
+    )
+
+
+_LINK_SQL = urls._LINK.replace("'", "''")
+OP9_SQL = rf"""
+WITH parts AS (SELECT page_id, html, {_host_sql("url")} AS host, coalesce(regexp_extract(url, '{urls._PARTS}', 2), '') AS path FROM pages),
+ruled AS (SELECT page_id, host, path, {_rules_sql("text")} AS rule, {_rules_sql("verdict")} AS by_rule FROM parts),
+hosts AS (
+  SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1 ELSE 0 END)::DOUBLE AS trust, avg(CASE WHEN by_rule = 'block' THEN 1 ELSE 0 END)::DOUBLE AS distrust
+  FROM ruled GROUP BY host),
+linked AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{_LINK_SQL}', 1))) AS link FROM parts),
+tree AS (
+  SELECT a.host, b.host AS above FROM hosts a JOIN hosts b ON b.host = substr(a.host, instr(a.host, '.') + 1) WHERE a.host <> '' AND a.host <> b.host),
+every_edge AS (
+  SELECT src, {_host_sql("(CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END)")} AS dst FROM linked
+  UNION ALL SELECT host, above FROM tree UNION ALL SELECT above, host FROM tree),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS n FROM every_edge WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+shares AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forward, n / sum(n) OVER (PARTITION BY dst) AS back FROM edges),
+state0 AS MATERIALIZED (
+  SELECT host, sum(trust) AS seed_trust, sum(distrust) AS seed_distrust, sum(trust) AS trust, sum(distrust) AS distrust
+  FROM (SELECT * FROM hosts UNION ALL SELECT src, 0, 0 FROM shares UNION ALL SELECT dst, 0, 0 FROM shares) GROUP BY host){_rounds_sql()}
+SELECT page_id, r.host, path, rule,
+       coalesce(by_rule, CASE WHEN distrust > trust AND distrust >= {urls.BLOCK_AT} AND r.host <> '' THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r JOIN state{urls.ROUNDS} s ON r.host = s.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op6_licenses": OP6_SQL, "op7_quality": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op6_licenses": OP6_SQL, "op7_quality": OP7_SQL, "op9_urls": OP9_SQL, "op10_decontamination": OP10_SQL}
