@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from eigenloom.session import join_checked, materialise
+
 IO, BETA = 240.0, 0.15
 #: sRGB to XYZ (D65) and its white point.
 RGB_TO_XYZ = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
@@ -160,6 +162,48 @@ def pooled_stain_matrices(df: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "n", F.when(F.get("r0", F.lit(0)) >= F.get("r1", F.lit(0)), F.array("r0", "r1")).otherwise(F.array("r1", "r0")).alias("matrix"))
 
 
+#: Usual absorbances of haematoxylin and eosin, where sparse estimates start.
+USUAL_STAINS = ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11))
+
+
+def sparse_stain_matrices(df: DataFrame, keys: list[str], *, rounds: int = 30, penalty: float = 0.1) -> DataFrame:
+    """(keys, n, matrix): stain rows of non-negative sparse factors (OD = amounts x stains) over all tiles of a slide and scanner.
+
+    Every round is one pass: a pixel's two amounts have a closed form (both, or
+    the better one alone, or none), and the next stains need only sums of amounts
+    times amounts and amounts times densities, so a key's pixels are never in one place.
+    """
+    spark = df.sparkSession
+    od = F.transform("pixels", lambda p: -F.log((p.cast("double") + 1) / F.lit(IO)))
+    triples = F.transform(F.sequence(F.lit(0), F.floor(F.size("od") / 3).cast("int") - 1), lambda i: F.slice("od", i * 3 + 1, F.lit(3)))
+    key = F.struct(*keys)
+    pixels = df.select(key.alias("k"), od.alias("od")).select("k", F.explode(triples).alias("p")).filter(F.forall("p", lambda v: v >= BETA))
+    pixels = materialise(pixels.select(F.to_json("k", {"ignoreNullFields": "false"}).alias("at"), "k", *[F.get("p", F.lit(c)).alias(f"x{c}") for c in range(3)]), "stain-pixels")
+    row = lambda v: [float(x) for x in np.array(v) / np.linalg.norm(v)]
+    stains = pixels.groupBy("at").agg(F.first("k").alias("k"), F.count("*").alias("n"))
+    stains = stains.select("at", "k", "n", *[F.lit(x).alias(f"w{r}{c}") for r in range(2) for c, x in enumerate(row(USUAL_STAINS[r]))])
+    sums = [(f"a{i}{j}", F.col(f"c{i}") * F.col(f"c{j}")) for i, j in ((0, 0), (0, 1), (1, 1))] + [(f"b{i}{c}", F.col(f"c{i}") * F.col(f"x{c}")) for i in range(2) for c in range(3)]
+    for _ in range(rounds):
+        stains = materialise(stains, "stain-matrices")
+        fit = lambda r: sum((F.col(f"w{r}{c}") * F.col(f"x{c}") for c in range(3)), F.lit(0.0)) - penalty
+        seen = join_checked(pixels.drop("k"), stains, "at").withColumns({"g": sum((F.col(f"w0{c}") * F.col(f"w1{c}") for c in range(3)), F.lit(0.0)), "f0": fit(0), "f1": fit(1)})
+        rest = F.greatest(1 - F.col("g") * F.col("g"), F.lit(1e-9))
+        both = [(F.col(f"f{i}") - F.col("g") * F.col(f"f{1 - i}")) / rest for i in range(2)]
+        alone = [F.when(F.col(f"f{i}") >= F.col(f"f{1 - i}"), F.greatest(F.col(f"f{i}"), F.lit(0.0))).otherwise(0.0) for i in range(2)]
+        amounts = {f"c{i}": F.when((both[0] >= 0) & (both[1] >= 0), both[i]).otherwise(alone[i]) for i in range(2)}
+        stats = seen.withColumns(amounts).groupBy("at").agg(*[F.sum(v).alias(name) for name, v in sums])
+        moved = stains.join(stats, "at")
+        for i in range(2):  # one row of stains after the other, the second with the first's new values
+            own, cross = F.greatest(F.col(f"a{i}{i}"), F.lit(1e-9)), F.col("a01")
+            moved = moved.withColumns({f"w{i}{c}": F.greatest(F.lit(0.0), (F.col(f"b{i}{c}") - cross * F.col(f"w{1 - i}{c}")) / own) for c in range(3)})
+            length = F.sqrt(sum((F.col(f"w{i}{c}") ** 2 for c in range(3)), F.lit(0.0)))
+            moved = moved.withColumns({f"w{i}{c}": F.when(length > 0, F.col(f"w{i}{c}") / length).otherwise(F.lit(row(USUAL_STAINS[i])[c])) for c in range(3)})
+        stains = moved.select(*stains.columns)
+    rows = [F.array(*[F.col(f"w{r}{c}") for c in range(3)]) for r in range(2)]
+    matrix = F.when(F.col("w00") >= F.col("w10"), F.array(*rows)).otherwise(F.array(*rows[::-1]))
+    return stains.select("k.*", "n", matrix.alias("matrix"))
+
+
 def tile_grid(df: DataFrame, tile: int, *, height: str = "height", width: str = "width", keys: list[str] = ("image_id",)) -> DataFrame:
     """(keys, tile_row, tile_col, top, left): tiles of the centre crop to a multiple of the tile size."""
     rows, cols = F.floor(F.col(height) / tile).cast("int"), F.floor(F.col(width) / tile).cast("int")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from eigenloom.functions import names
 from eigenloom.functions import vectors as V
+from eigenloom.operators import augment
 from eigenloom.operators import deltas as D
 from eigenloom.operators import erasers as E
 from eigenloom.operators import geometry as G
@@ -696,6 +697,39 @@ def stain_estimation(f, spark, sf_dir):
     return found.select("grp", "domain", "n", *[F.get(F.get("matrix", F.lit(r)), F.lit(c)).alias(f"m{r}{c}") for r in range(2) for c in range(3)])
 
 
+@query()
+def sparse_stain_estimation(f, spark, sf_dir):
+    found = I.sparse_stain_matrices(_images(f), ["domain"], rounds=4)
+    return found.select("domain", "n", *[F.get(F.get("matrix", F.lit(r)), F.lit(c)).alias(f"m{r}{c}") for r in range(2) for c in range(3)])
+
+
+_POINTS = {name: s for name, s in augment.specs().items() if s.family in ("gamma", "brightness", "contrast")}
+_POINT_VALUES = {"gamma": "255 * pow(v / 255.0::DOUBLE, s::DOUBLE / 100)", "brightness": "v + 255 * s", "contrast": "v * (1 + s)"}
+
+
+def _points_sql() -> str:
+    listed = ", ".join(f"('{name}', '{s.family}', {next(iter(s.params.values()))}::DOUBLE)" for name, s in _POINTS.items())
+    cases = " ".join(f"WHEN '{family}' THEN {value}" for family, value in _POINT_VALUES.items())
+    return f"""
+, pixels AS (SELECT vec_id, i, trunc(30 + (abs(v) * 997 + i * 31) % 150)::DOUBLE AS v FROM e WHERE i < 63),
+specs(augmentation, family, s) AS (VALUES {listed})
+SELECT vec_id, augmentation, round(avg(greatest(0, least(255, round_even(CASE family {cases} END, 0)))), 6) AS mean FROM pixels, specs GROUP BY vec_id, augmentation
+"""
+
+
+@query(base(_points_sql()))
+def point_augmentations(f, spark, sf_dir):
+    made = augment.augmented_images(_images(f), list(_POINTS))
+    return made.select("vec_id", "augmentation", (F.aggregate("result", F.lit(0), lambda a, v: a + v) / 63.0).alias("mean"))
+
+
+@query()
+def augmentation_changes(f, spark, sf_dir):
+    made = augment.augmented_images(_images(f).drop("x"))
+    change = F.aggregate(F.zip_with("pixels", "result", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, v: a + v) / 63.0
+    return made.groupBy("augmentation").agg(F.count("*").alias("n"), F.avg(change).alias("mean_change"))
+
+
 @query()
 def augmentation_delta_norms(f, spark, sf_dir):
     encode = lambda batch: batch.reshape(len(batch), 21, 3).mean(axis=1)

@@ -1,9 +1,12 @@
+import colorsys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eigenloom.functions import names
 from eigenloom.functions import vectors as V
+from eigenloom.operators import augment
 from eigenloom.operators import deltas as D
 from eigenloom.operators import erasers as E
 from eigenloom.operators import images as I
@@ -164,6 +167,51 @@ def test_summaries(spark):
     assert A.image_pair_summary(pairs, "target", ["mae"]).first().mae_improvement == 2.0
 
 
+def test_augmentations(spark):
+    rng = np.random.default_rng(1)
+    p = rng.integers(0, 256, (13, 21, 3)).astype(np.uint8)
+    flat_grey, white = np.full((16, 16, 3), 100, np.uint8), np.full((8, 8, 3), 255, np.uint8)
+    known = augment.specs()
+    assert len(known) == 56 and known["blur_downup_lab_l_sigma_0.5_scale_0.9"].params == {"sigma": 0.5, "scale": 0.9}
+    for name, spec in known.items():
+        out = spec(p)
+        assert out.shape == p.shape and out.dtype == np.uint8 and (out == spec(p)).all(), name
+        if spec.family.startswith(("blur", "downup", "jpeg")):
+            assert np.abs(spec(flat_grey).astype(int) - 100).max() <= 2, name
+    for y, x in ((0, 0), (5, 7), (12, 20)):
+        h, s, v = colorsys.rgb_to_hsv(*(p[y, x] / 255))
+        want = colorsys.hsv_to_rgb((h + 8 / 180) % 1, min(1, s + 10 / 255), max(0, v - 5 / 255))
+        assert np.abs(augment.shift_hsv(p, 8, 10, -5)[y, x] - 255 * np.array(want)).max() <= 0.51
+    assert (augment.shift_hsv(p) == p).all() and np.abs(augment.jpeg(p, 100).astype(int) - p).max() <= 4
+    assert [np.abs(known[f"jpeg_quality_{q}"](p).astype(int) - p).mean() for q in (95, 80, 60, 40)] == sorted(np.abs(known[f"jpeg_quality_{q}"](p).astype(int) - p).mean() for q in (95, 80, 60, 40))
+    for preset in augment.PRESETS:
+        one, other = (augment.build_augmentation("random", preset, seed=k) for k in (1, 2))
+        assert (one(p) == one(p)).all() and any((one(q) != other(q)).any() for q in (p, p // 2, p // 3))
+    jitter = augment.build_augmentation("stain", "stain")
+    assert (augment.build_augmentation("stain", "stain", on_error="identity")(white) == white).all() and jitter(p // 2).shape == p.shape
+    df = spark.createDataFrame([(1, p.ravel().tolist(), 13, 21), (2, white.ravel().tolist(), 8, 8), (3, None, 1, 1)], "id long, pixels array<int>, height int, width int")
+    assert {r.id: r.result is None for r in I.map_pixels(df.filter("id < 3"), jitter).collect()} == {1: False, 2: True}
+    made = {(r.id, r.augmentation): r.result for r in augment.augmented_images(df, ["gamma_85", "brightness_0.1"]).collect()}
+    assert set(made) == {(i, n) for i in (1, 2) for n in ("gamma_85", "brightness_0.1")} and made[1, "gamma_85"] == known["gamma_85"](p).ravel().tolist()
+    for backend, preset in (("random", "none"), ("nothing", "x"), ("deterministic", "blur")):
+        with pytest.raises(ValueError):
+            augment.build_augmentation(backend, preset)
+
+
+def test_sparse_stains(spark):
+    rng = np.random.default_rng(0)
+    truth = np.array([[0.70, 0.65, 0.29], [0.30, 0.93, 0.21]])
+    truth = truth / np.linalg.norm(truth, axis=1, keepdims=True)
+    amounts = rng.gamma(1.0, 0.8, (2, 3000)) * (rng.random((2, 3000)) < 0.8)
+    flat = I.compose_pixels(amounts, truth).ravel().tolist()
+    df = spark.createDataFrame([("s", None, flat[:3000]), ("s", None, flat[3000:]), ("s", "b", [255] * 12)], "slide string, scanner string, pixels array<int>")
+    got = I.sparse_stain_matrices(df, ["slide", "scanner"], rounds=12, penalty=0.05).collect()
+    assert len(got) == 1 and got[0].scanner is None
+    found = np.array(got[0].matrix)
+    best = max(np.abs(np.sum(found * t, axis=1)).min() for t in (truth, truth[::-1]))
+    assert np.allclose(np.linalg.norm(found, axis=1), 1) and best > 0.97
+
+
 def test_images(spark):
     rng = np.random.default_rng(0)
     truth = np.array([[0.65, 0.70, 0.29], [0.07, 0.99, 0.11]])
