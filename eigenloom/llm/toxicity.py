@@ -11,17 +11,19 @@ its own discounted four-symbol counts with one shared backoff, an interpolated
 Kneser-Ney model of continuation counts (distinct symbols seen before an
 expression) over all documents: an expression that a class has rarely seen is
 judged by what is usual in the corpus. A document's evidence is the difference
-of its two log-likelihoods divided by its number of symbols; a curve turns evidence and
-length into a score: logistic weights make one number of both, and a rising step
-function of it, joined by lines, gives the share of toxic rows.
+of its two log-likelihoods divided by its number of symbols. So that a few toxic
+words show in a long text, it is also taken word by word: a document's peak is
+the mean of the three highest differences of its words. A curve turns evidence,
+peak and length into a score: logistic weights make one number of them, and a
+rising step function of it, joined by lines, gives the share of toxic rows.
 
 The curve is fitted on evidence that training documents get from models that
 have not seen them: training rows are in ``PARTS`` parts by their hash, and each
 part is judged by the models of the others. It is fitted on a histogram over all
-training rows, whose bins are fixed, so no rows come to the driver.
+training rows with fixed bins and each bin's means, so no rows come to the driver.
 
 Defined results
-    null text: an empty one; texts without symbols get evidence 0; a repeated
+    null text: an empty one; texts without symbols get evidence and peak 0; a repeated
     ``doc_id`` in the labels counts as toxic if any of its rows is; null labels
     and ids are ignored; without a toxic or without an ordinary training row
     every score is 0; empty table: no rows. Added column names avoid those of
@@ -50,8 +52,10 @@ PARTS = 4
 THRESHOLD = 0.7
 #: Rows of the training labels up to which they are broadcast to the texts.
 LABEL_ROWS = 2_000_000
-#: Steps of the histogram that the curve is fitted on.
-EVIDENCE_STEP, EVIDENCE_LIMIT, LENGTH_STEP = 1 / 512, 4.0, 0.5
+#: Steps and ends of the histogram that the curve is fitted on: evidence, peak, binary log of the length.
+STEPS = {"evidence": (1 / 64, -2.0, 2.0), "peak": (0.5, -4.0, 60.0), "log_length": (1.0, 0.0, 40.0)}
+#: Words whose mean is a document's peak.
+TOP_WORDS = 3
 #: Bytes of a text that are counted at once; bounds memory on long texts.
 SLICE = 1 << 20
 
@@ -148,9 +152,9 @@ def log_ratio(toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray) -> np.nd
 
 @dataclass(frozen=True)
 class Curve:
-    """Weights of (1, evidence, evidence by root of length), and points (z, share of toxic rows) that rise."""
+    """Weights of ``_features``, and points (z, share of toxic rows) that rise."""
 
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
     points: tuple[tuple[float, float], ...]
 
 
@@ -176,29 +180,49 @@ def fit_tables(counts: DataFrame) -> np.ndarray | None:
     return np.stack([log_ratio(toxic, plain, shared), *without])
 
 
+def measure_text(text: str | None, tables: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Symbols of a text, and by each table its mean log-ratio a symbol and its peak: the mean of the highest words' sums.
+
+    A word ends with the separator after it; one that a slice cuts goes on in the next.
+    """
+    n, words, total, open_sum = 0, 0, np.zeros(len(tables)), np.zeros(len(tables))
+    top = np.full((len(tables), TOP_WORDS), -np.inf)
+    for cells in expressions(text):
+        values = tables[:, cells].astype(np.float64)
+        n += len(cells)
+        total += values.sum(axis=1)
+        ends = np.flatnonzero(cells % SYMBOLS == 0)
+        starts = np.concatenate([[0], ends + 1])
+        sums = np.add.reduceat(values, starts[starts < len(cells)], axis=1)
+        sums[:, 0] += open_sum
+        cut = starts[-1] < len(cells)
+        open_sum = sums[:, -1] if cut else np.zeros(len(tables))
+        whole = sums[:, :-1] if cut else sums
+        words += whole.shape[1]
+        top = np.partition(np.concatenate([top, whole], axis=1), -TOP_WORDS, axis=1)[:, -TOP_WORDS:]
+    seen = min(words, TOP_WORDS)
+    return n, total / max(n, 1), np.where(np.isfinite(top), top, 0).sum(axis=1) / max(seen, 1)
+
+
 def evidence_udf(spark, tables: np.ndarray):
-    """UDF: text to (n_symbols, evidence): mean log-ratio a symbol by each table."""
+    """UDF: text to (n_symbols, evidence, peak), the last two by each table."""
     shared = spark.sparkContext.broadcast(tables)
-    kind = StructType([StructField("n_symbols", LongType()), StructField("evidence", ArrayType(DoubleType()))])
+    kind = StructType([StructField("n_symbols", LongType()), StructField("evidence", ArrayType(DoubleType())), StructField("peak", ArrayType(DoubleType()))])
 
     def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            sizes, means = [], []
-            for text in batch:
-                n, sums = 0, np.zeros(len(shared.value))
-                for cells in expressions(text):
-                    n += len(cells)
-                    sums += shared.value[:, cells].sum(axis=1, dtype=np.float64)
-                sizes.append(n)
-                means.append(sums / max(n, 1))
-            yield pd.DataFrame({"n_symbols": sizes, "evidence": means})
+            yield pd.DataFrame([measure_text(text, shared.value) for text in batch], columns=["n_symbols", "evidence", "peak"])
 
     return F.pandas_udf(measure, kind)
 
 
-def _features(evidence: np.ndarray, log2_length: np.ndarray) -> np.ndarray:
-    """Intercept, evidence a symbol, and evidence weighed by the root of the length."""
-    return np.stack([np.ones_like(evidence), evidence * 20, evidence * np.sqrt(np.exp2(log2_length)) / 2], axis=1)
+def _features(evidence, peak, log_length, root):
+    """Intercept and length; evidence a symbol, evidence weighed by the root of the length, and peak."""
+    return [1, log_length, evidence * 20, evidence * root / 2, peak]
+
+
+#: Features from this one on never lower a score.
+RISING_FROM = 2
 
 
 def rising(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[tuple[float, float]]:
@@ -213,31 +237,45 @@ def rising(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[tuple[float, flo
     return [(float(z), share(ys, ns)) for first, ys, ns, last in blocks for z in sorted({first, last})]
 
 
-def fit_curve(bins: pd.DataFrame) -> Curve:
-    """From binned rows (evidence_bin, length_bin, toxic, n): Newton steps for the weights, slightly regularised, then the points."""
-    x = _features(bins["evidence_bin"].to_numpy(float) * EVIDENCE_STEP, bins["length_bin"].to_numpy(float) * LENGTH_STEP)
-    y, n = bins["toxic"].to_numpy(float), bins["n"].to_numpy(float)
-    w = np.zeros(3)
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
-    for _ in range(50):
+def _weights(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logistic weights by Newton steps, slightly regularised."""
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([1e-6] + [1e-2] * (x.shape[1] - 1))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (n * (p - y)) + ridge @ w
-        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(3)
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         size = np.abs(step).max()
         w = w - step * min(1.0, 2.0 / max(size, 1e-12))
         if size < 1e-8:
             break
-    # more evidence must never lower a score
-    w[1:] = np.maximum(w[1:], 0)
-    return Curve(tuple(float(v) for v in w), tuple(rising(np.clip(x @ w, -30, 30), n * y, n)))
+    return w
 
 
-def curve_score(curve: Curve, evidence: Column, n_symbols: Column) -> Column:
+def fit_curve(bins: pd.DataFrame) -> Curve:
+    """From binned rows (evidence, peak, log_length, toxic, n): weights, of which those that would lower a score are left out, then the points."""
+    evidence, peak, log_length = (bins[c].to_numpy(float) for c in STEPS)
+    x = np.stack(np.broadcast_arrays(*_features(evidence, peak, log_length, np.exp2(log_length / 2))), axis=1)
+    y, n = bins["toxic"].to_numpy(float), bins["n"].to_numpy(float)
+    used = list(range(x.shape[1]))
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = _weights(x[:, used], y, n)
+        if w[RISING_FROM:].min() >= 0:
+            return Curve(tuple(float(v) for v in w), tuple(rising(np.clip(x @ w, -30, 30), n * y, n)))
+        used.remove(RISING_FROM + int(w[RISING_FROM:].argmin()))
+
+
+def log_length_of(n_symbols: Column) -> Column:
+    return F.log2(F.greatest(n_symbols, F.lit(1)).cast("double"))
+
+
+def curve_score(curve: Curve, evidence: Column, peak: Column, n_symbols: Column) -> Column:
     """The fitted curve as a column, 0 to 1, strictly rising."""
     root = F.sqrt(F.greatest(n_symbols, F.lit(1)).cast("double"))
-    w = curve.weights
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(w[0]) + F.lit(w[1]) * evidence * 20 + F.lit(w[2]) * evidence * root / 2))
+    terms = [F.lit(w) * x for w, x in zip(curve.weights, _features(evidence, peak, log_length_of(n_symbols), root), strict=True)]
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum(terms[1:], terms[0])))
     level = F.lit(curve.points[0][1])
     for (a, low), (b, high) in zip(curve.points, curve.points[1:], strict=False):
         level = level + F.lit((high - low) / max(b - a, 1e-9)) * F.greatest(F.lit(0.0), F.least(F.lit(max(b - a, 1e-9)), z - F.lit(a)))
@@ -248,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks and that are not held out.
 
     Returns the model, or with ``measured`` the model and the table
-    (doc_id, n_symbols, evidence) of all documents that it was fitted with.
+    (doc_id, n_symbols, evidence, peak) of all documents that it was fitted with.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -265,30 +303,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     judged = texts if measured else join_checked(texts, known, texts["doc_id"] == known["known_id"], "left_semi", LABEL_ROWS)
     evidence = judged.select("doc_id", evidence_udf(spark, tables)(F.col("text")).alias("e")).select("doc_id", "e.*")
     evidence = materialise(evidence, "toxicity-evidence")
-    by_others = F.get("evidence", F.col("part") + 1)
-    clipped = F.greatest(F.lit(-EVIDENCE_LIMIT), F.least(F.lit(EVIDENCE_LIMIT), by_others))
-    bins = (
-        evidence.join(known, evidence["doc_id"] == known["known_id"])
-        .groupBy(
-            F.round(clipped / EVIDENCE_STEP).cast("int").alias("evidence_bin"),
-            F.round(F.log2(F.greatest("n_symbols", F.lit(1))) / LENGTH_STEP).cast("int").alias("length_bin"),
-            F.col("toxic").cast("int").alias("toxic"),
-        )
-        .agg(F.count("*").alias("n"))
+    of_others = lambda c: F.get(c, F.col("part") + 1).alias(c)
+    rows = evidence.join(known, evidence["doc_id"] == known["known_id"]).select(
+        of_others("evidence"), of_others("peak"), log_length_of(F.col("n_symbols")).alias("log_length"), F.col("toxic").cast("int").alias("toxic")
+    )
+    within = {c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c))) for c, (_, low, high) in STEPS.items()}
+    rows = rows.withColumns(within)
+    bins = rows.groupBy("toxic", *[F.round(F.col(c) / step).alias(f"{c}_bin") for c, (step, *_) in STEPS.items()]).agg(
+        F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in STEPS]
     )
     model = ToxicityModel(tables, fit_curve(bins.toPandas()))
     return (model, evidence) if measured else model
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_symbols, log_ratio) of every document."""
+    """(doc_id, held_out, score, predicted, n_symbols, log_ratio, peak) of every document."""
     model, evidence = fit(docs, labels, id_col=id_col, text_col=text_col, measured=True)
     held = F.coalesce(hash_of(F.col("doc_id")) % 3 == 1, F.lit(False)).alias("held_out")
     if model.curve is None:
         zero = docs.select(F.col(id_col).alias("doc_id"))
-        return zero.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_ratio"))
-    scored = evidence.select("doc_id", held, curve_score(model.curve, F.get("evidence", F.lit(0)), F.col("n_symbols")).alias("score"), "n_symbols", F.get("evidence", F.lit(0)).alias("log_ratio"))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_symbols", "log_ratio")
+        return zero.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_ratio"), F.lit(0.0).alias("peak"))
+    own = [F.get(c, F.lit(0)) for c in ("evidence", "peak")]
+    scored = evidence.select("doc_id", held, curve_score(model.curve, *own, F.col("n_symbols")).alias("score"), "n_symbols", own[0].alias("log_ratio"), own[1].alias("peak"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_symbols", "log_ratio", "peak")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -299,4 +336,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     measure = evidence_udf(docs.sparkSession, model.tables[:1])(body(text_col))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     judged = docs.select(row.alias("row"), measure.alias("e"))
-    return judged.filter(curve_score(model.curve, F.get("e.evidence", F.lit(0)), F.col("e.n_symbols")) < threshold).select("row.*")
+    own = [F.get(f"e.{c}", F.lit(0)) for c in ("evidence", "peak")]
+    return judged.filter(curve_score(model.curve, *own, F.col("e.n_symbols")) < threshold).select("row.*")

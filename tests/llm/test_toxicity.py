@@ -74,6 +74,30 @@ def test_slices_of_long_texts_join(monkeypatch):
     assert np.array_equal(np.concatenate(list(toxicity.expressions(text))), whole)
 
 
+def test_measures_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    tables = rng.normal(size=(2, toxicity.CELLS)).astype(np.float32)
+    for text in (prose(4, 200), "one", "a b", " ,. ", "", None, "end.  \n"):
+        line = "".join(c if c.isalpha() else " " for c in (text or "") + " ")
+        while "  " in line:
+            line = line.replace("  ", " ")
+        line = "   " + line.lstrip()
+        number = lambda c: 0 if c == " " else ord(c) - 96
+        values, words = [], []
+        for i in range(3, len(line)):
+            cell = sum(number(c) << 5 * (3 - k) for k, c in enumerate(line[i - 3 : i + 1]))
+            values.append(tables[:, cell])
+            if i == 3 or line[i - 1] == " ":
+                words.append(0)
+            words[-1] = words[-1] + tables[:, cell].astype(float)
+        for size in (1 << 20, 7):
+            monkeypatch.setattr(toxicity, "SLICE", size)
+            n, mean, peak = toxicity.measure_text(text, tables)
+            assert n == len(values)
+            assert np.allclose(mean, np.mean(values, axis=0) if values else 0, atol=1e-5)
+            assert np.allclose(peak, np.sort(np.array(words), axis=0)[-3:].mean(axis=0) if words else 0, atol=1e-5)
+
+
 def test_odd_rows_and_missing_classes(spark):
     docs = odd_documents(spark)
     marks = spark.createDataFrame([(1, 1), (1, 0), (7, 0), (8, 0), (None, 1), (5, None), (9, 1)], "doc_id long, toxic int")
