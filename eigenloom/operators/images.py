@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from eigenloom.functions import vectors as V
 from eigenloom.session import join_checked, materialise
 
 IO, BETA = 240.0, 0.15
@@ -134,32 +135,61 @@ def map_pixels(df: DataFrame, function: Callable[[np.ndarray], np.ndarray], *, p
     return df.withColumn(output, mapped(pixels, height, width))
 
 
+def dense_colours(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(at, k, m, x0, x1, x2): each colour dense in every channel, its pixels of a key counted, as optical densities.
+
+    ``at`` is the key as text (nulls included), ``k`` as a struct. Counting comes
+    first, so a key has 2 ** 24 rows at most, however many tiles it has.
+    """
+    triples = F.transform(F.sequence(F.lit(0), F.floor(F.size("pixels") / 3).cast("int") - 1), lambda i: F.slice("pixels", i * 3 + 1, F.lit(3)))
+    k = F.struct(*keys)
+    each = df.filter(F.size("pixels") >= 3).select(k.alias("k"), F.explode(triples).alias("p"))
+    each = each.select(F.to_json("k", {"ignoreNullFields": "false"}).alias("at"), "k", *[F.get("p", F.lit(c)).alias(f"p{c}") for c in range(3)])
+    counted = each.groupBy("at", "p0", "p1", "p2").agg(F.first("k").alias("k"), F.count("*").alias("m"))
+    densities = [(-F.log((F.col(f"p{c}").cast("double") + 1) / F.lit(IO))).alias(f"x{c}") for c in range(3)]
+    dense = counted.select("at", "k", "m", *densities).filter(" AND ".join(f"x{c} >= {BETA}" for c in range(3)))
+    return materialise(dense, "dense-colours")
+
+
+def _planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The two main axes of each key's densities, from its sums."""
+    for batch in batches:
+        out = []
+        for r in batch.to_dict("records"):
+            mean = np.array([r[f"s{i}"] for i in range(3)]) / r["n"]
+            second = np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]) / r["n"]
+            plane = np.linalg.eigh(second - np.outer(mean, mean))[1][:, [2, 1]]
+            plane = plane * np.where(plane[0] < 0, -1.0, 1.0)
+            out.append((r["at"], r["n"], *plane[:, 0], *plane[:, 1]))
+        yield pd.DataFrame(out, columns=["at", "n", "u0", "u1", "u2", "v0", "v1", "v2"])
+
+
 def pooled_stain_matrices(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, matrix): stain matrix of all tiles of a slide and scanner, from their pooled density moments and angles.
 
-    Angles need the plane of all pixels first, so there are two passes: moments
-    by key (merged, bounded), then exact angle percentiles per key in Spark.
+    Angles need the plane of all pixels first, so there are two passes over the
+    counted colours: sums by key, then exact angle percentiles by key.
     """
-    od = F.transform("pixels", lambda p: -F.log((p.cast("double") + 1) / F.lit(IO)))
-    triples = F.transform(F.sequence(F.lit(0), F.floor(F.size("od") / 3).cast("int") - 1), lambda i: F.slice("od", i * 3 + 1, F.lit(3)))
-    dense = df.select(*keys, od.alias("od")).select(*keys, F.explode(triples).alias("p")).filter(F.forall("p", lambda v: v >= BETA))
-    from eigenloom.operators.moments import collect_moments
-
-    key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
-    planes = {}
-    for name, m in collect_moments(dense.withColumn("_key", key), "p", "_key").items():
-        if m.n > 1:
-            plane = np.linalg.eigh(m.covariance())[1][:, [2, 1]]
-            planes[name] = plane * np.where(plane[0] < 0, -1.0, 1.0)
-    rows = [(k, v[:, 0].tolist(), v[:, 1].tolist()) for k, v in planes.items()]
-    table = df.sparkSession.createDataFrame(rows, "_key string, u array<double>, v array<double>")
-    from eigenloom.functions import vectors as V
-
-    angles = dense.withColumn("_key", key).join(table, "_key").withColumn("angle", F.atan2(V.dot("p", "v"), V.dot("p", "u")))
-    ends = angles.groupBy(*keys, "u", "v").agg(F.count("*").alias("n"), F.percentile("angle", F.array(F.lit(0.01), F.lit(0.99))).alias("a"))
-    row = lambda k: V.normalise(V.add(V.scale("u", F.cos(F.get("a", F.lit(k)))), V.scale("v", F.sin(F.get("a", F.lit(k))))), 0.0)
-    both = ends.select(*keys, "n", row(0).alias("r0"), row(1).alias("r1"))
-    return both.select(*keys, "n", F.when(F.get("r0", F.lit(0)) >= F.get("r1", F.lit(0)), F.array("r0", "r1")).otherwise(F.array("r1", "r0")).alias("matrix"))
+    pixels = dense_colours(df, keys)
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = pixels.groupBy("at").agg(
+        F.sum("m").alias("n"),
+        *[F.sum(F.col("m") * F.col(f"x{i}")).alias(f"s{i}") for i in range(3)],
+        *[F.sum(F.col("m") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in pairs],
+    )
+    axes = ", ".join(f"{a}{c} double" for a in "uv" for c in range(3))
+    planes = materialise(sums.filter("n > 1").mapInPandas(_planes, f"at string, n long, {axes}"), "stain-planes")
+    onto = lambda a: sum((F.col(f"{a}{c}") * F.col(f"x{c}") for c in range(3)), F.lit(0.0))
+    angles = join_checked(pixels, planes, "at").withColumn("angle", F.atan2(onto("v"), onto("u")))
+    plane = [f"{a}{c}" for a in "uv" for c in range(3)]
+    ends = angles.groupBy("at", "n", *plane).agg(F.first("k").alias("k"), F.percentile("angle", F.array(F.lit(0.01), F.lit(0.99)), F.col("m")).alias("a"))
+
+    def row(end: int):
+        angle = F.get("a", F.lit(end))
+        return V.normalise(F.array(*[F.col(f"u{c}") * F.cos(angle) + F.col(f"v{c}") * F.sin(angle) for c in range(3)]), 0.0)
+
+    both = ends.select("k", "n", row(0).alias("r0"), row(1).alias("r1"))
+    return both.select("k.*", "n", F.when(F.get("r0", F.lit(0)) >= F.get("r1", F.lit(0)), F.array("r0", "r1")).otherwise(F.array("r1", "r0")).alias("matrix"))
 
 
 #: Usual absorbances of haematoxylin and eosin, where sparse estimates start.
@@ -169,18 +199,13 @@ USUAL_STAINS = ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11))
 def sparse_stain_matrices(df: DataFrame, keys: list[str], *, rounds: int = 30, penalty: float = 0.1) -> DataFrame:
     """(keys, n, matrix): stain rows of non-negative sparse factors (OD = amounts x stains) over all tiles of a slide and scanner.
 
-    Every round is one pass: a pixel's two amounts have a closed form (both, or
+    Every round is one pass over the counted colours: a colour's two amounts have a closed form (both, or
     the better one alone, or none), and the next stains need only sums of amounts
     times amounts and amounts times densities, so a key's pixels are never in one place.
     """
-    spark = df.sparkSession
-    od = F.transform("pixels", lambda p: -F.log((p.cast("double") + 1) / F.lit(IO)))
-    triples = F.transform(F.sequence(F.lit(0), F.floor(F.size("od") / 3).cast("int") - 1), lambda i: F.slice("od", i * 3 + 1, F.lit(3)))
-    key = F.struct(*keys)
-    pixels = df.select(key.alias("k"), od.alias("od")).select("k", F.explode(triples).alias("p")).filter(F.forall("p", lambda v: v >= BETA))
-    pixels = materialise(pixels.select(F.to_json("k", {"ignoreNullFields": "false"}).alias("at"), "k", *[F.get("p", F.lit(c)).alias(f"x{c}") for c in range(3)]), "stain-pixels")
+    pixels = dense_colours(df, keys)
     row = lambda v: [float(x) for x in np.array(v) / np.linalg.norm(v)]
-    stains = pixels.groupBy("at").agg(F.first("k").alias("k"), F.count("*").alias("n"))
+    stains = pixels.groupBy("at").agg(F.first("k").alias("k"), F.sum("m").alias("n"))
     stains = stains.select("at", "k", "n", *[F.lit(x).alias(f"w{r}{c}") for r in range(2) for c, x in enumerate(row(USUAL_STAINS[r]))])
     sums = [(f"a{i}{j}", F.col(f"c{i}") * F.col(f"c{j}")) for i, j in ((0, 0), (0, 1), (1, 1))] + [(f"b{i}{c}", F.col(f"c{i}") * F.col(f"x{c}")) for i in range(2) for c in range(3)]
     for _ in range(rounds):
@@ -191,7 +216,7 @@ def sparse_stain_matrices(df: DataFrame, keys: list[str], *, rounds: int = 30, p
         both = [(F.col(f"f{i}") - F.col("g") * F.col(f"f{1 - i}")) / rest for i in range(2)]
         alone = [F.when(F.col(f"f{i}") >= F.col(f"f{1 - i}"), F.greatest(F.col(f"f{i}"), F.lit(0.0))).otherwise(0.0) for i in range(2)]
         amounts = {f"c{i}": F.when((both[0] >= 0) & (both[1] >= 0), both[i]).otherwise(alone[i]) for i in range(2)}
-        stats = seen.withColumns(amounts).groupBy("at").agg(*[F.sum(v).alias(name) for name, v in sums])
+        stats = seen.withColumns(amounts).groupBy("at").agg(*[F.sum(F.col("m") * v).alias(name) for name, v in sums])
         moved = stains.join(stats, "at")
         for i in range(2):  # one row of stains after the other, the second with the first's new values
             own, cross = F.greatest(F.col(f"a{i}{i}"), F.lit(1e-9)), F.col("a01")
