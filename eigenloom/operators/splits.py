@@ -7,10 +7,15 @@ rows is a top-k by that hash, which every task cuts before anything is shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eigenloom.session import join_checked
+from eigenloom.session import join_checked, materialise
+
+#: Samples up to this size are one top-k.
+TOP_ROWS = 10_000
 
 
 def sample_key(keys: list[str], seed: int = 0) -> Column:
@@ -20,26 +25,92 @@ def sample_key(keys: list[str], seed: int = 0) -> Column:
 
 
 def sample_rows(df: DataFrame, max_rows: int | None, keys: list[str], seed: int = 0) -> DataFrame:
-    """At most ``max_rows`` rows, without replacement."""
-    return df if max_rows is None else df.orderBy(sample_key(keys, seed), *keys).limit(max_rows)
+    """At most ``max_rows`` rows, without replacement: those first by ``sample_key``.
+
+    Few rows are a top-k. For many, counts by the hash's first digits tell which
+    rows are in whatever their order, so that only the rows of one prefix are
+    ranked and no task gets the whole sample from every other.
+    """
+    if max_rows is None:
+        return df
+    place = sample_key(keys, seed)
+    if max_rows <= TOP_ROWS:
+        return df.orderBy(place, *keys).limit(max_rows)
+    prefix = F.substring(place, 1, 4)
+    left = max_rows
+    for row in df.groupBy(prefix.alias("prefix")).count().orderBy("prefix").collect():  # at most 16 ** 4
+        if row["count"] > left:
+            return df.filter(prefix < row["prefix"]).unionByName(df.filter(prefix == row["prefix"]).orderBy(place, *keys).limit(left))
+        left -= row["count"]
+    return df
+
+
+def _terms_below(level: np.ndarray, size: np.ndarray, loads: np.ndarray) -> np.ndarray:
+    """By fold, how many groups of ``size`` it takes while its load is below ``level``."""
+    return np.maximum(0, -(-(level[:, None] - loads) // size[:, None]))
+
+
+def _level(place: np.ndarray, size: np.ndarray, loads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Load of the fold that takes the group at ``place``; which folds have that load then, and how many of them are served before."""
+    low, high = loads.min(1), loads.max(1) + (place + 1) * size
+    while (high - low > 1).any():
+        middle = (low + high) // 2
+        fits = _terms_below(middle, size, loads).sum(1) <= place
+        low, high = np.where(fits, middle, low), np.where(fits, high, middle)
+    equal = (loads <= low[:, None]) & ((low[:, None] - loads) % size[:, None] == 0)
+    return low, equal, place - _terms_below(low, size, loads).sum(1)
+
+
+def lightest_fold(place: np.ndarray, size: np.ndarray, loads: np.ndarray) -> np.ndarray:
+    """Folds of the groups at ``place`` (from 0) of a run of equal ``size``, each dealt to the lightest fold, the lowest of equals.
+
+    A fold's loads in such a run are load, load + size, ...; the group at a place
+    takes the fold of the number at that place among all of these in order.
+    """
+    _, equal, before = _level(place, size, loads)
+    return (np.cumsum(equal, axis=1) == before[:, None] + 1).argmax(1)
+
+
+def loads_after(count: int, size: int, loads: np.ndarray) -> np.ndarray:
+    """Loads of the folds after a run of ``count`` groups of ``size``."""
+    n, s, all_loads = np.array([count]), np.array([size]), loads[None, :]
+    level, equal, left = _level(n, s, all_loads)
+    taken = _terms_below(level, s, all_loads) + (equal & (np.cumsum(equal, axis=1) <= left[:, None]))
+    return loads + taken[0] * size
 
 
 def group_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
     """(group, fold): groups by size, then name, descending, each to the lightest fold, the lowest of equals.
 
-    One row a group is dealt out on the driver; rows of data stay where they are.
+    Only the number of groups of each size comes to the driver (their sizes
+    differ, so they number at most the root of twice the rows). A group's place
+    among those of its size comes from ranges by size and name and prefix sums
+    of these, its fold from its place.
     """
-    sizes = df.dropna(subset=[group]).groupBy(group).agg(F.count("*").alias("n")).collect()
-    if len(sizes) < 2:
-        raise ValueError(f"{len(sizes)} groups; two are needed")
-    load = [0] * min(n_splits, len(sizes))
-    dealt = []
-    for row in sorted(sizes, key=lambda r: (r["n"], str(r[group])), reverse=True):
-        fold = load.index(min(load))
-        load[fold] += row["n"]
-        dealt.append((row[group], fold))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(dealt, f"`{group}` {kind}, fold int")
+    sizes = df.dropna(subset=[group]).groupBy(group).agg(F.count("*").alias("n"))
+    order = [F.col("n").desc(), F.col(group).cast("string").desc()]
+    ranged = sizes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(ranged, "fold-groups")
+    runs = ranged.groupBy("n").count().orderBy(F.desc("n")).collect()
+    total = sum(r["count"] for r in runs)
+    if total < 2:
+        raise ValueError(f"{total} groups; two are needed")
+    loads, starts = np.zeros(min(n_splits, total), np.int64), []
+    for row in runs:
+        starts.append((row["n"], loads.tolist()))
+        loads = loads_after(row["count"], row["n"], loads)
+    runs_table = df.sparkSession.createDataFrame(starts, "n long, _loads array<long>")
+    earlier = Window.partitionBy("n").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("n", "_part").agg(F.count("*").alias("_size")).select("n", "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("n", "_part").orderBy(F.col(group).cast("string").desc())
+    placed = ranged.withColumn("_row", F.row_number().over(inside) - 1).join(before, ["n", "_part"])
+    placed = join_checked(placed, runs_table, "n")
+
+    @F.pandas_udf("int")
+    def fold(place: pd.Series, size: pd.Series, loads: pd.Series) -> pd.Series:
+        return pd.Series(lightest_fold(place.to_numpy(), size.to_numpy(), np.stack(loads.to_numpy())) if len(place) else [], dtype="int32")
+
+    return materialise(placed.select(group, fold(F.col("_row") + F.col("_before"), "n", "_loads").alias("fold")), "folds")
 
 
 def with_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:

@@ -167,6 +167,37 @@ def test_summaries(spark):
     assert A.image_pair_summary(pairs, "target", ["mae"]).first().mae_improvement == 2.0
 
 
+def test_folds_against_dealing_one_by_one(spark):
+    rng = np.random.default_rng(2)
+    for sizes in ([7] * 23, [100, 3, 3, 3, 2, 2] + [1] * 40, rng.integers(1, 9, 60).tolist(), [5, 4]):
+        loads, want = [0] * min(4, len(sizes)), []
+        for size in sorted(sizes, reverse=True):
+            want.append(loads.index(min(loads)))
+            loads[want[-1]] += size
+        got, now = [], np.zeros(min(4, len(sizes)), np.int64)
+        for size in sorted(set(sizes), reverse=True):
+            n = sizes.count(size)
+            got += K.lightest_fold(np.arange(n), np.full(n, size), np.tile(now, (n, 1))).tolist()
+            now = K.loads_after(n, size, now)
+        assert got == want and now.tolist() == loads
+    rows = [(f"g{k}", j) for k in range(40) for j in range(1 + k % 3)] + [(None, 0)]
+    loads, want = [0] * 3, {}
+    for k in sorted(range(40), key=lambda k: (1 + k % 3, f"g{k}"), reverse=True):
+        want[f"g{k}"] = loads.index(min(loads))
+        loads[want[f"g{k}"]] += 1 + k % 3
+    folds = K.group_folds(spark.createDataFrame(rows, "g string, j int").repartition(5), "g", 3)
+    assert {r.g: r.fold for r in folds.collect()} == want
+
+
+def test_large_samples_are_those_first_by_hash(spark, monkeypatch):
+    df = spark.range(3000)
+    want = {r.id for r in K.sample_rows(df, 700, ["id"], 5).collect()}
+    monkeypatch.setattr(K, "TOP_ROWS", 10)
+    got = [r.id for r in K.sample_rows(df, 700, ["id"], 5).collect()]
+    assert len(got) == 700 and set(got) == want
+    assert K.sample_rows(df, 5000, ["id"], 5).count() == 3000
+
+
 def test_augmentations(spark):
     rng = np.random.default_rng(1)
     p = rng.integers(0, 256, (13, 21, 3)).astype(np.uint8)
