@@ -56,6 +56,8 @@ LABEL_ROWS = 2_000_000
 STEPS = {"evidence": (1 / 64, -2.0, 2.0), "peak": (0.5, -4.0, 60.0), "log_length": (1.0, 0.0, 40.0)}
 #: Words whose mean is a document's peak.
 TOP_WORDS = 3
+#: Shorter texts count as this long in the curve, which has little to go by there.
+LEAST_SYMBOLS = 64
 #: Bytes of a text that are counted at once; bounds memory on long texts.
 SLICE = 1 << 20
 
@@ -268,12 +270,12 @@ def fit_curve(bins: pd.DataFrame) -> Curve:
 
 
 def log_length_of(n_symbols: Column) -> Column:
-    return F.log2(F.greatest(n_symbols, F.lit(1)).cast("double"))
+    return F.log2(F.greatest(n_symbols, F.lit(LEAST_SYMBOLS)).cast("double"))
 
 
 def curve_score(curve: Curve, evidence: Column, peak: Column, n_symbols: Column) -> Column:
     """The fitted curve as a column, 0 to 1, strictly rising."""
-    root = F.sqrt(F.greatest(n_symbols, F.lit(1)).cast("double"))
+    root = F.sqrt(F.greatest(n_symbols, F.lit(LEAST_SYMBOLS)).cast("double"))
     terms = [F.lit(w) * x for w, x in zip(curve.weights, _features(evidence, peak, log_length_of(n_symbols), root), strict=True)]
     z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum(terms[1:], terms[0])))
     level = F.lit(curve.points[0][1])
