@@ -6,9 +6,11 @@ spans that a model is trained on: the assistant's words and the end mark after
 them. Context roles (``system``) speak in every rendering and get none.
 
 A rendering is cut into parts by turn number, ``TURNS`` turns each, and a part
-into pieces by content hash where one turn number has very many rows; so no
-task or group holds a conversation, however long it is. Part after part, piece
-after piece, is the dialogue in order; spans count from the piece's start.
+of very many rows into pieces by ranges of turn numbers; only the rows of one
+turn number that alone is too large for a piece are dealt by content hash, to
+pieces of that turn. So no task or group holds a conversation, however long it
+is. Part after part, piece after piece, is the dialogue in the order of turns;
+spans count from the piece's start.
 
 Defined results
     null text: an empty turn; null role: a speaker named ``unknown``; null
@@ -26,13 +28,35 @@ from pyspark.sql import functions as F
 from eigenloom.session import null_safe
 
 TURNS = 64
-#: Rows of a part from which it is cut into pieces of about this size.
+#: Rows of a piece, beyond which a part is cut; pieces of a turn number's hashed rows have about as many.
 PIECE_ROWS = 512
 CONTEXT_ROLES = ("system",)
 #: The marks of a rendering.
 ASSISTANT, CONTEXT, USER, END = "<|assistant|>\n", "<|{role}|>\n", "<|user:{role}|>\n", "<|end|>\n"
 
 
+def turn_pieces(said: DataFrame, piece_rows: int) -> DataFrame:
+    """(of_conv, of_part, of_turn, first, pieces) of every turn number: its first piece, and how many it has to itself if over one.
+
+    Turn numbers fill pieces in ascending order; a part has at most ``TURNS`` of them and null.
+    """
+    counted = said.groupBy("conv_id", "part", "turn").agg(F.count("*").alias("n"))
+    parts = counted.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "n"))).alias("turns"))
+    number = lambda value: F.lit(value).cast("long")
+    dealt = "array<struct<of_turn: long, first: long, pieces: long>>"
+    start = F.struct(number(0).alias("piece"), number(0).alias("filled"), F.array().cast(dealt).alias("dealt"))
+
+    def step(seen, t):
+        first = seen["piece"] + F.when((seen["filled"] > 0) & (seen["filled"] + t["n"] > piece_rows), number(1)).otherwise(number(0))
+        pieces = F.ceil(t["n"] / piece_rows).cast("long")
+        filled = F.when(first == seen["piece"], seen["filled"]).otherwise(number(0)) + t["n"]
+        entry = F.array(F.struct(t["turn"].alias("of_turn"), first.alias("first"), pieces.alias("pieces")))
+        return F.struct((first + pieces - 1).alias("piece"), filled.alias("filled"), F.concat(seen["dealt"], entry).alias("dealt"))
+
+    entries = F.explode(F.aggregate("turns", start, step, lambda seen: seen["dealt"]))
+    return parts.select(F.col("conv_id").alias("of_conv"), F.col("part").alias("of_part"), entries.alias("t")).select("of_conv", "of_part", "t.*")
+
+
 def perspectives(conversations: DataFrame, *, turns: int = TURNS, piece_rows: int = PIECE_ROWS, context_roles=CONTEXT_ROLES) -> DataFrame:
     """(conv_id, speaker, part, piece, n_turns, rendered, spans) over a table (conv_id, turn, role, text).
 
@@ -46,11 +70,11 @@ def perspectives(conversations: DataFrame, *, turns: int = TURNS, piece_rows: in
         F.coalesce("text", F.lit("")).alias("text"),
     )
     said = said.withColumn("part", F.coalesce("part", F.lit(-1).cast("long"))).distinct()
-    rows = said.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    rows = rows.select(F.col("conv_id").alias("of_conv"), F.col("part").alias("of_part"), F.ceil(F.col("n") / piece_rows).alias("pieces"))
-    joined = said.join(rows, null_safe(said, rows, [("conv_id", "of_conv")]) & (said["part"] == rows["of_part"]))
+    rows = turn_pieces(said, piece_rows)
+    joined = said.join(rows, null_safe(said, rows, [("conv_id", "of_conv"), ("turn", "of_turn")]) & (said["part"] == rows["of_part"]))
     turn_in_order = F.struct("turn", "role", "text")
-    dealt = joined.withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("turn", "role", "text"), F.col("pieces"))).otherwise(F.lit(0)).cast("int"))
+    within = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("turn", "role", "text"), F.col("pieces"))).otherwise(F.lit(0))
+    dealt = joined.withColumn("piece", (F.col("first") + within).cast("int"))
     pieces = dealt.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(turn_in_order)).alias("said"))
     context = F.array(*[F.lit(r) for r in context_roles]) if context_roles else F.array().cast("array<string>")
     speakers = said.filter(~F.array_contains(context, F.col("role"))).select(F.col("conv_id").alias("speaks_in"), F.col("role").alias("speaker")).distinct()

@@ -144,6 +144,24 @@ def test_chat(spark):
     assert chat.perspectives(frame.limit(0)).collect() == []
 
 
+def test_pieces_of_a_chat_are_in_turn_order(spark):
+    # in part 0 turn 7 alone exceeds a piece; others share pieces; null turns come first of all
+    sizes = {k: 30 if k == 7 else 1 + k % 3 for k in range(80)} | {None: 12}
+    rows = [(c, t, "ab"[j % 2], f"{t} {j}") for c in (5, None) for t, n in sizes.items() for j in range(n)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    of_turn = lambda x: -1 if x.split()[0] == "None" else int(x.split()[0])
+    for conv in (5, None):
+        got = [r for r in chat.perspectives(frame, piece_rows=10).collect() if r.conv_id == conv and r.speaker == "a"]
+        got.sort(key=lambda r: (r.part, r.piece))
+        pieces = [[line for line in r.rendered.split("\n") if line and not line.startswith("<")] for r in got]
+        texts = [x.removesuffix("<|end|>") for piece in pieces for x in piece]
+        assert sorted(texts) == sorted(t for c, _, _, t in rows if c == conv)
+        turns = [of_turn(x) for x in texts]
+        assert turns == sorted(turns)
+        assert all(len(p) <= 10 or len({x.split()[0] for x in p}) == 1 for p in pieces)
+        assert len(pieces) < len(texts) / 4
+
+
 def test_url_parts_and_rules(spark):
     cases = {
         "http://A.Example.COM/De/x?y#z": ("a.example.com", "/De/x", None),
