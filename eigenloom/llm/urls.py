@@ -4,8 +4,9 @@ Rules (block or allow a host and its subdomains below a path) come first, the
 longest that fits. Hosts that no rule decides are judged by the links between
 hosts: trust starts at hosts with allowed pages and follows links (personalised
 PageRank); distrust starts at hosts with blocked pages and follows links
-backwards, from a site to those that link to it. A host is blocked where its
-distrust is over its trust and reaches ``BLOCK_AT``.
+backwards, from a site to those that link to it: a host has the damped mean
+distrust of what it links to, however many others link there too. A host is
+blocked where its distrust is over its trust and reaches ``BLOCK_AT``.
 
 Edges are links of pages to other hosts, counted by pair of hosts before they
 are shuffled, and links between a host and the host one label up where both
@@ -94,16 +95,25 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, back_by: str = "dst") -> DataFrame:
     """(host, trust, distrust) from ``seeds`` (host, trust, distrust) over ``edges`` (src, dst, n).
 
-    A host hands its trust to those it links to by their share of its links,
-    and its distrust to those that link to it by their share of these links.
-    In units of what a seed of 1 keeps for itself.
+    A host hands its trust to those it links to by their share of its links.
+    With ``back_by`` "dst" it hands its distrust to those that link to it by
+    their share of these links, so many linkers get little each; with "src" a
+    linker takes it by the share of its own links that go there. In units of
+    what a seed of 1 keeps for itself.
     """
+    if back_by not in ("src", "dst"):
+        raise ValueError(f"back_by is src or dst, not {back_by}")
     out = edges.groupBy("src").agg(F.sum("n").alias("n_out"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("n_in"))
-    shares = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("n_out")).alias("forward"), (F.col("n") / F.col("n_in")).alias("back"))
+    shares = edges.join(out, "src").withColumn("forward", F.col("n") / F.col("n_out"))
+    if back_by == "dst":
+        into = edges.groupBy("dst").agg(F.sum("n").alias("n_in"))
+        shares = shares.join(into, "dst").withColumn("back", F.col("n") / F.col("n_in"))
+    else:
+        shares = shares.withColumn("back", F.col("forward"))
+    shares = shares.select("src", "dst", "forward", "back")
     shares = materialise(shares, "url-edges")
     ends = shares.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
     zero = F.lit(0.0)
@@ -132,7 +142,7 @@ def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, roun
     judged = judged.withColumn("by_rule", rule_for(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.avg(F.when(F.col("by_rule.verdict") == verdict, 1.0).otherwise(0.0))
     hosts = materialise(judged.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "url-hosts")
-    scores = propagate(hosts, host_edges(pages, hosts), damping=damping, rounds=rounds)
+    scores = propagate(hosts, host_edges(pages, hosts), damping=damping, rounds=rounds, back_by="src")
     scores = scores.select(F.col("host").alias("of_host"), "trust", "distrust")
     full = join_checked(judged, scores, judged["host"] == scores["of_host"], "left")
     blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= block_at) & (F.col("host") != "")

@@ -211,3 +211,15 @@ def test_links_carry_distrust_back(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in urls.filter_urls(frame).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_whole_link_farms_are_blocked(spark):
+    pages = [(0, "http://bad.net/x", ""), (1, "http://popular.io/", ""), (2, "http://good.org/fr/1", '<a href="http://popular.io/">x</a>')]
+    link = lambda *to: "".join(f'<a href="{u}">x</a>' for u in to)
+    for size in (2, 10, 1000):
+        farm = [(10 + k, f"http://farm{k}.biz/", link("http://bad.net/x")) for k in range(size)]
+        # a link to the blocked host among four is not a farm
+        mixed = [(5000 + k, f"http://mixed{k}.biz/", link("http://bad.net/x", *(f"http://site{j}.io/" for j in range(3)))) for k in range(3)]
+        frame = spark.createDataFrame(pages + farm + mixed, "page_id long, url string, html string")
+        got = {r.page_id: r.verdict for r in urls.filter_urls(frame).collect()}
+        assert got == {0: "block", 1: "allow", 2: "allow"} | {p[0]: "block" for p in farm} | {p[0]: "allow" for p in mixed}
