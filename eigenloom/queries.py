@@ -7,6 +7,8 @@ the row's domain, so that domains differ.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -652,18 +654,18 @@ def crossfit_leace(f, spark, sf_dir):
 @query()
 def sequential_delta_grid(f, spark, sf_dir):
     stages = [{"method": "soft", "lambdas": [1.0, 100.0]}, {"method": "pca", "ranks": [2]}]
-    return grid.run_grid(f, ROLES, stages, {"scanner": {"mode": "group_to_mean"}}, n_splits=2, folds=[0])
+    return grid.run_grid(f, ROLES, stages, {"scanner": {"mode": "group_to_mean"}})
 
 
 @query()
 def chained_leace_grid(f, spark, sf_dir):
     stages = [{"method": "leace", "concept": "domain", "tols": [0.01]}, {"method": "leace", "concept": "label", "tols": [0.01]}]
-    return grid.run_grid(f, ROLES, stages, {"scanner": {}}, n_splits=2, folds=[0], concepts=["domain", "label"])
+    return grid.run_grid(f, ROLES, stages, {"scanner": {}}, concepts=["domain", "label"])
 
 
 @query()
 def paired_delta_pca(f, spark, sf_dir):
-    return experiments.delta_pca(f, ROLES, ranks=[2, 4], n_splits=2, folds=[0])
+    return experiments.delta_pca(f, ROLES, ranks=[2, 4])
 
 
 @query()
@@ -681,8 +683,8 @@ def rlace_eraser(f, spark, sf_dir):
 @query()
 def class_recalls(f, spark, sf_dir):
     rows = K.with_folds(f, "grp", 3)
-    predict, _ = P.fit_probe(K.train_rows(rows, 0), "x", "domain")
-    return P.class_recalls(predict(K.test_rows(rows, 0)), "domain")
+    unseen = [P.fit_probe(K.train_rows(rows, fold), "x", "domain")[0](K.test_rows(rows, fold)) for fold in range(3)]
+    return P.class_recalls(reduce(DataFrame.unionByName, unseen), "domain")
 
 
 def _images(f):
@@ -699,7 +701,7 @@ def stain_estimation(f, spark, sf_dir):
 
 @query()
 def sparse_stain_estimation(f, spark, sf_dir):
-    found = I.sparse_stain_matrices(_images(f), ["domain"], rounds=4)
+    found = I.sparse_stain_matrices(_images(f), ["domain"])
     return found.select("domain", "n", *[F.get(F.get("matrix", F.lit(r)), F.lit(c)).alias(f"m{r}{c}") for r in range(2) for c in range(3)])
 
 
