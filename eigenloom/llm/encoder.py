@@ -35,7 +35,7 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Pieces numbered in the order in which they are first looked up; ``new`` has those since it was last emptied."""
 
     def __init__(self):
@@ -77,7 +77,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number, self.chars = _Numbers(), 0
+        self.number, self.chars = Numbers(), 0
         self.ids, self.first, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:

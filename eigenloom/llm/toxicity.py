@@ -1,37 +1,47 @@
 """Operator 3: toxicity by class-conditional Kneser-Ney models.
 
-A text is read as symbols: 26 letters, a separator for every run of anything
-else in ASCII, and five symbols for the bytes of other letters. So there are
-32 ** 4 possible four-symbol expressions, and every count table has that
-proven bound (a million cells), however much text is counted.
-
-Three count tables are gathered from whole texts: of all documents, of the
-toxic and of the ordinary training documents. Each class's model interpolates
-its own discounted four-symbol counts with one shared backoff, an interpolated
-Kneser-Ney model of continuation counts (distinct symbols seen before an
-expression) over all documents: an expression that a class has rarely seen is
-judged by what is usual in the corpus. A document's evidence is the difference
-of its two log-likelihoods divided by its number of symbols. So that a few toxic
-words show in a long text, it is also taken word by word: a document's peak is
-the mean of the three highest differences of its words. A curve turns evidence,
-peak and length into a score: logistic weights make one number of them, and a
-rising step function of it, joined by lines, gives the share of toxic rows.
-
-The curve is fitted on evidence that training documents get from models that
-have not seen them: training rows are in ``PARTS`` parts by their hash, and each
-part is judged by the models of the others. It is fitted on a histogram over all
-training rows with fixed bins and each bin's means, so no rows come to the driver.
+A text is read as its white-space separated words, lower-cased, in UTF-8 and with
+an end mark; nothing is folded, so any script, digits and punctuation keep their
+bytes. An expression is ``ORDER`` bytes of a word, the last of which is predicted
+from those before it; before a word's start there are zero bytes, so words are
+judged on their own. Expressions that occur are counted in whole texts, of all
+documents and of the toxic and ordinary training documents, as a table that grows
+with the input: words are counted in each task first, then their expressions.
+
+Each class's model interpolates its own discounted counts with one shared backoff,
+an interpolated Kneser-Ney model of shorter expressions (``BACKOFF``) over all
+documents: an expression of which a word's beginning is no part counts the different
+bytes seen before it, one at a word's beginning (nothing else can precede it) its
+occurrences.
+An expression that a class has rarely seen is thus judged by what is usual in the
+corpus. A document's evidence is the difference of its two log-likelihoods divided
+by its number of symbols (at least ``LEAST_SYMBOLS``). So that a few toxic words
+show in a long text, it is also taken word by word: a document's peak is the mean
+of the three highest differences of its distinct words. Two logistic weights and an
+intercept make a score of evidence and peak.
+
+They are fitted on what training documents get from models that have not seen
+them: training rows are in ``PARTS`` parts by their hash, and each part is judged by
+the models of the others. They are fitted on a histogram over all training rows with
+fixed bins and each bin's means, so no rows come to the driver.
+
+Log-ratios are needed of those expressions only that a training document has, and
+of their contexts: with the same backoff, any other expression differs by its
+context alone. Up to ``MODEL_ROWS`` of them are broadcast, after they are counted;
+beyond that, words are joined to them by shuffling, with the same result.
 
 Defined results
-    null text: an empty one; texts without symbols get evidence and peak 0; a repeated
-    ``doc_id`` in the labels counts as toxic if any of its rows is; null labels
-    and ids are ignored; without a toxic or without an ordinary training row
-    every score is 0; empty table: no rows. Added column names avoid those of
-    the input.
+    null text: an empty one; texts without words get evidence and peak 0; zero bytes
+    part words; very long texts and words are read whole; repeated documents count and are judged as often as they occur;
+    a repeated ``doc_id`` in the labels counts as toxic if any of its rows is; null
+    labels and ids are ignored; without a toxic or without an ordinary training row
+    every score is 0; empty table: no rows. Added column names avoid those of the
+    input.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -41,55 +51,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from eigenloom.llm.encoder import Numbers
 from eigenloom.llm.text import body
-from eigenloom.session import join_checked, materialise, text_batches
+from eigenloom.session import join_checked, materialise, release, text_batches
 
-ORDER = 4
-SYMBOLS = 32
-CELLS = SYMBOLS**ORDER
+#: Bytes of an expression; eight fit a key.
+ORDER = 7
+#: Bytes of the shorter expressions that the shared backoff goes by, one after the other.
+BACKOFF = (5, 3, 1)
 #: Parts of the training rows, each judged by models of the others.
 PARTS = 4
+#: The whole model, then those without each part.
+MODELS = 1 + PARTS
 THRESHOLD = 0.7
 #: Rows of the training labels up to which they are broadcast to the texts.
 LABEL_ROWS = 2_000_000
-#: Steps and ends of the histogram that the curve is fitted on: evidence, peak, binary log of the length.
-STEPS = {"evidence": (1 / 64, -2.0, 2.0), "peak": (0.5, -4.0, 60.0), "log_length": (1.0, 0.0, 40.0)}
+#: Expressions and contexts up to which their log-ratios are broadcast (28 bytes each).
+MODEL_ROWS = 4_000_000
+#: Steps and ends of the histogram that the weights are fitted on.
+STEPS = {"evidence": (1 / 64, -2.0, 2.0), "peak": (0.25, -8.0, 60.0)}
 #: Words whose mean is a document's peak.
 TOP_WORDS = 3
-#: Shorter texts count as this long in the curve, which has little to go by there.
+#: Shorter texts count as this long in the evidence: a few symbols say little.
 LEAST_SYMBOLS = 64
-#: Bytes of a text that are counted at once; bounds memory on long texts.
-SLICE = 1 << 20
+#: Distinct words, and characters, that a task counts or remembers before it hands them on and starts anew.
+HELD_WORDS, HELD_CHARS = 1_000_000, 64 << 20
 
 
-def _symbol_table() -> np.ndarray:
-    table = np.zeros(256, np.uint8)
-    for k in range(26):
-        table[ord("a") + k] = table[ord("A") + k] = k + 1
-    table[128:] = 27 + np.arange(128) % 5
-    return table
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words of a text."""
+    return (text or "").lower().replace("\0", " ").split()
 
 
-_TABLE = _symbol_table()
-
-
-def expressions(text: str | None) -> Iterator[np.ndarray]:
-    """Cell numbers of a text's four-symbol expressions, in slices; separators before and one after it."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    tail = np.zeros(ORDER - 1, np.uint8)
-    for at in range(0, max(len(raw), 1), SLICE):
-        piece = _TABLE[raw[at : at + SLICE]]
-        if at + SLICE >= len(raw):
-            piece = np.append(piece, np.uint8(0))
-        before = np.concatenate([tail[-1:], piece[:-1]])
-        piece = piece[(piece != 0) | (before != 0)]
-        line = np.concatenate([tail, piece])
-        tail = line[len(line) - ORDER + 1 :]
-        if len(piece):
-            cells = np.zeros(len(piece), np.int32)
-            for k in range(ORDER):
-                cells = (cells << 5) | line[k : k + len(piece)]
-            yield cells
+def word_expressions(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all expressions of the words, one after the other, and how many each word has."""
+    coded = [w.encode("utf-8", "surrogatepass") for w in words]
+    flat = np.frombuffer(b"".join(b"\0" * (ORDER - 1) + w + b" " for w in coded), np.uint8)
+    last = flat[ORDER - 1 :]
+    keys = np.zeros(len(last), np.uint64)
+    for k in range(ORDER):
+        keys = (keys << np.uint64(8)) | flat[k : k + len(last)]
+    return keys[last != 0].view(np.int64), np.fromiter((len(w) + 1 for w in coded), np.int64, len(coded))
 
 
 def hash_of(doc_id: Column) -> Column:
@@ -97,194 +99,293 @@ def hash_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+#: Columns of the counts; a training row is counted in one of those after the first, by class and part.
 _COUNTS = ("n_all", *(f"{kind}_{k}" for k in range(PARTS) for kind in ("toxic", "plain")))
 
 
+def _counted(words: list[str], tallies: dict[int, np.ndarray]) -> pd.DataFrame:
+    """One row an expression of the words, of which each group has so many."""
+    keys, lengths = word_expressions(words)
+    every, inverse = np.unique(keys, return_inverse=True)
+    counts = np.zeros((len(_COUNTS), len(every)), np.int64)
+    for group, tally in tallies.items():
+        weights = np.repeat(np.append(tally, np.zeros(len(words) - len(tally), np.int64)), lengths)
+        n = np.bincount(inverse, weights, len(every)).astype(np.int64)
+        counts[0] += n
+        if group:
+            counts[group] += n
+    return pd.DataFrame({"key": every} | {name: counts[k] for k, name in enumerate(_COUNTS)})
+
+
 def _count_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a cell that the partition's texts have, with counts by class and half."""
-    counts = np.zeros((len(_COUNTS), CELLS), np.int64)
-    seen = False
+    """Counts of the partition's expressions: a row for each, or several where its words are too many to hold at once."""
+    number, tallies, chars = Numbers(), {}, 0
     for batch in batches:
+        said: dict[int, list[np.ndarray]] = {}
         for text, group in zip(batch["text"], batch["counted_as"], strict=True):
-            seen = True
-            for cells in expressions(text):
-                found, n = np.unique(cells, return_counts=True) if len(cells) < CELLS // 8 else (slice(None), np.bincount(cells, minlength=CELLS))
-                counts[0, found] += n
-                if group:
-                    counts[group, found] += n
-    if seen:
-        cells = np.flatnonzero(counts[0])
-        yield pd.DataFrame({"cell": cells.astype(np.int32)} | {name: counts[k, cells] for k, name in enumerate(_COUNTS)})
+            if words := words_of(text):
+                said.setdefault(group, []).append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                chars += len(text)
+        for group, some in said.items():
+            tally = np.bincount(np.concatenate(some), minlength=len(tallies.get(group, ())))
+            tally[: len(tallies.get(group, ()))] += tallies.get(group, 0)
+            tallies[group] = tally
+        if len(number) > HELD_WORDS or chars > HELD_CHARS:
+            yield _counted(number.new, tallies)
+            number, tallies, chars = Numbers(), {}, 0
+    if tallies:
+        yield _counted(number.new, tallies)
 
 
 def expression_counts(docs: DataFrame) -> DataFrame:
-    """(cell, counts) over a table (text, counted_as: 0 unlabelled, else the number of its column in the counts)."""
-    each = docs.mapInPandas(_count_partition, "cell int, " + ", ".join(f"{c} long" for c in _COUNTS))
-    return each.groupBy("cell").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-
-
-def _interpolate(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Absolute discounting of ``counts``, whose mass goes to ``lower`` (over expressions one symbol shorter)."""
-    grid = counts.reshape(-1, SYMBOLS).astype(np.float64)
-    below = np.tile(lower.reshape(-1, SYMBOLS), (grid.shape[0] * SYMBOLS // lower.size, 1))
-    ones, twos = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
-    discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-    total, kinds = grid.sum(1, keepdims=True), (grid > 0).sum(1, keepdims=True)
-    mixed = (np.maximum(grid - discount, 0) + discount * kinds * below) / np.maximum(total, 1)
-    return np.where(total > 0, mixed, below).ravel()
-
-
-def shared_backoff(counts: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probabilities of three-symbol expressions from continuation counts of all documents."""
-    levels = [(counts.reshape(SYMBOLS, -1) > 0).sum(0)]
-    while levels[-1].size > SYMBOLS:
-        levels.append((levels[-1].reshape(SYMBOLS, -1) > 0).sum(0))
-    uniform = np.full(SYMBOLS, 1 / SYMBOLS)
-    grid = levels[-1].astype(np.float64)
-    model = (grid + 0.5) / (grid.sum() + 0.5 * SYMBOLS) if grid.sum() else uniform
-    for level in levels[-2::-1]:
-        model = _interpolate(level, model)
+    """(key, counts) over a table (text, counted_as: 0 unlabelled, else the number of its column in the counts)."""
+    each = docs.mapInPandas(_count_partition, "key long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return each.groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def _low(key: Column, size: int) -> Column:
+    """The last ``size`` bytes of a key."""
+    return key.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def _discounted(n: Column, discount: Column, kinds: Column, total: Column, below: Column) -> Column:
+    """Absolute discounting of ``n``, whose mass goes to ``below``; only that where the context is unseen."""
+    mixed = (F.greatest(n - discount, F.lit(0.0)) + discount * kinds * below) / total
+    return F.when(total > 0, mixed).otherwise(below)
+
+
+def _discount(of: Column) -> Column:
+    """The usual estimate of a discount from expressions seen once and twice, as an aggregate."""
+    ones, twos = F.count_if(of == 1), F.count_if(of == 2)
+    return F.when(ones > 0, F.greatest(F.lit(0.1), F.least(F.lit(0.95), ones / (ones + 2 * twos)))).otherwise(F.lit(0.5))
+
+
+def shared_backoff(counts: DataFrame) -> DataFrame:
+    """(key, shared): Kneser-Ney probabilities of expressions of ``BACKOFF[0]`` bytes from ``counts`` (key, n_all)."""
+    levels, above = {}, counts.select("key", F.col("n_all").alias("raw"))
+    for size in BACKOFF:
+        level = above.groupBy(_low(F.col("key"), size).alias("key")).agg(F.sum("raw").alias("raw"), F.count("*").alias("kinds_before"))
+        at_start = F.shiftrightunsigned("key", 8 * (size - 1)) == 0
+        level = level.select("key", "raw", F.when(at_start & (size > 1), F.col("raw")).otherwise(F.col("kinds_before")).alias("n"))
+        levels[size] = above = materialise(level, "toxicity-level")
+    known = None
+    for size in BACKOFF:
+        row = levels[size].agg(F.lit(size).alias("size"), _discount(F.col("n")).alias("d"), F.sum("n").alias("total"))
+        known = row if known is None else known.unionByName(row)
+    known = {r["size"]: r for r in known.collect()}
+    model = None
+    for size in BACKOFF[::-1]:
+        if model is None:
+            model = levels[size].select("key", ((F.col("n") + 0.5) / F.lit(known[size]["total"] + 0.5 * 256)).alias("shared"))
+            shorter = size
+            continue
+        own = levels[size].select("key", "n", F.shiftrightunsigned("key", 8).alias("context"), _low(F.col("key"), shorter).alias("shorter"))
+        totals = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        joined = own.join(totals, "context").join(model.select(F.col("key").alias("shorter"), F.col("shared").alias("below")), "shorter")
+        model, shorter = joined.select("key", _discounted(F.col("n"), F.lit(known[size]["d"]), F.col("kinds"), F.col("total"), F.col("below")).alias("shared")), size
+    model = materialise(model, "toxicity-shared")
+    for level in levels.values():
+        release(level)
     return model
 
 
-def log_ratio(toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Log of toxic over ordinary probability of every expression's last symbol given the others."""
-    return (np.log(_interpolate(toxic, shared)) - np.log(_interpolate(plain, shared))).astype(np.float32)
-
-
-@dataclass(frozen=True)
-class Curve:
-    """Weights of ``_features``, and points (z, share of toxic rows) that rise."""
-
-    weights: tuple[float, ...]
-    points: tuple[tuple[float, float], ...]
+def _class_counts(kind: str, left_out: int) -> Column:
+    """Counts of a class by the model of number ``left_out``: 0 has all parts, k lacks the part k - 1."""
+    return sum((F.col(f"{kind}_{k}") for k in range(PARTS) if k != left_out - 1), F.lit(0))
 
 
-@dataclass(frozen=True)
-class ToxicityModel:
-    """Log-ratio tables (the whole model, then those without each part) and the curve; None if untrained."""
+def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Log of toxic over ordinary probability by each model, an array ``ratios``: of expressions, and of what else follows a context.
 
-    tables: np.ndarray | None
-    curve: Curve | None = None
+    Two tables with a ``key``, written to the shared folder; None without a toxic or an ordinary expression.
+    """
+    kinds = [(kind, v) for kind in ("toxic", "plain") for v in range(MODELS)]
+    wide = counts.select("key", *[_class_counts(kind, v).alias(f"{kind}{v}") for kind, v in kinds]).filter("toxic0 + plain0 > 0")
+    wide = materialise(wide.withColumn("context", F.shiftrightunsigned("key", 8)), "toxicity-classes")
+    d = wide.agg(F.sum("toxic0").alias("toxic"), F.sum("plain0").alias("plain"), *[_discount(F.col(f"{kind}{v}")).alias(f"{kind}{v}") for kind, v in kinds]).first()
+    if not d["toxic"] or not d["plain"]:
+        return None
+    totals = wide.groupBy("context").agg(
+        *[F.sum(f"{kind}{v}").alias(f"total_{kind}{v}") for kind, v in kinds], *[F.count_if(F.col(f"{kind}{v}") > 0).alias(f"kinds_{kind}{v}") for kind, v in kinds]
+    )
+    totals = materialise(totals, "toxicity-contexts")
+    shared = shared_backoff(counts)
+    one = F.lit(1.0)
 
+    def ratio(v: int, n: bool) -> Column:
+        def log_of(kind: str) -> Column:
+            name = f"{kind}{v}"
+            own = F.col(name) if n else F.lit(0)
+            return F.log(_discounted(own, F.lit(d[name]), F.col(f"kinds_{name}"), F.col(f"total_{name}"), F.col("shared") if n else one))
 
-def fit_tables(counts: DataFrame) -> np.ndarray | None:
-    """Log-ratio tables from the counts of ``expression_counts``; at most CELLS rows come to the driver."""
-    got = counts.toPandas()
-    dense = {c: np.zeros(CELLS, np.int64) for c in _COUNTS}
-    for c in _COUNTS:
-        dense[c][got["cell"].to_numpy(np.int64)] = got[c].to_numpy(np.int64)
-    toxic, plain = (sum(dense[f"{kind}_{k}"] for k in range(PARTS)) for kind in ("toxic", "plain"))
-    if not toxic.any() or not plain.any():
-        return None
-    shared = shared_backoff(dense["n_all"])
-    without = [log_ratio(toxic - dense[f"toxic_{k}"], plain - dense[f"plain_{k}"], shared) for k in range(PARTS)]
-    return np.stack([log_ratio(toxic, plain, shared), *without])
+        return (log_of("toxic") - log_of("plain")).cast("float")
 
+    ratios = lambda n: F.array(*[ratio(v, n) for v in range(MODELS)]).alias("ratios")
+    joined = wide.join(totals, "context").withColumn("shorter", _low(F.col("key"), BACKOFF[0])).join(shared.withColumnRenamed("key", "shorter"), "shorter")
+    expressions = materialise(joined.select("key", ratios(True)), "toxicity-expressions")
+    contexts = materialise(totals.select(F.col("context").alias("key"), ratios(False)), "toxicity-ratios")
+    for used in (wide, totals, shared):
+        release(used)
+    return expressions, contexts
 
-def measure_text(text: str | None, tables: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Symbols of a text, and by each table its mean log-ratio a symbol and its peak: the mean of the highest words' sums.
 
-    A word ends with the separator after it; one that a slice cuts goes on in the next.
-    """
-    n, words, total, open_sum = 0, 0, np.zeros(len(tables)), np.zeros(len(tables))
-    top = np.full((len(tables), TOP_WORDS), -np.inf)
-    for cells in expressions(text):
-        values = tables[:, cells].astype(np.float64)
-        n += len(cells)
-        total += values.sum(axis=1)
-        ends = np.flatnonzero(cells % SYMBOLS == 0)
-        starts = np.concatenate([[0], ends + 1])
-        sums = np.add.reduceat(values, starts[starts < len(cells)], axis=1)
-        sums[:, 0] += open_sum
-        cut = starts[-1] < len(cells)
-        open_sum = sums[:, -1] if cut else np.zeros(len(tables))
-        whole = sums[:, :-1] if cut else sums
-        words += whole.shape[1]
-        top = np.partition(np.concatenate([top, whole], axis=1), -TOP_WORDS, axis=1)[:, -TOP_WORDS:]
-    seen = min(words, TOP_WORDS)
-    return n, total / max(n, 1), np.where(np.isfinite(top), top, 0).sum(axis=1) / max(seen, 1)
-
-
-def evidence_udf(spark, tables: np.ndarray):
-    """UDF: text to (n_symbols, evidence, peak), the last two by each table."""
-    shared = spark.sparkContext.broadcast(tables)
-    kind = StructType([StructField("n_symbols", LongType()), StructField("evidence", ArrayType(DoubleType())), StructField("peak", ArrayType(DoubleType()))])
+@dataclass(frozen=True)
+class ToxicityModel:
+    """Log-ratios of expressions and contexts (None if untrained), and the weights of intercept, evidence and peak."""
+
+    expressions: DataFrame | None
+    contexts: DataFrame | None = None
+    weights: tuple[float, ...] | None = None
+
+
+class WordJudge:
+    """Log-ratios of words by each model, from sorted keys of expressions and contexts; words are remembered."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, context_keys: np.ndarray, context_ratios: np.ndarray):
+        self.keys, self.ratios, self.context_keys, self.context_ratios = keys, ratios, context_keys, context_ratios
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.chars = Numbers(), 0
+        self.values, self.symbols = np.zeros((0, self.ratios.shape[1])), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _find(keys: np.ndarray, ratios: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        out = np.zeros((len(wanted), ratios.shape[1]))
+        out[hit] = ratios[at[hit]]
+        return hit, out
+
+    def judge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of log-ratios of each word (a row each) and numbers of symbols."""
+        keys, lengths = word_expressions(words)
+        own, inverse = np.unique(keys, return_inverse=True)
+        hit, values = self._find(self.keys, self.ratios, own)
+        values[~hit] = self._find(self.context_keys, self.context_ratios, (own[~hit].view(np.uint64) >> np.uint64(8)).view(np.int64))[1]
+        return np.add.reduceat(values[inverse], np.cumsum(lengths) - lengths, axis=0), lengths
+
+    def measure(self, texts: list[str | None]) -> list[tuple[int, list[float], list[float]]]:
+        """Symbols, evidence and peak of each text, the last two by each model."""
+        if len(self.number) > HELD_WORDS or self.chars > HELD_CHARS:
+            self._forget()
+        found = [words_of(t) for t in texts]
+        places = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in found]
+        new, self.number.new = self.number.new, []
+        self.chars += sum(map(len, new))
+        if new:
+            values, symbols = self.judge(new)
+            self.values, self.symbols = np.concatenate([self.values, values]), np.concatenate([self.symbols, symbols])
+        out = []
+        for at in places:
+            n = int(self.symbols[at].sum())
+            evidence = self.values[at].sum(axis=0) / max(n, LEAST_SYMBOLS)
+            distinct = self.values[np.unique(at)]
+            top = np.sort(distinct, axis=0)[-TOP_WORDS:] if len(distinct) else np.zeros((1, self.ratios.shape[1]))
+            out.append((n, evidence.tolist(), top.mean(axis=0).tolist()))
+        return out
+
+
+_EVIDENCE = StructType([StructField("n_symbols", LongType()), StructField("evidence", ArrayType(DoubleType())), StructField("peak", ArrayType(DoubleType()))])
+
+
+def _arrays(table: DataFrame, models: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and ratios of a counted table, on the driver."""
+    got = table.select("key", *[F.col("ratios")[v].alias(f"r{v}") for v in range(models)]).toArrow()
+    keys = got["key"].to_numpy()
+    order = np.argsort(keys)
+    ratios = np.stack([got[f"r{v}"].to_numpy() for v in range(models)], axis=1).astype(np.float32)
+    return keys[order], ratios[order]
+
+
+def _broadcast_evidence(docs: DataFrame, text: Column, expressions: DataFrame, contexts: DataFrame, models: int) -> Column:
+    """Evidence of a column of texts, as a UDF with the broadcast model."""
+    shared = docs.sparkSession.sparkContext.broadcast((*_arrays(expressions, models), *_arrays(contexts, models)))
 
     def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        judge = WordJudge(*shared.value)
         for batch in texts:
-            yield pd.DataFrame([measure_text(text, shared.value) for text in batch], columns=["n_symbols", "evidence", "peak"])
-
-    return F.pandas_udf(measure, kind)
-
-
-def _features(evidence, peak, log_length, root):
-    """Intercept and length; evidence a symbol, evidence weighed by the root of the length, and peak."""
-    return [1, log_length, evidence * 20, evidence * root / 2, peak]
-
-
-#: Features from this one on never lower a score.
-RISING_FROM = 2
-
+            yield pd.DataFrame(judge.measure(batch.tolist()), columns=["n_symbols", "evidence", "peak"])
+
+    return F.pandas_udf(measure, _EVIDENCE)(text)
+
+
+def _joined_evidence(texts: DataFrame, expressions: DataFrame, contexts: DataFrame, models: int) -> DataFrame:
+    """(doc_id, text_hash, e) of the distinct rows of ``texts`` (doc_id, text_hash, text), by joining words to the model."""
+
+    @F.pandas_udf("array<struct<word: string, n: long>>")
+    def tallied(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[{"word": w, "n": n} for w, n in Counter(words_of(t)).items()] for t in batch])
+
+    @F.pandas_udf("array<long>")
+    def keys_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([word_expressions([w])[0] for w in batch])
+
+    own = texts.dropDuplicates(["doc_id", "text_hash"])
+    said = materialise(own.select("doc_id", "text_hash", F.explode_outer(tallied("text")).alias("w")).select("doc_id", "text_hash", "w.*"), "toxicity-words")
+    each = said.select("word").filter("word IS NOT NULL").distinct().select("word", F.explode(keys_of("word")).alias("key"))
+    hit = each.join(expressions.withColumnRenamed("ratios", "own"), "key", "left").withColumn("context", F.shiftrightunsigned("key", 8))
+    hit = hit.join(contexts.select(F.col("key").alias("context"), F.col("ratios").alias("other")), "context", "left")
+    value = lambda v: F.coalesce(F.col("own")[v], F.col("other")[v], F.lit(0.0)).cast("double")
+    judged = hit.groupBy("word").agg(F.array(*[F.sum(value(v)) for v in range(models)]).alias("values"), F.count("*").alias("symbols"))
+    rows = said.join(judged, "word", "left").groupBy("doc_id", "text_hash").agg(
+        F.coalesce(F.sum(F.col("n") * F.col("symbols")), F.lit(0)).alias("n_symbols"),
+        F.array(*[F.coalesce(F.sum(F.col("n") * F.col("values")[v]), F.lit(0.0)) for v in range(models)]).alias("sums"),
+        F.array(*[F.slice(F.sort_array(F.collect_list(F.col("values")[v]), asc=False), 1, TOP_WORDS) for v in range(models)]).alias("tops"),
+    )
+    evidence = F.transform("sums", lambda s: s / F.greatest(F.col("n_symbols"), F.lit(LEAST_SYMBOLS)))
+    peak = F.transform("tops", lambda t: F.coalesce(F.aggregate(t, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(t), F.lit(0)), F.lit(0.0)))
+    return rows.select("doc_id", "text_hash", F.struct("n_symbols", evidence.alias("evidence"), peak.alias("peak")).alias("e"))
 
-def rising(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[tuple[float, float]]:
-    """Both ends of each step of the best rising step function of ``z``: neighbours are pooled until shares y / n rise."""
-    blocks: list[list[float]] = []
-    for zi, yi, ni in zip(*(a[np.argsort(z, kind="stable")] for a in (z, y, n)), strict=True):
-        blocks.append([zi, yi, ni, zi])
-        while len(blocks) > 1 and (blocks[-2][1] + 0.5) / (blocks[-2][2] + 1) >= (blocks[-1][1] + 0.5) / (blocks[-1][2] + 1):
-            _, ys, ns, end = blocks.pop()
-            blocks[-1] = [blocks[-1][0], blocks[-1][1] + ys, blocks[-1][2] + ns, end]
-    share = lambda ys, ns: float((ys + 0.5) / (ns + 1))
-    return [(float(z), share(ys, ns)) for first, ys, ns, last in blocks for z in sorted({first, last})]
 
+def with_evidence(docs: DataFrame, model: ToxicityModel, *keep: Column, id_col: str, text_col: str, models: int = MODELS, model_rows: int = MODEL_ROWS) -> DataFrame:
+    """(keep..., e: n_symbols, evidence, peak) of every row of ``docs``."""
+    text = body(text_col)
+    if model.expressions.count() + model.contexts.count() <= model_rows:
+        return docs.select(*keep, _broadcast_evidence(docs, text, model.expressions, model.contexts, models).alias("e"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(text).alias("own_hash"), F.struct(*keep).alias("kept"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    judged = _joined_evidence(texts, model.expressions, model.contexts, models)
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    return rows.join(judged, same).select("kept.*", "e")
 
-def _weights(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton steps, slightly regularised."""
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6] + [1e-2] * (x.shape[1] - 1))
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (p - y)) + ridge @ w
-        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        size = np.abs(step).max()
-        w = w - step * min(1.0, 2.0 / max(size, 1e-12))
-        if size < 1e-8:
-            break
-    return w
 
+def fit_weights(bins: pd.DataFrame) -> tuple[float, ...]:
+    """Logistic weights of intercept, evidence and peak, by Newton steps, slightly regularised; none below 0 but the intercept.
 
-def fit_curve(bins: pd.DataFrame) -> Curve:
-    """From binned rows (evidence, peak, log_length, toxic, n): weights, of which those that would lower a score are left out, then the points."""
-    evidence, peak, log_length = (bins[c].to_numpy(float) for c in STEPS)
-    x = np.stack(np.broadcast_arrays(*_features(evidence, peak, log_length, np.exp2(log_length / 2))), axis=1)
+    ``bins`` has rows (evidence, peak, toxic, n).
+    """
+    x = np.stack([np.ones(len(bins)), *(bins[c].to_numpy(float) for c in STEPS)], axis=1)
     y, n = bins["toxic"].to_numpy(float), bins["n"].to_numpy(float)
     used = list(range(x.shape[1]))
     while True:
-        w = np.zeros(x.shape[1])
-        w[used] = _weights(x[:, used], y, n)
-        if w[RISING_FROM:].min() >= 0:
-            return Curve(tuple(float(v) for v in w), tuple(rising(np.clip(x @ w, -30, 30), n * y, n)))
-        used.remove(RISING_FROM + int(w[RISING_FROM:].argmin()))
-
-
-def log_length_of(n_symbols: Column) -> Column:
-    return F.log2(F.greatest(n_symbols, F.lit(LEAST_SYMBOLS)).cast("double"))
-
-
-def curve_score(curve: Curve, evidence: Column, peak: Column, n_symbols: Column) -> Column:
-    """The fitted curve as a column, 0 to 1, strictly rising."""
-    root = F.sqrt(F.greatest(n_symbols, F.lit(LEAST_SYMBOLS)).cast("double"))
-    terms = [F.lit(w) * x for w, x in zip(curve.weights, _features(evidence, peak, log_length_of(n_symbols), root), strict=True)]
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum(terms[1:], terms[0])))
-    level = F.lit(curve.points[0][1])
-    for (a, low), (b, high) in zip(curve.points, curve.points[1:], strict=False):
-        level = level + F.lit((high - low) / max(b - a, 1e-9)) * F.greatest(F.lit(0.0), F.least(F.lit(max(b - a, 1e-9)), z - F.lit(a)))
-    return level * 0.999 + 0.001 / (1 + F.exp(-z))
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", measured: bool = False):
+        w, own = np.zeros(len(used)), x[:, used]
+        ridge = np.diag([1e-6] + [1e-2] * (len(used) - 1))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            gradient = own.T @ (n * (p - y)) + ridge @ w
+            hessian = (own * (n * p * (1 - p))[:, None]).T @ own + ridge + 1e-9 * np.eye(len(w))
+            step = np.linalg.solve(hessian, gradient)
+            size = np.abs(step).max()
+            w = w - step * min(1.0, 2.0 / max(size, 1e-12))
+            if size < 1e-8:
+                break
+        if (w[1:] >= 0).all():
+            full = np.zeros(x.shape[1])
+            full[used] = w
+            return tuple(full.tolist())
+        used.remove(used[1 + int(w[1:].argmin())])
+
+
+def logistic_score(weights: tuple[float, ...], evidence: Column, peak: Column) -> Column:
+    """Score, 0 to 1, strictly rising in what has a weight."""
+    z = F.lit(weights[0]) + F.lit(weights[1]) * evidence + F.lit(weights[2]) * peak
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", measured: bool = False, model_rows: int = MODEL_ROWS):
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks and that are not held out.
 
     Returns the model, or with ``measured`` the model and the table
@@ -297,46 +398,46 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     part = (F.floor(F.col("hash") / 3) % PARTS).cast("int")
     known = known.select(F.col("doc_id").alias("known_id"), "toxic", part.alias("part"), (2 * part + F.when(F.col("toxic") == 1, 1).otherwise(2)).alias("counted_as"))
     known = materialise(known, "toxicity-labels")
-    texts = docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), body(text_col).alias("text"))
     marked = join_checked(texts, known, texts["doc_id"] == known["known_id"], "left", LABEL_ROWS)
-    tables = fit_tables(expression_counts(marked.select("text", F.coalesce("counted_as", F.lit(0)).alias("counted_as"))))
-    if tables is None:
+    counts = materialise(expression_counts(marked.select("text", F.coalesce("counted_as", F.lit(0)).alias("counted_as"))), "toxicity-counts")
+    ratios = log_ratios(counts)
+    if ratios is None:
         return (ToxicityModel(None), None) if measured else ToxicityModel(None)
+    model = ToxicityModel(*ratios)
+    release(counts)
     judged = texts if measured else join_checked(texts, known, texts["doc_id"] == known["known_id"], "left_semi", LABEL_ROWS)
-    evidence = judged.select("doc_id", evidence_udf(spark, tables)(F.col("text")).alias("e")).select("doc_id", "e.*")
-    evidence = materialise(evidence, "toxicity-evidence")
+    evidence = with_evidence(judged, model, F.col("doc_id"), id_col="doc_id", text_col="text", model_rows=model_rows)
+    evidence = materialise(evidence.select("doc_id", "e.*"), "toxicity-evidence")
     of_others = lambda c: F.get(c, F.col("part") + 1).alias(c)
-    rows = evidence.join(known, evidence["doc_id"] == known["known_id"]).select(
-        of_others("evidence"), of_others("peak"), log_length_of(F.col("n_symbols")).alias("log_length"), F.col("toxic").cast("int").alias("toxic")
-    )
-    within = {c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c))) for c, (_, low, high) in STEPS.items()}
-    rows = rows.withColumns(within)
+    rows = evidence.join(known, evidence["doc_id"] == known["known_id"]).select(of_others("evidence"), of_others("peak"), F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.withColumns({c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c))) for c, (_, low, high) in STEPS.items()})
     bins = rows.groupBy("toxic", *[F.round(F.col(c) / step).alias(f"{c}_bin") for c, (step, *_) in STEPS.items()]).agg(
         F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in STEPS]
     )
-    model = ToxicityModel(tables, fit_curve(bins.toPandas()))
+    model = ToxicityModel(model.expressions, model.contexts, fit_weights(bins.toPandas()))
+    release(known)
     return (model, evidence) if measured else model
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model_rows: int = MODEL_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_symbols, log_ratio, peak) of every document."""
-    model, evidence = fit(docs, labels, id_col=id_col, text_col=text_col, measured=True)
+    model, evidence = fit(docs, labels, id_col=id_col, text_col=text_col, measured=True, model_rows=model_rows)
     held = F.coalesce(hash_of(F.col("doc_id")) % 3 == 1, F.lit(False)).alias("held_out")
-    if model.curve is None:
-        zero = docs.select(F.col(id_col).alias("doc_id"))
+    if model.weights is None:
+        zero = docs.select(F.col(f"`{id_col}`").alias("doc_id"))
         return zero.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_ratio"), F.lit(0.0).alias("peak"))
     own = [F.get(c, F.lit(0)) for c in ("evidence", "peak")]
-    scored = evidence.select("doc_id", held, curve_score(model.curve, *own, F.col("n_symbols")).alias("score"), "n_symbols", own[0].alias("log_ratio"), own[1].alias("peak"))
+    scored = evidence.select("doc_id", held, logistic_score(model.weights, *own).alias("score"), "n_symbols", own[0].alias("log_ratio"), own[1].alias("peak"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_symbols", "log_ratio", "peak")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that score ``threshold`` or more; texts are not shuffled."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    if model.curve is None:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model_rows: int = MODEL_ROWS) -> DataFrame:
+    """``docs`` without the documents that score ``threshold`` or more; texts are not shuffled where the model is broadcast."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, model_rows=model_rows)
+    if model.weights is None:
         return docs
-    measure = evidence_udf(docs.sparkSession, model.tables[:1])(body(text_col))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = docs.select(row.alias("row"), measure.alias("e"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = with_evidence(docs, model, row, id_col=id_col, text_col=text_col, models=1, model_rows=model_rows)
     own = [F.get(f"e.{c}", F.lit(0)) for c in ("evidence", "peak")]
-    return judged.filter(curve_score(model.curve, *own, F.col("e.n_symbols")) < threshold).select("row.*")
+    return judged.filter(logistic_score(model.weights, *own) < threshold).select("row.*")
