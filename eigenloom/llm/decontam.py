@@ -10,19 +10,24 @@ if at least ``SHARE`` of the item's tokens are equal, or if a stretch scores
 a longer item).
 
 With these masks an item of 15 or more tokens and one substitution in five is
-found with near certainty, wherever the substitutions are.
+found with near certainty, wherever the substitutions are. An item that is shorter
+than a mask is looked up by the hash of all its tokens, so only exact copies of it
+are found.
 
 The windows of the benchmark are counted before they are broadcast: up to
-``WINDOW_ROWS`` windows the texts' windows are hashed, looked up and verified
-where they are read and nothing but verdicts is shuffled. Beyond that, slim
-windows (id, hash, place) are joined by shuffling and the aligned texts are
-joined again for verification, with the same result.
+``WINDOW_ROWS`` windows the texts' windows are hashed and looked up where they are
+read. Beyond that, slim windows (id, hash, place) are joined by shuffling, with the
+same result. Either way an alignment (document, item, shift) is verified once,
+however many windows hit it: distinct alignments are slim rows, and only texts that
+have any are read again.
 
 Defined results
-    null text or item: no tokens; an item of less than a mask's span is not
-    searched for; null or repeated ``doc_id`` and repeated rows: a row each,
-    judged by their texts; a passage of several items counts for each; ties of
-    the best item go to the smallest ``item_id``; empty tables: no leaks.
+    null text or item, or one without tokens: nothing is found; very long texts and
+    items are read whole, in time that grows in proportion; null or repeated
+    ``doc_id`` and repeated rows: a row each, judged by their texts; a passage of
+    several items counts for each; ties of the best item go to the smallest
+    ``item_id``; empty tables: no leaks; other columns, whatever their names, are
+    kept by ``drop_contaminated`` and not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eigenloom.llm.text import body, tokens
-from eigenloom.session import free_name, join_checked, materialise
+from eigenloom.session import free_name, join_checked, materialise, release
 
 #: Counted (1) and ignored (0) tokens of a window.
 MASKS = ("110101", "101011")
@@ -47,16 +52,23 @@ def _hashes(of: Column, at: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(m), *[F.get(of, at + k) for k, use in enumerate(mask) if use == "1"]) for m, mask in enumerate(MASKS)])
 
 
-def _windows(df: DataFrame, *keep: str) -> DataFrame:
+def _windows(df: DataFrame, *keep: str, short: list[int], whole: bool = False) -> DataFrame:
     """A row (keep..., at, hash) for every window and mask of a table with a column ``tokens``.
 
-    The explodes are outer ones, for which no filter is inferred that would
-    split the texts a second time; a text without windows gives places that are
-    null and equal nothing.
+    ``short`` are the lengths of items shorter than a mask. Texts have all windows of
+    these lengths, items (``whole``) only that of all their tokens. The explodes are
+    outer ones, for which no filter is inferred that would split the texts a second
+    time; a text without windows gives places that are null and equal nothing.
     """
-    starts = F.explode_outer(F.when(F.size("tokens") >= SPAN, F.sequence(F.lit(0), F.size("tokens") - SPAN)))
+    size = F.size("tokens")
+    starts = F.explode_outer(F.when(size >= (1 if short else SPAN), F.sequence(F.lit(0), size - (1 if short else SPAN))))
     placed = df.select(*dict.fromkeys([*keep, "tokens"]), starts.alias("at"))
-    return placed.select(*keep, "at", F.explode_outer(_hashes(F.col("tokens"), F.col("at"))).alias("hash"))
+    hashes = F.when(F.size("tokens") - F.col("at") >= SPAN, _hashes(F.col("tokens"), F.col("at")))
+    for n in short:
+        fits = (F.col("at") == 0) & (F.size("tokens") == n) if whole else F.size("tokens") - F.col("at") >= n
+        own = F.xxhash64(F.lit(-n), *[F.get(F.col("tokens"), F.col("at") + k) for k in range(n)])
+        hashes = F.concat(F.coalesce(hashes, F.array().cast("array<long>")), F.when(fits, F.array(own)).otherwise(F.array().cast("array<long>")))
+    return placed.select(*keep, "at", F.explode_outer(hashes).alias("hash"))
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
@@ -76,23 +88,32 @@ def _verified(candidates: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Verified overlaps, one row a (doc_id, text_hash, item_id): with ``n_equal``, ``n_item``, ``run`` and the token the item starts at."""
-    items = benchmark.select("item_id", tokens("text").alias("tokens"))
+    items = benchmark.select("item_id", tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
     items = materialise(items.select("item_id", F.xxhash64(F.array_join("tokens", " ")).alias("item_hash"), "tokens"), "leak-items")
-    windows = materialise(_windows(items, "item_id", "item_hash").filter("at IS NOT NULL").withColumnRenamed("at", "item_at"), "leak-windows")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"), tokens(text_col).alias("tokens"))
+    short = sorted(r[0] for r in items.filter(F.size("tokens") < SPAN).select(F.size("tokens")).distinct().collect())  # less than SPAN
+    windows = _windows(items, "item_id", "item_hash", short=short, whole=True).filter("hash IS NOT NULL").withColumnRenamed("at", "item_at")
+    windows = materialise(windows, "leak-windows")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"), body(text_col).alias("text"))
+    read = rows.select("doc_id", "text_hash", tokens("text").alias("tokens"))
+    # Every item has a window and at most five tokens more than windows, so the count bounds the items too.
+    few = windows.count() <= window_rows
+    small = F.broadcast if few else (lambda df: df)
+    hits = _windows(read, "doc_id", "text_hash", short=short).join(small(windows), "hash")
+    aligned = hits.select("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    aligned = materialise(aligned, "leak-alignments")
+    candidates = materialise(aligned.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).distinct(), "leak-candidates")
+    same_doc = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    texts = join_checked(rows, candidates, same_doc, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = materialise(texts.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), tokens("text").alias("tokens")), "leak-texts")
     whole = items.select(F.col("item_id").alias("of_item"), F.col("item_hash").alias("of_hash"), F.col("tokens").alias("item_tokens"))
     same_item = F.col("item_id").eqNullSafe(F.col("of_item")) & (F.col("item_hash") == F.col("of_hash"))
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
-    if windows.count() <= window_rows:
-        hits = _windows(rows, "doc_id", "text_hash", "tokens").join(F.broadcast(windows), "hash")
-        hits = hits.select("doc_id", "text_hash", "tokens", "item_id", "item_hash", shift)
-        found = _verified(hits.join(F.broadcast(whole), same_item))
-    else:
-        slim = _windows(rows, "doc_id", "text_hash").join(windows, "hash").select("doc_id", "text_hash", "item_id", "item_hash", shift).distinct()
-        texts = rows.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "tokens").dropDuplicates(["own_id", "own_hash"])
-        found = _verified(slim.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).join(whole, same_item))
+    found = _verified(aligned.join(small(whole), same_item).join(texts, same_doc))
     best = F.max_by(F.struct("n_equal", F.size("item_tokens").alias("n_item"), "run", F.col("shift").alias("at")), F.struct("n_equal", "run", -F.col("shift")))
-    return found.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.*")
+    found = found.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.*")
+    found = materialise(found, "leak-found")
+    for used in (items, windows, aligned, candidates, texts):
+        release(used)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS) -> DataFrame:
@@ -102,7 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     best = F.min(F.struct((-share).alias("less"), F.col("item_id").alias("item_id")))
     verdicts = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), best.alias("best"))
     verdicts = materialise(verdicts.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "n", F.col("best.item_id").alias("item_id"), (-F.col("best.less")).alias("share")), "leak-verdicts")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"))
+    release(found)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"))
     joined = join_checked(rows, verdicts, rows["doc_id"].eqNullSafe(verdicts["of_doc"]) & (rows["text_hash"] == verdicts["of_text"]), "left")
     return joined.select("doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0).cast("long")).alias("n_items"), "item_id", "share")
 
@@ -110,7 +132,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS) -> DataFrame:
     """``docs`` without those that hold a benchmark item; texts are shuffled only if more go than may be broadcast."""
     bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, window_rows=window_rows)
-    bad = materialise(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "leak-documents")
+    found, bad = bad, materialise(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "leak-documents")
+    release(found)
     own = free_name(docs, "own_hash")
     hashed = docs.withColumn(own, F.xxhash64(body(text_col)))
     return join_checked(hashed, bad, hashed[id_col].eqNullSafe(bad["bad_id"]) & (hashed[own] == bad["bad_hash"]), "left_anti").drop(own)

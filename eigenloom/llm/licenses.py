@@ -1,24 +1,37 @@
 """Operator 6: licence scans by the Dice coefficient over word bigrams.
 
-Every line of a text, every paragraph of several lines, and a text of several
-paragraphs as a whole is a unit. A unit's normalised words (lower case, letters
-and digits) give a set of bigrams, and 2 |A & B| / (|A| + |B|) compares it to a
-template's set. Only a template whose size allows the threshold is compared:
-|B| t / (2 - t) <= |A| <= |B| (2 - t) / t; shared bigrams are counted over an
-index from bigram to templates, so a unit without any is never compared.
-
-Units are read inside a task, one text at a time; nothing is shuffled.
+A text's normalised words (lower case, letters and digits) are compared to licence
+templates: whole licence texts, their usual headers and one-line notices. For a
+template of m words every window of m words of the text (the whole text, if it has
+fewer) is a unit, so a licence is found alone, inside prose, under a copyright line
+and however its lines are wrapped. A window's bigrams are a set, and
+2 |A & B| / (|A| + |B|) compares it to the template's set.
+
+Size bounds prune templates: a Dice coefficient of t needs at least
+t / (2 - t) |B| shared bigrams, and no window has more of them than the whole text.
+Shared bigrams of a text are counted over an index from bigram to templates, and
+windows are moved over the text only for templates that have enough.
+
+Consecutive windows over the threshold are one match, of which the best (then the
+first) window stands. Texts are read inside a task, one at a time; nothing is
+shuffled.
 
 Defined results
-    null or empty text: no match; null or repeated ``doc_id``: a row each; a
-    unit of less than two words has no bigrams and matches nothing; ties of the
-    best match go to the earlier unit, then the earlier template; empty table:
-    no rows.
+    null or empty text, or one of less than two words: no match; very long texts
+    are read whole; null or repeated ``doc_id`` and repeated rows: a row each; ties
+    of a document's best match go to the larger template, then the earlier one,
+    then the earlier place; other columns, whatever their names, are not read;
+    empty table: no rows.
+
+Licences without a whole text here (AGPL, CC BY) are found by their notices only.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import cache
+from importlib.resources import files
 from typing import Iterator
 
 import pandas as pd
@@ -29,130 +42,140 @@ from eigenloom.llm.text import body
 from eigenloom.session import text_batches
 
 THRESHOLD = 0.8
+#: Whole licence texts, by the name of their file in ``license_texts``.
+WHOLE = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0")
 #: Usual licence notices by SPDX-like id.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 _TOKEN = re.compile(r"[^\W_]+")
-#: Characters from which a unit is read word by word, until it has too many bigrams.
-LONG_UNIT = 2000
 
 
-def bigrams(text: str) -> set[tuple[str, str]]:
-    """The set of word bigrams of a normalised text."""
-    found = _TOKEN.findall(text.lower())
-    return set(zip(found, found[1:], strict=False))
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of every template. Read on the driver, where the package's files are."""
+    texts = files("eigenloom.llm") / "license_texts"
+    return tuple((name, (texts / f"{name}.txt").read_text(encoding="utf-8")) for name in WHOLE) + NOTICES
+
+
+def words(text: str) -> list[str]:
+    """The normalised words of a text."""
+    return _TOKEN.findall(text.lower())
 
 
 class Scanner:
     """Templates indexed by bigram."""
 
-    def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
-        self.names = [name for name, _ in templates]
-        sets = [bigrams(text) for _, text in templates]
-        self.sizes = [len(s) for s in sets]
+    def __init__(self, known: tuple[tuple[str, str], ...], threshold: float = THRESHOLD):
+        self.names = [name for name, _ in known]
+        found = [words(text) for _, text in known]
+        self.lengths = [len(w) for w in found]
+        self.sets = [set(zip(w, w[1:], strict=False)) for w in found]
         self.threshold = threshold
         self.index: dict[tuple[str, str], list[int]] = {}
-        for k, s in enumerate(sets):
-            for pair in s:
+        for k, pairs in enumerate(self.sets):
+            for pair in pairs:
                 self.index.setdefault(pair, []).append(k)
-        ratio = (2 - threshold) / threshold
-        self.bounds = [(n / ratio, n * ratio) for n in self.sizes]
-        self.least, self.most = min(b[0] for b in self.bounds), max(b[1] for b in self.bounds)
-        self.anchors = {w for pair in self.index for w in pair}
-
-    def pairs(self, unit: str) -> set[tuple[str, str]] | None:
-        """A unit's bigrams; None if its number of them allows no template. Stops reading at the first one too many."""
-        if len(unit) <= LONG_UNIT:
-            words = _TOKEN.findall(unit.lower())
-            if len(words) - 1 < self.least or self.anchors.isdisjoint(words):
-                return None
-            found = set(zip(words, words[1:], strict=False))
-        else:
-            found, last = set(), None
-            for m in _TOKEN.finditer(unit.lower()):
-                word = m[0]
-                if last is not None:
-                    found.add((last, word))
-                    if len(found) > self.most:
-                        return None
-                last = word
-        return found if self.least <= len(found) <= self.most else None
-
-    def match(self, unit: str) -> tuple[float, int] | None:
-        """Best (dice, template) of a unit at or over the threshold."""
-        pairs = self.pairs(unit)
-        if pairs is None:
-            return None
-        shared: dict[int, int] = {}
-        for pair in pairs:
-            for k in self.index.get(pair, ()):
-                shared[k] = shared.get(k, 0) + 1
-        best = None
-        for k in sorted(shared):
-            low, high = self.bounds[k]
-            if low <= len(pairs) <= high:
-                dice = 2 * shared[k] / (len(pairs) + self.sizes[k])
-                if dice >= self.threshold and (best is None or dice > best[0]):
-                    best = (dice, k)
-        return best
-
-    def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """(start, end, licence, dice) of every unit that matches, in order."""
+        self.least = [threshold / (2 - threshold) * len(s) for s in self.sets]
+
+    def candidates(self, pairs: list[tuple[str, str]]) -> list[int]:
+        """Templates of which a text has enough bigrams, whatever the window."""
+        shared = Counter(k for pair in self.index.keys() & set(pairs) for k in self.index[pair])
+        return sorted(k for k, n in shared.items() if n >= self.least[k] - 1e-9)
+
+    def windows(self, pairs: list[tuple[str, str]], k: int) -> Iterator[tuple[int, float]]:
+        """(first word, dice) of every window over the threshold."""
+        width, own = min(self.lengths[k] - 1, len(pairs)), self.sets[k]
+        seen: dict[tuple[str, str], int] = {}
+        shared = 0
+        for at, pair in enumerate(pairs):
+            if at >= width:
+                left = pairs[at - width]
+                seen[left] -= 1
+                if not seen[left]:
+                    del seen[left]
+                    shared -= left in own
+            seen[pair] = seen.get(pair, 0) + 1
+            shared += seen[pair] == 1 and pair in own
+            if at >= width - 1:
+                dice = 2 * shared / (len(seen) + len(own))
+                if dice >= self.threshold:
+                    yield at - width + 1, dice
+
+    def scan(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
+        """(start, end, licence, dice, words of the template) of every match, the best first."""
         text = text or ""
-        units: list[tuple[int, int]] = []
-        at, blocks, block = 0, [], None
-        for line in text.split("\n"):
-            end = at + len(line)
-            if line.strip():
-                units.append((at, end))
-                block = (block[0] if block else at, end, block[2] + 1 if block else 1)
-            elif block:
-                blocks.append(block)
-                block = None
-            at = end + 1
-        if block:
-            blocks.append(block)
-        units += [b[:2] for b in blocks if b[2] > 1]
-        if len(blocks) > 1:
-            units.append((blocks[0][0], blocks[-1][1]))
-        found = []
-        for start, end in sorted(units):
-            if hit := self.match(text[start:end]):
-                found.append((start, end, self.names[hit[1]], hit[0]))
-        return found
-
-
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+        found = words(text)
+        pairs = list(zip(found, found[1:], strict=False))
+        matches = []
+        for k in self.candidates(pairs):
+            last, best = None, None
+            for at, dice in self.windows(pairs, k):
+                if last is None or at > last + 1:
+                    matches.append(best := [-dice, -self.lengths[k], k, at])
+                elif -dice < best[0]:
+                    best[0], best[3] = -dice, at
+                last = at
+        if not matches:
+            return []
+        places = [m.span() for m in _TOKEN.finditer(text.lower())]
+        if len(text.lower()) != len(text):  # a letter whose lower case is longer: offsets of the text itself
+            places = _places(text)
+        out = []
+        for less, size, k, at in sorted(matches):
+            end = min(at - size, len(found)) - 1
+            out.append((places[at][0], places[end][1], self.names[k], -less, -size))
+        return out
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """Character offsets of the words in a text of which some letters grow when lower-cased."""
+    origin = [k for k, c in enumerate(text) for _ in c.lower()] + [len(text)]
+    lower = "".join(c.lower() for c in text)
+    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in _TOKEN.finditer(lower)]
+
+
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", known=None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, n_matches, matches) of every document.
 
     ``license`` and ``dice`` are the best match's; ``matches`` is an array of
-    (start, end, license, dice) with character offsets.
+    (start, end, license, dice, template_words) with character offsets, the best first.
+    ``known``: (licence, text) of the templates, else those of this module.
     """
     text_batches(docs.sparkSession)
-    kind = "array<struct<start: long, end: long, license: string, dice: double>>"
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(known) if known is not None else templates())
+    fields = ("start", "end", "license", "dice", "template_words")
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("array<struct<start: long, end: long, license: string, dice: double, template_words: long>>")
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(templates, threshold)
+        scanner = Scanner(shared.value, threshold)
         for batch in texts:
-            yield pd.Series([[dict(zip(("start", "end", "license", "dice"), m, strict=True)) for m in scanner.scan(t)] for t in batch])
+            yield pd.Series([[dict(zip(fields, m, strict=True)) for m in scanner.scan(t)] for t in batch])
 
-    found = docs.select(F.col(id_col).alias("doc_id"), scan(body(text_col)).alias("matches"))
-    best = F.aggregate("matches", F.lit(None).cast("struct<start: long, end: long, license: string, dice: double>"), lambda b, m: F.when(b.isNull() | (m["dice"] > b["dice"]), m).otherwise(b))
-    return found.withColumn("best", best).select("doc_id", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), F.size("matches").cast("long").alias("n_matches"), "matches")
+    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), scan(body(text_col)).alias("matches"))
+    best = F.get("matches", F.lit(0))
+    return found.select("doc_id", best["license"].alias("license"), best["dice"].alias("dice"), F.size("matches").cast("long").alias("n_matches"), "matches")

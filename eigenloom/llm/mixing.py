@@ -13,7 +13,8 @@ Defined results
     last; null or repeated ``doc_id``: every row counts as a document, ties of
     the key are ordered by id and size, and rows that agree in these are alike;
     no words at all: all targets 0; empty table: no rows. A budget is the target
-    rounded to whole words, so a source takes its target to half a word.
+    rounded to whole words, so a source takes its target to half a word. Very long
+    texts are counted whole and, where a budget cuts them, keep their first words.
     Columns of the input may have any names; added ones avoid them.
 """
 
@@ -23,13 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eigenloom.llm.text import body, count_words, words
-from eigenloom.session import join_checked, materialise
+from eigenloom.session import at_most, join_checked, materialise
 
 #: Weights by the rank of a source, repeated as often as needed.
 CYCLE = (1, 2, 3)
 #: No source gives more than so many times its own words.
 MAX_EPOCHS = 3
 SEED = 17
+#: Sources that one task may rank.
+MOST_SOURCES = 1_000_000
 
 
 def mixing_key(doc_id: Column, text: Column, seed: int) -> Column:
@@ -50,7 +53,8 @@ def source_targets(sources: DataFrame, total: Column | None = None, cap: int = M
     would exceed ``cap`` times the source's size it stops there, and the excess
     goes to the others by weight until none is above: with the sources in order
     of cap / weight, one is capped if the level left by those before it is above
-    its own. The table has a row per source, so one task may rank it.
+    its own. The table has a row per source, so one task may rank it; ``mix`` refuses
+    more than ``MOST_SOURCES``.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sources.withColumn("source_no", F.row_number().over(by_name).cast("long"))
@@ -92,11 +96,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col="doc_id", t
     weigh 0 are no part of the mix.
     """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").alias("source"),
         count_words(text_col).alias("size"),
-        mixing_key(F.col(id_col), F.col(text_col), seed).alias("key"),
-        *([F.struct(*payload).alias("payload")] if payload else []),
+        mixing_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed).alias("key"),
+        *([F.struct(*[F.col(f"`{c}`") for c in payload]).alias("payload")] if payload else []),
     )
     slim = materialise(rows.select("doc_id", "source", "size", "key"), "mixing-rows")
     rows = rows if payload else slim
@@ -105,6 +109,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col="doc_id", t
         given = weights.select(F.col("source").alias("weighed"), F.col("weight"))
         sources = sources.join(given, sources["source"].eqNullSafe(given["weighed"]), "left").drop("weighed").fillna(0, ["weight"])
         sources = sources.filter("weight > 0")
+    sources = materialise(sources, "mixing-sources")
+    if not at_most(sources, MOST_SOURCES):
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     targets = materialise(source_targets(sources, cap=cap, cycle=cycle), "mixing-targets")
     budget = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.lit(cap) * F.col("source_size"))
     by_source = targets.select(

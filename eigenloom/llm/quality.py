@@ -7,15 +7,22 @@ Policies change without reading a text again, and ablations (what each rule
 rejects, and rejects alone) come from counts of equal bit patterns, of which
 there are at most two to the number of rules.
 
+A stored ledger is a Parquet table whose rows name the rule set they were made with
+(``RULE_SET``, a digest of names, conditions and their order), so entries of another
+rule set are never judged by this one's masks.
+
 All of it stays inside a row: nothing is shuffled but the pattern counts.
 
 Defined results
-    null text: no words; it fails as too short; null or repeated ``doc_id``: a
-    row each; very long texts are read whole; empty table: no rows.
+    null text: no words; it fails as too short; null or repeated ``doc_id`` and
+    repeated rows: a row each; very long texts are read whole, as arrays of their
+    words in one row (a text of 2^31 bytes is the most that a value holds); other
+    columns are not read; empty table: no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +58,11 @@ POLICIES = {
     "base-1": BASE,
     "strict-1": (*BASE, "symbols", "duplicate_lines"),
     "strict-2": (*BASE, "symbols", "duplicate_lines", "short_words", "long_words"),
+    "strict-3": (*BASE, "symbols", "duplicate_lines", "short_words", "long_words", "many_words"),
 }
 POLICY = "strict-2"
+#: The version of the rule set, which a stored ledger carries.
+RULE_SET = hashlib.sha256("\n".join(f"{r.name}: {r.fails}" for r in RULES).encode()).hexdigest()[:16]
 
 
 def policy_mask(policy: str = POLICY) -> int:
@@ -72,7 +82,7 @@ def measurements(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = body(text_col)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
     read = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         words(text_col).alias("found"),
         lines.alias("lines"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -114,6 +124,17 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     return measurements(docs, id_col=id_col, text_col=text_col).withColumn("failures", failures.cast("long"))
 
 
+def write_ledger(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Append the entries of ``docs`` to the ledger at ``path``, which is partitioned by rule set."""
+    entries = ledger(docs, id_col=id_col, text_col=text_col)
+    entries.withColumn("rule_set", F.lit(RULE_SET)).write.mode("append").partitionBy("rule_set").parquet(path)
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    """The entries of a stored ledger that were made with this rule set."""
+    return spark.read.parquet(path).filter(F.col("rule_set") == RULE_SET).drop("rule_set")
+
+
 def apply_policy(entries: DataFrame, policy: str = POLICY) -> DataFrame:
     """A ledger with ``base_failed`` and ``kept`` by a policy, whose mask always has the base rules."""
     base, mask = policy_mask("base-1"), policy_mask(policy) | policy_mask("base-1")

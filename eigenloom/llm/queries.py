@@ -29,7 +29,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = chat.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
-    return rendered.select("conv_id", "speaker", "part", "piece", "n_turns", "rendered", spans.alias("spans"))
+    return rendered.select("conv_id", "speaker", "part", "piece", "start", "n_turns", "rendered", spans.alias("spans"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "contaminated", "n_items", "item_id", F.round("share", 6).alias("share"))
 
 
+def token_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts from a cache that a first call has filled: nothing is encoded by the second."""
+    cache, docs = new_table_path(spark, "token-cache"), table(spark, sf_dir, "documents")
+    token_counts.fill_cache(docs, cache, tokenizer_path())
+    delete_at_exit(spark, cache)
+    return token_counts.token_counts(docs, cache, tokenizer_path())
+
+
+def token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id is divisible by 50, looked up in a store of all documents by select structures."""
+    store, docs = new_table_path(spark, "token-store"), table(spark, sf_dir, "documents")
+    token_store.write_store(docs, store, tokenizer_path())
+    delete_at_exit(spark, store)
+    return token_store.lookup(spark, store, docs.select("doc_id").filter("doc_id % 50 = 0"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strictest policy rejects, from a stored ledger."""
+    path = new_table_path(spark, "quality-ledger")
+    quality.write_ledger(table(spark, sf_dir, "documents"), path)
+    delete_at_exit(spark, path)
+    return quality.ablation(quality.read_ledger(spark, path), "strict-3")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_mixing, op2_chat, op3_toxicity, op4_token_counts, op5_token_store, op6_licenses, op7_quality, op8_simhash, op9_urls, op10_decontamination, pipeline)
+        for f in (op1_mixing, op2_chat, op3_toxicity, op4_token_counts, op5_token_store, op6_licenses, op7_quality, op8_simhash, op9_urls, op10_decontamination, token_cache_hits, token_lookup, quality_ablation, pipeline)
     }
 
 
@@ -128,24 +152,41 @@ FROM cuts
 
 OP2_SQL = rf"""
 WITH said AS (
-  SELECT DISTINCT conv_id, coalesce(turn // {chat.TURNS}, -1)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations),
-speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
+  SELECT DISTINCT *, CASE WHEN conv_id IS NULL THEN coalesce(turn::VARCHAR, '-') || '|' || k END AS alone
+  FROM (SELECT *, md5(role || chr(10) || text) AS k
+        FROM (SELECT conv_id, coalesce(turn // {chat.TURNS}, -1)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+              FROM conversations))),
+ranged AS (
+  SELECT *, floor(('0x' || substr(k, 1, 8))::BIGINT * n_ranges / 4294967296.0)::BIGINT AS range
+  FROM (SELECT *, ceil(count(*) OVER (PARTITION BY conv_id, alone, part, turn) / {chat.PIECE_ROWS}.0) AS n_ranges FROM said)),
+ranges AS (SELECT conv_id, alone, part, turn, range, count(*) AS n FROM ranged GROUP BY ALL),
+pieces AS (
+  SELECT *, (coalesce(sum(n) OVER (PARTITION BY conv_id, alone, part ORDER BY turn NULLS FIRST, range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             // {chat.PIECE_ROWS})::INTEGER AS piece
+  FROM ranges),
+speakers AS (SELECT DISTINCT conv_id, alone, role AS speaker FROM said WHERE role <> 'system'),
 segments AS (
-  SELECT s.conv_id, p.speaker, s.part, s.turn, s.role, s.text, s.role = p.speaker AS own,
+  SELECT s.conv_id, s.alone, p.speaker, s.part, q.piece, s.turn, s.k, s.text, s.role = p.speaker AS own,
          CASE WHEN s.role = p.speaker THEN '<|assistant|>' || chr(10) WHEN s.role = 'system' THEN '<|system|>' || chr(10)
               ELSE '<|user:' || s.role || '|>' || chr(10) END AS head
-  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM ranged s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.alone IS NOT DISTINCT FROM p.alone
+  JOIN pieces q ON s.conv_id IS NOT DISTINCT FROM q.conv_id AND s.alone IS NOT DISTINCT FROM q.alone AND s.part = q.part
+    AND s.turn IS NOT DISTINCT FROM q.turn AND s.range = q.range),
 placed AS (
-  SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop
-  FROM segments)
-SELECT conv_id, speaker, part, 0 AS piece, count(*)::BIGINT AS n_turns,
-       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
-       coalesce(string_agg(CASE WHEN own THEN (stop - length(text) - 8)::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY turn, role, text), '') AS spans
-FROM placed GROUP BY conv_id, speaker, part
+  SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, alone, speaker, part, piece ORDER BY turn NULLS FIRST, k ROWS UNBOUNDED PRECEDING) AS stop
+  FROM segments),
+whole AS (
+  SELECT conv_id, alone, speaker, part, piece, count(*)::BIGINT AS n_turns, max(stop) AS chars,
+         string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, k) AS rendered,
+         coalesce(string_agg(CASE WHEN own THEN (stop - length(text) - 8)::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY turn NULLS FIRST, k), '') AS spans
+  FROM placed GROUP BY conv_id, alone, speaker, part, piece)
+SELECT conv_id, speaker, part, piece,
+       coalesce(sum(chars) OVER (PARTITION BY conv_id, alone, speaker ORDER BY part, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+       n_turns, rendered, spans
+FROM whole
 """
 
-OP7_SQL = rf"""
+_LEDGER_SQL = rf"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 measured AS (
@@ -168,23 +209,36 @@ entries AS (
     + CASE WHEN 2 * word_chars < 5 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
     + CASE WHEN n_words > 1000000 THEN 64 ELSE 0 END)::BIGINT AS failures
   FROM counted)
+"""
+OP7_SQL = rf"""{_LEDGER_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failures & 3) <> 0 AS base_failed, (failures & 63) = 0 AS kept, failures
 FROM entries
 """
 
-_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_RULES_SQL = ", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(quality.RULES))
+QUALITY_ABLATION_SQL = rf"""{_LEDGER_SQL}
+SELECT rule, count(*) FILTER ((failures & bit) <> 0)::BIGINT AS rejects, count(*) FILTER (failures = bit)::BIGINT AS rejects_alone,
+       count(*) FILTER ((failures & ~bit) = 0)::BIGINT AS kept_without
+FROM entries CROSS JOIN (VALUES {_RULES_SQL}) AS rules(rule, bit) GROUP BY rule
+"""
+
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
 b AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
+short AS (SELECT DISTINCT len(t) AS n FROM b WHERE len(t) BETWEEN 1 AND 5),
 dp AS (SELECT doc_id, t, unnest(range(1, len(t) - 4)) AS i FROM d WHERE len(t) >= 6),
 bp AS (SELECT item_id, t, unnest(range(1, len(t) - 4)) AS i FROM b WHERE len(t) >= 6),
+ds AS (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d JOIN short ON len(t) >= n),
 dw AS (
   SELECT doc_id, i, 0 AS m, t[i] || ' ' || t[i + 1] || ' ' || t[i + 3] || ' ' || t[i + 5] AS h FROM dp
-  UNION ALL SELECT doc_id, i, 1, t[i] || ' ' || t[i + 2] || ' ' || t[i + 4] || ' ' || t[i + 5] FROM dp),
+  UNION ALL SELECT doc_id, i, 1, t[i] || ' ' || t[i + 2] || ' ' || t[i + 4] || ' ' || t[i + 5] FROM dp
+  UNION ALL SELECT doc_id, i, 1 + n, array_to_string(t[i : i + n - 1], ' ') FROM ds),
 bw AS (
   SELECT item_id, i, 0 AS m, t[i] || ' ' || t[i + 1] || ' ' || t[i + 3] || ' ' || t[i + 5] AS h FROM bp
-  UNION ALL SELECT item_id, i, 1, t[i] || ' ' || t[i + 2] || ' ' || t[i + 4] || ' ' || t[i + 5] FROM bp),
+  UNION ALL SELECT item_id, i, 1, t[i] || ' ' || t[i + 2] || ' ' || t[i + 4] || ' ' || t[i + 5] FROM bp
+  UNION ALL SELECT item_id, 1, 1 + len(t), array_to_string(t, ' ') FROM b WHERE len(t) BETWEEN 1 AND 5),
 aligned AS (SELECT DISTINCT dw.doc_id, bw.item_id, dw.i - bw.i AS shift FROM dw JOIN bw ON dw.m = bw.m AND dw.h = bw.h),
 cells AS (
   SELECT a.doc_id, a.item_id, a.shift, len(b.t) AS n_item, k,
@@ -209,34 +263,32 @@ FROM documents LEFT JOIN best ON documents.doc_id = best.doc_id
 
 def _templates_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    return ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.templates()))
 
 
-OP6_SQL = rf"""
+def op6_sql() -> str:
+    return rf"""
 WITH templates(k, license, text) AS (VALUES {_templates_sql()}),
-docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM docs),
-solid AS (SELECT *, sum(CASE WHEN trim(unit) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS block FROM lines),
-blocks AS (
-  SELECT doc_id, block, min(no) AS no, count(*) AS n, string_agg(unit, chr(10) ORDER BY no) AS unit FROM solid WHERE trim(unit) <> '' GROUP BY doc_id, block),
-units AS (
-  SELECT doc_id, no, 0 AS kind, unit FROM solid WHERE trim(unit) <> ''
-  UNION ALL SELECT doc_id, no, 1, unit FROM blocks WHERE n > 1
-  UNION ALL SELECT doc_id, min(no), 2, string_agg(unit, chr(10) || chr(10) ORDER BY no) FROM blocks GROUP BY doc_id HAVING count(*) > 1),
-unit_tokens AS (SELECT doc_id, no, kind, regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+') AS t FROM units),
-template_tokens AS (SELECT k, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM templates),
-unit_pairs AS (SELECT DISTINCT doc_id, no, kind, t[i] || ' ' || t[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(t))) AS i FROM unit_tokens)),
-template_pairs AS (SELECT DISTINCT k, license, t[i] || ' ' || t[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(t))) AS i FROM template_tokens)),
-unit_sizes AS (SELECT doc_id, no, kind, count(*) AS n FROM unit_pairs GROUP BY ALL),
-template_sizes AS (SELECT k, license, count(*) AS n FROM template_pairs GROUP BY ALL),
-shared AS (SELECT doc_id, no, kind, k, count(*) AS n FROM unit_pairs JOIN template_pairs USING (pair) GROUP BY ALL),
-scored AS (
-  SELECT s.doc_id, s.no, s.kind, s.k, t.license, 2.0::DOUBLE * s.n / (u.n + t.n) AS dice
-  FROM shared s JOIN unit_sizes u ON s.doc_id = u.doc_id AND s.no = u.no AND s.kind = u.kind JOIN template_sizes t ON s.k = t.k),
-matches AS (
-  SELECT doc_id, no, kind, arg_min(license, (-dice, k)) AS license, max(dice) AS dice FROM scored WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id, no, kind),
-best AS (SELECT doc_id, count(*) AS n, arg_min(license, (-dice, no, kind)) AS license, max(dice) AS dice FROM matches GROUP BY doc_id)
-SELECT docs.doc_id, license, round(dice, 6) AS dice, coalesce(n, 0)::BIGINT AS n_matches FROM docs LEFT JOIN best ON docs.doc_id = best.doc_id
+template_tokens AS MATERIALIZED (SELECT k, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM templates),
+template_pairs AS MATERIALIZED (SELECT DISTINCT k, t[i] || ' ' || t[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(t))) AS i FROM template_tokens)),
+sizes AS MATERIALIZED (SELECT k, license, len(t) AS m, b FROM template_tokens JOIN (SELECT k, count(*) AS b FROM template_pairs GROUP BY k) USING (k)),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS t FROM documents),
+doc_pairs AS MATERIALIZED (
+  SELECT *, coalesce(lag(j) OVER (PARTITION BY r, pair ORDER BY j), 0) AS prev
+  FROM (SELECT r, j, t[j] || ' ' || t[j + 1] AS pair FROM (SELECT r, t, unnest(range(1, len(t))) AS j FROM docs))),
+passing AS MATERIALIZED (
+  SELECT r, k, m, b, len(t) AS n
+  FROM (SELECT r, k, count(*) AS c FROM (SELECT r, pair FROM doc_pairs WHERE prev = 0) JOIN template_pairs USING (pair) GROUP BY r, k)
+  JOIN sizes USING (k) JOIN docs USING (r) WHERE c >= {licenses.THRESHOLD} / (2 - {licenses.THRESHOLD}) * b - 1e-9),
+windows AS (SELECT *, least(m, n) - 1 AS w, unnest(range(1, greatest(1, n - m + 1) + 1)) AS i FROM passing),
+cells AS (
+  SELECT w.r, w.k, w.i, any_value(b) AS b, count(*) AS a, count(t.pair) AS s
+  FROM windows w JOIN doc_pairs d ON d.r = w.r AND d.j BETWEEN w.i AND w.i + w.w - 1 AND d.prev < w.i
+  LEFT JOIN template_pairs t ON t.k = w.k AND t.pair = d.pair GROUP BY w.r, w.k, w.i),
+hits AS (SELECT *, 2.0::DOUBLE * s / (a + b) AS dice, i - row_number() OVER (PARTITION BY r, k ORDER BY i) AS island FROM cells WHERE 2.0::DOUBLE * s / (a + b) >= {licenses.THRESHOLD}),
+matches AS (SELECT r, k, island, max(dice) AS dice, arg_min(i, (-dice, i)) AS i FROM hits GROUP BY r, k, island),
+best AS (SELECT r, count(*) AS n, arg_min(license, (-dice, -m, k, i)) AS license, max(dice) AS dice FROM matches JOIN sizes USING (k) GROUP BY r)
+SELECT docs.doc_id, license, round(dice, 6) AS dice, coalesce(n, 0)::BIGINT AS n_matches FROM docs LEFT JOIN best USING (r)
 """
 
 
@@ -261,27 +313,33 @@ def _rounds_sql() -> str:
 state{k + 1} AS MATERIALIZED (
   SELECT b.host, seed_trust + {urls.DAMPING}::DOUBLE * coalesce(t.v, 0) AS trust, seed_distrust + {urls.DAMPING}::DOUBLE * coalesce(d.v, 0) AS distrust
   FROM state0 b
-  LEFT JOIN (SELECT dst AS host, sum(trust * forward) AS v FROM shares JOIN state{k} ON src = host GROUP BY dst) t ON b.host = t.host
-  LEFT JOIN (SELECT src AS host, sum(distrust * back) AS v FROM shares JOIN state{k} ON dst = host GROUP BY src) d ON b.host = d.host)"""
+  LEFT JOIN (SELECT dst AS host, sum(trust * share) AS v FROM shares JOIN state{k} ON src = host GROUP BY dst) t ON b.host = t.host
+  LEFT JOIN (SELECT src AS host, sum(distrust * share) AS v FROM shares JOIN state{k} ON dst = host GROUP BY src) d ON b.host = d.host)"""
         for k in range(urls.ROUNDS)
     )
 
 
 _LINK_SQL = urls._LINK.replace("'", "''")
+_BASE_SQL = urls._BASE.replace("'", "''")
 OP9_SQL = rf"""
 WITH parts AS (SELECT page_id, html, {_host_sql("url")} AS host, coalesce(regexp_extract(url, '{urls._PARTS}', 2), '') AS path FROM pages),
 ruled AS (SELECT page_id, host, path, {_rules_sql("text")} AS rule, {_rules_sql("verdict")} AS by_rule FROM parts),
 hosts AS (
   SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1 ELSE 0 END)::DOUBLE AS trust, avg(CASE WHEN by_rule = 'block' THEN 1 ELSE 0 END)::DOUBLE AS distrust
   FROM ruled GROUP BY host),
-linked AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{_LINK_SQL}', 1))) AS link FROM parts),
+linked AS (
+  SELECT host AS src, {_host_sql("(CASE WHEN starts_with(base, '//') THEN 'x:' || base ELSE base END)")} AS base_host,
+         unnest(list_distinct(regexp_extract_all(html, '{_LINK_SQL}', 1))) AS link
+  FROM (SELECT host, coalesce(html, '') AS html, coalesce(regexp_extract(html, '{_BASE_SQL}', 1), '') AS base FROM parts)),
 tree AS (
   SELECT a.host, b.host AS above FROM hosts a JOIN hosts b ON b.host = substr(a.host, instr(a.host, '.') + 1) WHERE a.host <> '' AND a.host <> b.host),
 every_edge AS (
-  SELECT src, {_host_sql("(CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END)")} AS dst FROM linked
+  SELECT src, CASE WHEN NOT starts_with(link, '//') AND NOT regexp_matches(link, '{urls._SCHEME}') THEN CASE WHEN base_host <> '' THEN base_host ELSE src END
+              ELSE {_host_sql("(CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END)")} END AS dst
+  FROM linked
   UNION ALL SELECT host, above FROM tree UNION ALL SELECT above, host FROM tree),
 edges AS (SELECT src, dst, count(*)::DOUBLE AS n FROM every_edge WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
-shares AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forward, n / sum(n) OVER (PARTITION BY dst) AS back FROM edges),
+shares AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges),
 state0 AS MATERIALIZED (
   SELECT host, sum(trust) AS seed_trust, sum(distrust) AS seed_distrust, sum(trust) AS trust, sum(distrust) AS distrust
   FROM (SELECT * FROM hosts UNION ALL SELECT src, 0, 0 FROM shares UNION ALL SELECT dst, 0, 0 FROM shares) GROUP BY host){_rounds_sql()}
@@ -292,4 +350,4 @@ FROM ruled r JOIN state{urls.ROUNDS} s ON r.host = s.host
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op6_licenses": OP6_SQL, "op7_quality": OP7_SQL, "op9_urls": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op6_licenses": op6_sql(), "op7_quality": OP7_SQL, "op9_urls": OP9_SQL, "op10_decontamination": OP10_SQL, "quality_ablation": QUALITY_ABLATION_SQL}

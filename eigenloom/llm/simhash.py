@@ -1,19 +1,22 @@
 """Operator 8: SimHash near-dedup by a byte-position inverted index.
 
-A fingerprint is 64 bits, eight positional bytes. Two that differ in at most
-two bits share at least six of the eight, whichever they are. The index lists
-fingerprints under every choice of six positions with their bytes (28 lists
-each), so being listed together is the guaranteed minimum of six matches. Lists
-of single bytes would hold a 256th of all fingerprints each, and their pairs
-would grow with the square of the input; lists of six bytes stay short.
-
-Pairs of a list are tallied (shared positional bytes counted), kept from six on
-and verified by their differing bits. A list longer than ``PAIR_LIST`` is never
-paired: its members differ within two bytes only, so each is entered under
-itself and its 16 one-bit neighbours there; members that share such an entry
-are at most two bits apart, an entry has at most 17 of them, and each is linked
-to the entry's smallest. Two fingerprints within two bits always share an
-entry, so no link's connection is lost.
+A fingerprint is 64 bits, eight positional bytes. Two that differ in at most two
+bits share at least six of the eight, whichever they are. The index lists
+fingerprints under every choice of five positions with their bytes (56 lists each).
+A pair that shares six bytes meets in at least six lists, one that shares five in
+one only: the lists in which a pair meets are tallied, pairs below the guaranteed
+minimum of six are dropped, and the others verified by their differing bits. Lists
+of single bytes would hold a 256th of all fingerprints each, and their pairs would
+grow with the square of the input; a list of five bytes has one of 2^40 values, so
+it stays short at any size.
+
+A list longer than ``PAIR_LIST`` is never paired: its members differ within three
+bytes only, so each is entered under itself and its 24 one-bit neighbours there;
+members that share such an entry are at most two bits apart, an entry has at most 25
+of them, and each is linked to the entry's smallest. Two fingerprints within two bits
+always share an entry, so though links are left out, no connection is. A pair within
+two bits either meets in such a list, or all lists in which it meets are paired and
+its tally is whole.
 
 Work is done on distinct fingerprints; copies are counted, never paired.
 
@@ -21,12 +24,15 @@ Defined results
     null or wordless text: fingerprint zero, linked like any other; fewer words
     than a shingle: the whole sequence is hashed; null ``doc_id``: the row is
     kept, and ids of a component are compared without it (all null: null);
-    repeated rows: each keeps its row; empty table: no rows.
+    repeated rows: each keeps its row; very long texts are read whole; the keeper of
+    a component is decided by id, then content hash; other columns, whatever their
+    names, are kept by ``drop_near_duplicates`` and not read; empty table: no rows.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 from typing import Iterator
 
 import numpy as np
@@ -45,6 +51,9 @@ HASH_SEED = 42
 MAX_BITS = 2
 #: Positions that a pair within MAX_BITS differing bits surely shares.
 MIN_SHARED_BYTES = 8 - MAX_BITS
+#: Positions by which fingerprints are listed, and lists in which such a pair surely meets.
+LIST_BYTES = 5
+MIN_LISTS = comb(MIN_SHARED_BYTES, LIST_BYTES)
 #: Lists up to this length are paired, longer ones go by one-bit neighbours.
 PAIR_LIST = 32
 #: Shingles whose bits are counted at once; bounds memory on long texts.
@@ -80,12 +89,8 @@ def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
 
 
-def positional_byte(fp: Column, position: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(0xFF))
-
-
 def _choices() -> list[tuple[int, ...]]:
-    return list(combinations(range(8), MIN_SHARED_BYTES))
+    return list(combinations(range(8), LIST_BYTES))
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -94,29 +99,23 @@ def _mask(positions: tuple[int, ...]) -> int:
 
 
 def postings(fps: DataFrame) -> DataFrame:
-    """(choice, bytes, fp): every distinct fingerprint under each choice of six positional bytes."""
+    """(choice, bytes, fp): every distinct fingerprint under each choice of positional bytes."""
     lists = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for k, c in enumerate(_choices())])
     return fps.select("fp", F.explode(lists).alias("entry")).select("entry.choice", "entry.bytes", "fp")
 
 
-def shared_bytes(x: Column, y: Column) -> Column:
-    """The tally: at how many of the eight positions two fingerprints have the same byte."""
-    differ = x.bitwiseXOR(y)
-    return sum((F.when(positional_byte(differ, p) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
-
-
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b), a < b, between the distinct fingerprints ``fps`` (fp).
 
-    All verified links of short lists; of long lists enough verified links to
-    keep every linked pair connected.
+    All links of pairs that meet in short lists only; of long lists enough verified
+    links to keep every linked pair connected.
     """
     listed = postings(fps)
     sizes = materialise(listed.groupBy("choice", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-lists")
     short = listed.join(sizes.filter(F.col("n") <= PAIR_LIST), ["choice", "bytes"])
     grouped = short.groupBy("choice", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = grouped.select("fps", F.posexplode("fps").alias("at", "a")).select("a", F.explode(F.slice("fps", F.col("at") + 2, F.size("fps"))).alias("b"))
-    found = pairs.filter(shared_bytes(F.col("a"), F.col("b")) >= MIN_SHARED_BYTES)
+    found = pairs.groupBy("a", "b").agg(F.count("*").alias("lists")).filter(F.col("lists") >= MIN_LISTS).select("a", "b")
     long = listed.join(sizes.filter(F.col("n") > PAIR_LIST), ["choice", "bytes"]).select("choice", "bytes", "fp")
     free = [[8 * p + bit for p in range(8) if p not in c for bit in range(8)] for c in _choices()]
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in bits]) for bits in free])
@@ -142,7 +141,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     text_batches(docs.sparkSession)
     rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"), simhash(F.col(text_col)).alias("fp")),
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"), simhash(F.col(text_col)).alias("fp")),
         "simhash-rows",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A token for comparisons that ignore case and punctuation.
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
+#: A letter of a script that is written without spaces.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def body(text: str | Column) -> Column:
     """The text; a null text is an empty one."""
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.coalesce(F.col(f"`{text}`") if isinstance(text, str) else text, F.lit(""))
 
 
 def words(text: str | Column) -> Column:
@@ -27,8 +29,10 @@ def count_words(text: str | Column) -> Column:
 
 
 def tokens(text: str | Column) -> Column:
-    """Array of lower-cased letter or digit runs."""
-    return F.filter(F.split(F.lower(body(text)), NOT_TOKEN), lambda t: t != F.lit(""))
+    """Array of lower-cased letter or digit runs; every letter of an unspaced script is one."""
+    lower = F.lower(body(text))
+    parted = F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(F.regexp_replace(lower, UNSPACED, " $1 "))
+    return F.filter(F.split(parted, NOT_TOKEN), lambda t: t != F.lit(""))
 
 
 def unsigned_hex(value: Column) -> Column:

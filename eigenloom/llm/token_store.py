@@ -18,8 +18,9 @@ it, one small number for each write task.
 Defined results
     null text: no ids but the end id; null ``doc_id``: documents of their own
     chunks before all others, in the order of their content's hash; a repeated
-    ``doc_id``: each row is a document, neighbours in that same order; empty
-    table: an empty store. Other columns are not stored.
+    ``doc_id``: each row is a document, neighbours in that same order; a very long
+    text is a chunk of its own, which must fit a binary value (2 GB, a thousand million
+    ids of two bytes); empty table: an empty store. Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "do
     Equal ids are ranged on by a hash of their content, so no id is too large for a task.
     """
     text_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), body(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = texts.repartitionByRange(planned_partitions(texts), *order).sortWithinPartitions(*order)
     rows = ranged.select("text", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
@@ -210,3 +211,59 @@ def read_documents(spark, path: str) -> DataFrame:
     columns = ["has_ids", "first_doc", "n_docs", "width", "ids", "ends", "doc_ids"]
     each = open_store(spark, path).select("start", F.explode(_documents(*columns)).alias("d"))
     return each.select("d.doc_id", (F.col("start") + F.col("d.rel")).alias("start"), "d.n_tokens", "d.ids_crc32")
+
+
+@F.udf(LongType())
+def _last_doc(doc_ids):
+    """How far a chunk's last document id is from its first."""
+    gaps = EliasFano.from_bytes(bytes(doc_ids))
+    return gaps.select(len(gaps) - 1)
+
+
+def _first_at_least(sequence: EliasFano, value: int) -> int:
+    """Place of the first number of a sequence that is not below ``value``, by ``select`` alone."""
+    low, high = 0, len(sequence)
+    while low < high:
+        middle = (low + high) // 2
+        if sequence.select(middle) < value:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+@F.udf(ArrayType(_DOCUMENT))
+def _looked_up(first_doc, width, ids, ends, doc_ids, wanted):
+    """The wanted documents of one chunk; offsets are read by ``select``, and only their ids."""
+    stops, gaps, out = EliasFano.from_bytes(bytes(ends)), EliasFano.from_bytes(bytes(doc_ids)), []
+    for doc in wanted:
+        place = _first_at_least(gaps, doc - first_doc)
+        while place < len(gaps) and gaps.select(place) == doc - first_doc:
+            start, stop = (stops.select(place - 1) if place else 0), stops.select(place)
+            own = np.frombuffer(ids, f"<u{width}", count=stop - start, offset=width * start)
+            out.append((doc, start, stop - start, zlib.crc32(own.astype("<u4").tobytes())))
+            place += 1
+    return out
+
+
+#: Wanted ids that are looked up in a chunk at once; bounds the arrays of a hot chunk.
+LOOKUP_IDS = 4096
+
+
+def lookup(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the documents of a store whose ids are in ``wanted`` (doc_id).
+
+    Chunks are ranges of ids, so a wanted id is joined to the few chunks whose range
+    has it: ids and ranges meet by the blocks of ids that they touch.
+    """
+    chunks = open_store(spark, path).filter("has_ids")
+    ends = chunks.select("part", "chunk", "first_doc", _last_doc("doc_ids").alias("reach")).withColumn("last_doc", F.col("first_doc") + F.col("reach"))
+    spread = ends.agg(F.max("reach").alias("r"), F.count("*").alias("n")).first()
+    block = max(1, int(spread["r"] or 0) // 8 + 1)
+    own = wanted.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    own = own.withColumn("block", F.floor(F.col("doc_id") / block).cast("long"))
+    ranges = ends.withColumn("block", F.explode(F.sequence(F.floor(F.col("first_doc") / block).cast("long"), F.floor(F.col("last_doc") / block).cast("long"))))
+    met = own.join(ranges, "block").filter("doc_id BETWEEN first_doc AND last_doc")
+    lists = met.groupBy("part", "chunk", F.floor(F.col("doc_id") / LOOKUP_IDS).alias("set")).agg(F.sort_array(F.collect_list("doc_id")).alias("wanted"))
+    found = lists.join(chunks, ["part", "chunk"]).select("start", F.explode(_looked_up("first_doc", "width", "ids", "ends", "doc_ids", "wanted")).alias("d"))
+    return found.select("d.doc_id", (F.col("start") + F.col("d.rel")).alias("start"), "d.n_tokens", "d.ids_crc32")

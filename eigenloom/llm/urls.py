@@ -9,15 +9,19 @@ distrust of what it links to, however many others link there too. A host is
 blocked where its distrust is over its trust and reaches ``BLOCK_AT``.
 
 Edges are links of pages to other hosts, counted by pair of hosts before they
-are shuffled, and links between a host and the host one label up where both
+are shuffled; a relative link goes to the host of the page's ``<base>``, else to its
+own. With ``name_edges`` a host and the host one label up are joined too, where both
 occur. Seeds are shares: a host with a tenth of its pages blocked starts at a
 tenth. A round is two equi-joins and a sum over hosts; its result is written to
 the shared folder.
 
 Defined results
     null url or none with ``://``: empty host and path, no rule, method allows;
-    null html: no links; null or repeated ``page_id``: a row each; empty table:
-    no rows. Ports and user parts belong to the host as they stand.
+    null html: no links; very long html is read whole; null or repeated ``page_id``
+    and repeated rows: a row each, and each page's links count; of two rules as long
+    that fit, the later one; distrust that only equals trust does not block; other
+    columns are not read; empty table: no rows. Ports and user parts belong to the
+    host as they stand.
 """
 
 from __future__ import annotations
@@ -57,7 +61,9 @@ def rule(verdict: str, text: str) -> UrlRule:
 RULES = (rule("block", "net/"), rule("allow", "example.net/en/"), rule("block", "example.com/de/"), rule("allow", "org/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+_LINK = r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_BASE = r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -81,18 +87,28 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return chosen
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+def linked_host(link: Column, page_host: Column, base_host: Column) -> Column:
+    """Host that a link of a page goes to; empty where it names none (``mailto:`` and the like)."""
+    relative = ~link.startswith("//") & ~link.rlike(_SCHEME)
+    full = F.when(link.startswith("//"), F.concat(F.lit("x:"), link)).otherwise(link)
+    return F.when(relative, F.when(base_host != "", base_host).otherwise(page_host)).otherwise(host_of(full))
+
+
+def host_edges(pages: DataFrame, hosts: DataFrame, name_edges: bool = True) -> DataFrame:
     """(src, dst, n) between different hosts: links of pages, and neighbours in the tree of names."""
-    targets = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1))))
-    linked = pages.select(host_of(F.col("url")).alias("src"), targets.alias("link"))
-    full = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link"))
-    links = linked.select("src", host_of(full).alias("dst"))
-    names = hosts.select("host").filter("host <> ''")
-    up = names.select("host", F.expr("substring(host, locate('.', host) + 1)").alias("above")).filter("above <> host")
-    above = up.join(names.select(F.col("host").alias("above")), "above")
-    tree = above.select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("above").alias("dst")), F.struct(F.col("above").alias("src"), F.col("host").alias("dst")))).alias("e"))
-    every = links.unionByName(tree.select("e.src", "e.dst")).filter("src <> dst AND src <> '' AND dst <> ''")
-    return every.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    html = F.coalesce("html", F.lit(""))
+    base = F.regexp_extract(html, _BASE, 1)
+    base_host = host_of(F.when(base.startswith("//"), F.concat(F.lit("x:"), base)).otherwise(base))
+    targets = F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1))))
+    linked = pages.select(host_of(F.col("url")).alias("src"), base_host.alias("base"), targets.alias("link"))
+    every = linked.select("src", linked_host(F.col("link"), F.col("src"), F.col("base")).alias("dst"))
+    if name_edges:
+        names = hosts.select("host").filter("host <> ''")
+        up = names.select("host", F.expr("substring(host, locate('.', host) + 1)").alias("above")).filter("above <> host")
+        above = up.join(names.select(F.col("host").alias("above")), "above")
+        tree = above.select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("above").alias("dst")), F.struct(F.col("above").alias("src"), F.col("host").alias("dst")))).alias("e"))
+        every = every.unionByName(tree.select("e.src", "e.dst"))
+    return every.filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, back_by: str = "dst") -> DataFrame:
@@ -136,13 +152,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, r
     return state
 
 
-def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int = ROUNDS, block_at: float = BLOCK_AT, name_edges: bool = True) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page of a table (page_id, url, html)."""
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumn("by_rule", rule_for(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.avg(F.when(F.col("by_rule.verdict") == verdict, 1.0).otherwise(0.0))
     hosts = materialise(judged.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "url-hosts")
-    scores = propagate(hosts, host_edges(pages, hosts), damping=damping, rounds=rounds, back_by="src")
+    scores = propagate(hosts, host_edges(pages, hosts, name_edges), damping=damping, rounds=rounds, back_by="src")
     scores = scores.select(F.col("host").alias("of_host"), "trust", "distrust")
     full = join_checked(judged, scores, judged["host"] == scores["of_host"], "left")
     blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= block_at) & (F.col("host") != "")

@@ -75,3 +75,10 @@ def test_no_rows_and_no_words(spark):
     assert mixing.mix(no_documents(spark)).collect() == []
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert {(r.doc_id, r.target, r.taken) for r in mixing.mix(blank).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, prose(k, 9), "ab"[k % 2], k, "x") for k in range(20)], "`doc.id` long, `the text` string, `a.source` string, `a.b` long, payload string")
+    mixed = mixing.mixed_documents(docs, id_col="doc.id", text_col="the text", source_col="a.source")
+    assert mixed.columns == docs.columns
+    assert {r["a.b"] for r in mixed.collect()} <= set(range(20))

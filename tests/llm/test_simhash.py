@@ -92,3 +92,14 @@ def test_odd_rows(spark):
     assert left.columns == docs.columns and sum(r.doc_id == 1 for r in left.collect()) == 1
     assert simhash.near_duplicates(no_documents(spark)).collect() == []
     assert simhash.drop_near_duplicates(no_documents(spark)).collect() == []
+
+
+def test_the_tally_rejects(spark):
+    base = 0x0123456789ABCDEF
+    three = base ^ (1 << 3 | 1 << 20 | 1 << 40)  # meets in one list of five bytes
+    six = base ^ 0xFF  # meets in many, differs in eight bits
+    two = base ^ (1 << 3 | 1 << 60)
+    fps = spark.createDataFrame([(signed(f),) for f in (base, three, six, two)], "fp long")
+    met = simhash.postings(fps).groupBy("choice", "bytes").count().filter("count > 1")
+    assert met.count() > simhash.MIN_LISTS
+    assert {tuple(sorted(r)) for r in simhash.links(fps).collect()} == {tuple(sorted((signed(base), signed(two))))}

@@ -107,3 +107,33 @@ def test_counts_and_cache(spark):
     token_counts.token_counts(docs, cache, other).collect()
     assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
     assert token_counts.token_counts(no_documents(spark), new_table_path(spark, "test-cache"), PATH).collect() == []
+
+
+def test_lookups_equal_whole_reads(spark):
+    docs = spark.createDataFrame([(3 * k - 20, prose(k, 5 + k % 60)) for k in range(300)] + [(7, "twice"), (7, "again"), (None, "no id"), (10**12, "far")], "doc_id long, text string")
+    path = new_table_path(spark, "store")
+    token_store.write_store(docs, path, PATH, chunk_ids=200)
+    every = {tuple(r) for r in token_store.read_documents(spark, path).collect()}
+    wanted = [-20, -19, 7, 8, 100, 877, 10**12, 10**12 + 1, None, *range(301, 600)]
+    got = token_store.lookup(spark, path, spark.createDataFrame([(w,) for w in wanted + wanted], "doc_id long")).collect()
+    assert sorted(map(tuple, got)) == sorted(r for r in every if r[0] is not None and r[0] in wanted)
+    token_store.write_store(no_documents(spark), path + "-empty", PATH)
+    assert token_store.lookup(spark, path + "-empty", spark.createDataFrame([(1,)], "doc_id long")).collect() == []
+
+
+def test_cache_is_asked_before_texts_move(spark):
+    docs = odd_documents(spark)
+    half = docs.filter("doc_id < 6")
+    for miss_rows in (token_counts.MISS_ROWS, 0):
+        cache = new_table_path(spark, "cache")
+        token_counts.fill_cache(half, cache, PATH)
+        first = spark.read.parquet(cache).count()
+        token_counts.fill_cache(docs, cache, PATH, miss_rows=miss_rows)
+        kept = spark.read.parquet(cache)
+        assert first < kept.count() == kept.select("content").distinct().count() == docs.selectExpr("coalesce(text, '')").distinct().count()
+        files = set(kept.inputFiles())
+        counts = {(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs, cache, PATH).collect()}
+        assert set(spark.read.parquet(cache).inputFiles()) == files  # nothing was missing
+        kept.write.mode("append").partitionBy("tokenizer").parquet(cache)  # as a second writer would
+        again = token_counts.token_counts(docs, cache, PATH).collect()
+        assert len(again) == docs.count() and {(r.doc_id, r.n_bytes, r.n_tokens) for r in again} == counts
