@@ -10,28 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eigenloom.llm import decontam, mixing, simhash, token_store, toxicity
 from eigenloom.llm.queries import table, tokenizer_path
-from eigenloom.session import delete_at_exit, materialise, new_table_path
+from eigenloom.session import delete_at_exit, materialise, new_table_path, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go; null, empty and unlabelled ones are scored like any, repeated rows alike."""
     return toxicity.drop_toxic(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One document of each SimHash component stays, that of the smallest id; all texts without words are one component."""
     return simhash.drop_near_duplicates(docs.select(COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontam.drop_contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed by weight: a row for each copy that the mix takes."""
+    """Sources are mixed by weight: a row for each copy that the mix takes; a null source is one, wordless texts stay once."""
     return mixing.mixed_documents(docs.select(COLUMNS))
 
 
@@ -58,5 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)  # does nothing to the documents themselves
+    result = STAGES[-1][1](spark, docs, sf_dir)  # has written its store
+    release(docs)
+    return result

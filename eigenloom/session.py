@@ -39,11 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is what the session names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, a notebook on one machine) a temporary folder is made and
-    named there.
+    is unset on a local master (tests, a notebook on one machine) a temporary
+    folder is made and named there. A cluster without it is refused: its
+    executors would each write to a folder of their own machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="eigenloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

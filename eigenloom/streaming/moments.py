@@ -3,7 +3,7 @@
 A batch's state is written under its number and read back for the total, so a
 batch that is run again after a failure replaces itself (exactly once). Merging
 is commutative, so late rows need no watermark. States are one small row a
-source and batch; ``compact`` folds old ones.
+source and batch.
 """
 
 from __future__ import annotations
