@@ -76,6 +76,8 @@ TOP_WORDS = 3
 LEAST_SYMBOLS = 64
 #: Distinct words, and characters, that a task counts or remembers before it hands them on and starts anew.
 HELD_WORDS, HELD_CHARS = 1_000_000, 64 << 20
+#: Words whose expressions are coded at once, and counted expressions that a task hands on at once.
+CODED, YIELDED = 1 << 14, 1 << 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -103,18 +105,27 @@ def hash_of(doc_id: Column) -> Column:
 _COUNTS = ("n_all", *(f"{kind}_{k}" for k in range(PARTS) for kind in ("toxic", "plain")))
 
 
-def _counted(words: list[str], tallies: dict[int, np.ndarray]) -> pd.DataFrame:
-    """One row an expression of the words, of which each group has so many."""
-    keys, lengths = word_expressions(words)
-    every, inverse = np.unique(keys, return_inverse=True)
-    counts = np.zeros((len(_COUNTS), len(every)), np.int64)
-    for group, tally in tallies.items():
-        weights = np.repeat(np.append(tally, np.zeros(len(words) - len(tally), np.int64)), lengths)
-        n = np.bincount(inverse, weights, len(every)).astype(np.int64)
-        counts[0] += n
-        if group:
-            counts[group] += n
-    return pd.DataFrame({"key": every} | {name: counts[k] for k, name in enumerate(_COUNTS)})
+def _counted(words: list[str], tallies: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """One row an expression of the words, of which each group has so many; some ``YIELDED`` rows at a time, so that only keys are held for all."""
+    keys, lengths = map(np.concatenate, zip(*[word_expressions(words[at : at + CODED]) for at in range(0, len(words), CODED)], strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    every = keys[firsts]
+    del keys
+    said_in = np.repeat(np.arange(len(words), dtype=np.int32), lengths)[order]
+    del order
+    for at in range(0, len(every), YIELDED):
+        start, end = firsts[at], firsts[at + YIELDED] if at + YIELDED < len(every) else len(said_in)
+        inside, own = firsts[at : at + YIELDED] - start, said_in[start:end]
+        counts = np.zeros((len(_COUNTS), len(inside)), np.int64)
+        for group, tally in tallies.items():
+            weights = np.where(own < len(tally), tally[np.minimum(own, len(tally) - 1)], 0)
+            n = np.add.reduceat(weights, inside)
+            counts[0] += n
+            if group:
+                counts[group] += n
+        yield pd.DataFrame({"key": every[at : at + YIELDED]} | {name: counts[k] for k, name in enumerate(_COUNTS)})
 
 
 def _count_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,10 +142,10 @@ def _count_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tally[: len(tallies.get(group, ()))] += tallies.get(group, 0)
             tallies[group] = tally
         if len(number) > HELD_WORDS or chars > HELD_CHARS:
-            yield _counted(number.new, tallies)
+            yield from _counted(number.new, tallies)
             number, tallies, chars = Numbers(), {}, 0
     if tallies:
-        yield _counted(number.new, tallies)
+        yield from _counted(number.new, tallies)
 
 
 def expression_counts(docs: DataFrame) -> DataFrame:
