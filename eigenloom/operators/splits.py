@@ -144,11 +144,14 @@ def sample_per_group(df: DataFrame, groups: list[str], cap: int, keys: list[str]
 
 
 def balanced_sample(df: DataFrame, label: str, max_rows: int, keys: list[str], seed: int = 0) -> DataFrame:
-    """At most ``max_rows`` rows, each class up to its equal share, topped up from the rest."""
+    """At most ``max_rows`` rows, each class up to its equal share, topped up from the rest.
+
+    No row beyond ``max_rows`` of its class can be taken; the filter on the rank drops those in tasks, before the shuffle.
+    """
     classes = max(1, df.select(label).distinct().count())
     share = max(1, max_rows // classes)
     place = sample_key(keys, seed)
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(place, *keys)))
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(place, *keys))).filter(F.col("_rank") <= max_rows)
     extra = (F.col("_rank") > share).cast("int")
     return ranked.orderBy(extra, place, *keys).limit(max_rows).drop("_rank")
 

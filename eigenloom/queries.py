@@ -27,8 +27,10 @@ from eigenloom.operators import splits as K
 from eigenloom.operators import stain as S
 from eigenloom.operators import summary as A
 from eigenloom.plans import experiments, grid
-from eigenloom.roles import Roles
-from eigenloom.sources.artifacts import rows_frame
+from eigenloom.roles import Roles, column_or_default, require_columns
+from eigenloom.session import delete_at_exit, new_table_path
+from eigenloom.sources import tables as T
+from eigenloom.sources.artifacts import load_maps, rows_frame, save_maps
 from eigenloom.streaming.moments import event_windows
 
 ROLES = Roles()
@@ -526,7 +528,17 @@ def panel_coverage(f, spark, sf_dir):
     return G.panel_coverage(G.pair_distances(_matrices(spark, sf_dir)), [0, 1, 2])
 
 
-@query()
+_DISPERSION = """
+WITH m AS (SELECT vec_id // 5 AS slide_id, vec_id % 5 AS scanner_id, unnest(range(1, 7)) AS k, unnest(embedding[1:6])::DOUBLE AS v FROM embeddings),
+o AS (SELECT slide_id, scanner_id, k, v, (sum(v) OVER (PARTITION BY slide_id, k) - v) / (count(*) OVER (PARTITION BY slide_id, k) - 1) AS w FROM m),
+r AS (SELECT slide_id, scanner_id, (k - 1) // 3 AS r, 1 - greatest(-1, least(1, sum(v * w) / ((sqrt(sum(v * v)) + 1e-12) * (sqrt(sum(w * w)) + 1e-12)))) AS gap FROM o GROUP BY ALL),
+d AS (SELECT slide_id, scanner_id, avg(gap) AS distance FROM r GROUP BY ALL),
+s AS (SELECT slide_id, avg(distance) AS mean, max(distance) AS max, stddev_pop(distance) AS std FROM d GROUP BY slide_id)
+SELECT slide_id, round(mean, 6) AS mean, round(max, 6) AS max, round(std, 6) AS std, mean >= (SELECT quantile_cont(mean, 0.9) FROM s) AS flagged FROM s
+"""
+
+
+@query(_DISPERSION)
 def dispersion_qc(f, spark, sf_dir):
     return A.leave_one_out_dispersion(_matrices(spark, sf_dir), "slide_id", "scanner_id")
 
@@ -744,6 +756,305 @@ def augmentation_delta_norms(f, spark, sf_dir):
     return made.select("vec_id", "draw", V.norm("delta").alias("norm"))
 
 
+# Rows by index, fold, domain and budget
+
+
+@query(base("SELECT vec_id AS feature_index, domain FROM f UNION ALL SELECT vec_id, domain FROM f WHERE label >= 5"))
+def rows_by_index(f, spark, sf_dir):
+    wanted = f.select("vec_id").unionAll(f.filter("label >= 5").select("vec_id"))
+    return K.rows_by_index(f, "vec_id", wanted).select("feature_index", "domain")
+
+
+@query(base("SELECT vec_id, domain FROM f WHERE domain IN ('1', '3')"))
+def selected_domains(f, spark, sf_dir):
+    return K.select_domains(f, "domain", ["1", "3"]).select("vec_id", "domain")
+
+
+@query(base("SELECT vec_id, domain FROM f WHERE grp % 5 <> 2 AND domain <> '0'"))
+def leave_one_domain_out(f, spark, sf_dir):
+    return K.train_rows(f.withColumn("fold", F.col("grp") % 5), 2, fit_without=("domain", "0")).select("vec_id", "domain")
+
+
+@query(base("SELECT vec_id, round(sqrt(sum(v * v)), 6) AS norm FROM e GROUP BY vec_id ORDER BY norm DESC, vec_id LIMIT 25"))
+def largest_rows(f, spark, sf_dir):
+    return K.top(f.select("vec_id", V.norm("x").alias("norm")), [F.desc("norm"), F.col("vec_id")], 25)
+
+
+@query(base("SELECT vec_id, domain, 'none' AS site FROM f"))
+def column_defaults(f, spark, sf_dir):
+    rows = require_columns(f, ["vec_id", "domain"])
+    return rows.select("vec_id", column_or_default(f, "domain", "none").alias("domain"), column_or_default(f, "site", "none").alias("site"))
+
+
+_ITEMS = ", o AS (SELECT vec_id, label, domain, max(CASE WHEN i = 20 THEN v END) AS a, max(CASE WHEN i = 21 THEN v END) AS b FROM e GROUP BY ALL) "
+
+
+def _two(f):
+    """Two elements of a vector as two measurements of a row."""
+    return f.select("vec_id", "label", "domain", F.get("x", F.lit(20)).alias("a"), F.get("x", F.lit(21)).alias("b"))
+
+
+@query(base(_ITEMS + "SELECT vec_id FROM o WHERE abs(a) <= 0.35 AND b <= 0.1::DOUBLE + 0.1::DOUBLE"))
+def budgeted_configurations(f, spark, sf_dir):
+    rows = _two(f).withColumn("change", F.abs("a")).withColumn("chance", F.lit(0.1))
+    return A.within_budget(rows, "change", "b", "chance").select("vec_id")
+
+
+@query(base(_ITEMS + "SELECT vec_id, round((b + 10) / (a + 10), 6) AS excess FROM o"))
+def excess_ratios(f, spark, sf_dir):
+    return _two(f).select("vec_id", M.probe_excess_ratio(F.col("a"), F.col("b"), F.lit(-10.0)).alias("excess"))
+
+
+@query(base(_ITEMS + ", p AS (SELECT label AS rank, a, b, b - a AS d FROM o) SELECT rank, round(avg(a), 6) AS raw_score_mean, round(stddev_samp(a), 6) AS raw_score_std, round(avg(b), 6) AS projected_score_mean, round(stddev_samp(b), 6) AS projected_score_std, round(avg(d), 6) AS score_delta_mean, round(stddev_samp(d), 6) AS score_delta_std FROM p GROUP BY rank"))
+def scores_by_rank(f, spark, sf_dir):
+    return A.probe_by_rank(_two(f).select(F.col("label").alias("rank"), F.col("a").alias("raw_score"), F.col("b").alias("projected_score")))
+
+
+@query(base(', r AS (SELECT pair, domain FROM f WHERE label <> 0 UNION ALL SELECT pair, domain FROM f WHERE label = 1), g AS (SELECT pair, count(*)::BIGINT AS n, count(DISTINCT domain)::BIGINT AS folds FROM r GROUP BY pair) SELECT pair, n AS "rows", folds FROM g WHERE folds <> (SELECT count(DISTINCT domain) FROM r) OR n <> folds'))
+def incomplete_folds(f, spark, sf_dir):
+    scores = f.filter("label <> 0").unionAll(f.filter("label = 1")).select("pair", F.col("domain").alias("fold"))
+    return A.fold_gaps(scores, ["pair"])
+
+
+@query(base(_ITEMS + "SELECT domain, round(avg(abs(a)), 6) AS mae_raw, round(avg(abs(b)), 6) AS mae_new, round(avg(abs(a)) - avg(abs(b)), 6) + 0.0 AS mae_improvement FROM o GROUP BY domain"))
+def image_pair_errors(f, spark, sf_dir):
+    return A.image_pair_summary(_two(f).select("domain", F.abs("a").alias("mae_raw"), F.abs("b").alias("mae_new")), "domain", ["mae"])
+
+
+@query(base("SELECT a.vec_id, round(avg(abs(a.v - b.v)), 6) AS mae, round(sqrt(avg((a.v - b.v) * (a.v - b.v))), 6) AS rmse FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = a.i + 32 WHERE a.v > 0 GROUP BY a.vec_id"))
+def masked_image_errors(f, spark, sf_dir):
+    halves = f.select("vec_id", F.slice("x", 1, 32).alias("a"), F.slice("x", 33, 32).alias("b"))
+    masked = halves.withColumn("mask", F.transform("a", lambda v: (v > 0).cast("int")))
+    return M.image_error(masked, "a", "b", "mask").select("vec_id", "mae", "rmse")
+
+
+# Stain rows of folds, matrices by slide and scanner
+
+
+@query(base(STAIN + "SELECT DISTINCT vec_id AS source_row_index, target_id FROM s WHERE grp % 5 = 2"))
+def stain_rows_of_fold(f, spark, sf_dir):
+    return S.rows_of_fold(stain(f), f.filter("grp % 5 = 2"), "vec_id").select("source_row_index", "target_id")
+
+
+@query(base(STAIN + "SELECT DISTINCT vec_id AS source_row_index, target_id FROM s WHERE grp % 5 <> 2"))
+def stain_probe_split(f, spark, sf_dir):
+    return S.stain_probe_rows(stain(f), f.filter("grp % 5 <> 2"), "vec_id", exclude_identity=True).select("source_row_index", "target_id")
+
+
+@query(base(STAIN + """
+, d AS (SELECT 'scanner.mean' AS source, grp, domain AS k, sum(v * v) AS q FROM g2m GROUP BY grp, domain
+  UNION ALL SELECT 'stain.target', grp, vec_id || target_id, sum((v - x) * (v - x)) FROM s GROUP BY grp, vec_id, target_id)
+SELECT source, CASE WHEN grp % 5 = 2 THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n, round(avg(q), 6) AS energy FROM d GROUP BY ALL
+"""))
+def fold_delta_sources(f, spark, sf_dir):
+    made = S.delta_sources(f.withColumn("fold", F.col("grp") % 5), ROLES, {"mean": {"mode": "group_to_mean"}}, stain(f), {"target": {"mode": "original_to_target"}}, fold=2)
+    parts = [d.select(F.lit(name).alias("source"), F.lit(split).alias("split"), V.squared_norm("delta").alias("q")) for (name, split), d in made.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("source", "split").agg(F.count("*").alias("n"), F.avg("q").alias("energy"))
+
+
+@query("SELECT vec_id AS source_row_index FROM embeddings ORDER BY md5(vec_id || '|0'), vec_id LIMIT 10")
+def budgeted_sources(f, spark, sf_dir):
+    return K.sample_sources(stain(f), "source_row_index", len(TARGETS), 40)
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS m00 FROM embeddings")
+def matrix_lookup(f, spark, sf_dir):
+    rows = f.select("vec_id", "pair", (F.col("vec_id") % 5).alias("scanner"))
+    return S.with_matrices(rows, _matrices(spark, sf_dir), "pair", "scanner").select("vec_id", F.get(F.get("matrix", F.lit(0)), F.lit(0)).alias("m00"))
+
+
+@query(base("SELECT pair AS slide_id, domain AS scanner_id FROM f WHERE label = 0"))
+def absent_matrices(f, spark, sf_dir):
+    keys = f.select(F.col("pair").alias("slide_id"), F.col("domain").alias("scanner_id"), "label")
+    return S.missing_matrices(keys.filter("label <> 0").drop("label"), keys, keys)
+
+
+# Moments of several sources; maps by the equations that define them
+
+
+_SOURCES = """
+, c AS (
+  SELECT 'group' AS source, 1.0::DOUBLE AS weight, a.i, b.i AS j, count(*) AS n, sum(a.v * b.v) / count(*) AS m
+  FROM g2m a JOIN g2m b ON a.grp = b.grp AND a.domain = b.domain GROUP BY a.i, b.i
+  UNION ALL
+  SELECT 'pair', 3.0, a.i, b.i, count(*), (sum(a.v * b.v) - sum(a.v) * sum(b.v) / count(*)) / (count(*) - 1)
+  FROM p2m a JOIN p2m b ON a.pair = b.pair AND a.domain = b.domain GROUP BY a.i, b.i),
+t AS (SELECT source, max(n) AS n, sum(CASE WHEN i = j THEN m END) AS tr, sqrt(sum(m * m)) AS fr FROM c GROUP BY source),
+z AS (SELECT *, CASE source WHEN 'group' THEN tr ELSE fr END AS size FROM t)
+"""
+_COVARIANCE = "SELECT a.i, b.i AS j, (sum(a.v * b.v) - sum(a.v) * sum(b.v) / count(*)) / (count(*) - 1) AS m FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.i, b.i"
+
+
+def _two_sources(f):
+    moments = {name: Mo.collect_moments(D.domain_deltas(f, ROLES, mode=mode), "delta")["default"] for name, mode in (("group", "group_to_mean"), ("pair", "pair_col_to_mean"))}
+    return moments, [Mo.SourceSpec("group", 1.0, normalization="trace"), Mo.SourceSpec("pair", 3.0, moment="covariance", normalization="frobenius")]
+
+
+def _cells(spark, matrix, name="m"):
+    rows = [(i, j, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, f"i long, j long, {name} double")
+
+
+@query(base(_SOURCES + "SELECT source, max(weight) AS weight, max(z.n)::BIGINT AS n_delta, round(max(tr), 6) AS trace, round(max(fr), 6) AS frobenius, round(max(tr / size), 6) AS normalised_trace, round(max(fr / size), 6) AS normalised_frobenius FROM c JOIN z USING (source) GROUP BY source"))
+def source_sizes(f, spark, sf_dir):
+    return rows_frame(spark, Mo.source_diagnostics(*_two_sources(f)))
+
+
+@query(base(_SOURCES + f", a AS ({_COVARIANCE}), b AS (SELECT i, j, sum(weight / 4 * m / size) AS m FROM c JOIN z USING (source) GROUP BY i, j), s AS (SELECT (SELECT sum(m) FROM a WHERE i = j) * (SELECT 1 - 1.0::DOUBLE / count(*) FROM embeddings) / (SELECT sum(m) FROM b WHERE i = j) AS s) SELECT i, j, round(m * s, 6) + 0.0 AS m FROM b, s"))
+def joint_moment_cells(f, spark, sf_dir):
+    a = Mo.collect_moments(f, "x")["default"].covariance(shrink=True)
+    return _cells(spark, Mo.matched(Mo.joint_moment(*_two_sources(f)), a, "match_x_trace"))
+
+
+@query(base("SELECT a.i, b.i AS j, (a.i = b.i)::INT::DOUBLE AS m FROM (SELECT DISTINCT i FROM e) a, (SELECT DISTINCT i FROM e) b"))
+def whitened_covariance(f, spark, sf_dir):
+    a = Mo.collect_moments(f, "x")["default"].covariance()
+    _, inverse = Mo.whitening(a)
+    return _cells(spark, inverse @ a @ inverse)
+
+
+@query(base(f", a AS ({_COVARIANCE}) SELECT i, j, round(m + CASE WHEN i = j THEN 0.0001 ELSE 0 END, 6) + 0.0 AS m FROM a"))
+def soft_eraser_products(f, spark, sf_dir):
+    """P (A + lambda B), which is A."""
+    x, s = _moments(f)
+    p = E.soft_eraser(x, s, 10.0, shrink_a=False).dense()
+    return _cells(spark, p @ (x.covariance() + 1e-4 * np.eye(DIM) + 10.0 * s["default"].second_moment()))
+
+
+@query(base(f", a AS ({_COVARIANCE}) SELECT lam AS lambda, i, j, round(m + CASE WHEN i = j THEN 0.0001 ELSE 0 END, 6) + 0.0 AS m FROM a, (VALUES (0.1::DOUBLE), (100.0::DOUBLE)) l(lam)"))
+def soft_family_products(f, spark, sf_dir):
+    """The same for two members of a family that shares one eigendecomposition."""
+    x, s = _moments(f)
+    member, _ = E.soft_family(x, s, shrink_a=False)
+    a = x.covariance() + 1e-4 * np.eye(DIM)
+    parts = [_cells(spark, member(lam).dense() @ (a + lam * s["default"].second_moment())).withColumn("lambda", F.lit(lam)) for lam in (0.1, 100.0)]
+    return parts[0].unionByName(parts[1])
+
+
+_NO_ENERGY = "SELECT domain AS domain_a, count(DISTINCT grp)::BIGINT AS n, 0.0::DOUBLE AS energy FROM f GROUP BY domain"
+
+
+def _left_energy(f, m):
+    left = E.apply_map(D.domain_deltas(f, ROLES), "delta", m, affine=False)
+    return left.groupBy("domain_a").agg(F.count("*").alias("n"), F.avg(V.squared_norm("delta")).alias("energy"))
+
+
+@query(base(_NO_ENERGY))
+def full_rank_pca_energy(f, spark, sf_dir):
+    """Delta energy that is left when every direction of deltas is taken: none."""
+    return _left_energy(f, E.pca_eraser(*_moments(f), None))
+
+
+@query(base(_NO_ENERGY))
+def full_rank_hard_energy(f, spark, sf_dir):
+    return _left_energy(f, E.hard_eraser(*_moments(f), None))
+
+
+_NO_GAPS = "SELECT DISTINCT domain, i, 0.0::DOUBLE AS gap FROM e"
+
+
+def _class_gaps(f, cross, m):
+    means = E.apply_map(f, "x", m).groupBy("domain").agg(V.mean_of("x").alias("mean"))
+    overall = F.array(*[F.lit(float(v)) for v in cross.x.mean])
+    return V.long_form(means.withColumn("gap", V.subtract("mean", overall)), "gap", "domain", value="gap")
+
+
+@query(base(_NO_GAPS))
+def leace_class_gaps(f, spark, sf_dir):
+    """Class means less the overall mean after LEACE: none. Its blend for the trace gives that up, so it is off."""
+    cross = Mo.label_moments(f, "x", "domain")
+    return _class_gaps(f, cross, E.leace_eraser(cross, tol=1e-7, constrain_trace=False))
+
+
+@query(base(_NO_GAPS))
+def orth_class_gaps(f, spark, sf_dir):
+    cross = Mo.label_moments(f, "x", "domain")
+    return _class_gaps(f, cross, E.orth_eraser(cross, tol=1e-7))
+
+
+@query(base("SELECT a.i, round(avg(1 + (a.v - 1) - 0.5 * (b.v - 1)), 6) + 0.0 AS mean, round(var_samp(1 + (a.v - 1) - 0.5 * (b.v - 1)), 6) AS variance FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 64 GROUP BY a.i"))
+def pushed_moments(f, spark, sf_dir):
+    """Moments of mapped rows without mapping rows."""
+    m = E.LinearMap(matrix=np.eye(DIM) - 0.5 * np.roll(np.eye(DIM), 1, axis=1), bias=np.ones(DIM))
+    after = m.of_moments(Mo.collect_moments(f, "x")["default"])
+    return spark.createDataFrame([(i, float(after.mean[i]), float(v)) for i, v in enumerate(np.diag(after.covariance()))], "i long, mean double, variance double")
+
+
+# Tables written and read back
+
+
+@query(base("SELECT vec_id::VARCHAR AS vec_id, domain, round(sqrt(sum(v::FLOAT::DOUBLE * v::FLOAT::DOUBLE)), 6) AS norm FROM e GROUP BY ALL"))
+def stored_features(f, spark, sf_dir):
+    path = _stored(spark)
+    T.write_features(f.select("vec_id", "domain", F.col("x").alias("embedding")), path)
+    return T.read_features(spark, path, required=["domain"]).select("vec_id", "domain", V.norm("embedding").alias("norm"))
+
+
+def _stored(spark):
+    path = new_table_path(spark, "stored")
+    delete_at_exit(spark, path)
+    return path
+
+
+@query(base(STAIN + "SELECT vec_id AS source_row_index, target_id, round(sqrt(sum(v * v)), 6) AS norm FROM s WHERE target_id IN ('t1', 't3') GROUP BY ALL"))
+def stored_stains(f, spark, sf_dir):
+    path = _stored(spark)
+    T.write_stain_table(stain(f), path)
+    return T.read_stain_table(spark, path, ["t1", "t3"]).select("source_row_index", "target_id", V.norm("z").alias("norm"))
+
+
+@query("SELECT vec_id // 5 AS slide_id, vec_id % 5 AS scanner_id, round(embedding[6]::DOUBLE, 6) + 0.0 AS m12 FROM embeddings")
+def stored_matrices(f, spark, sf_dir):
+    path = _stored(spark)
+    _matrices(spark, sf_dir).write.parquet(path)
+    return T.read_stain_matrices(spark, path).select("slide_id", "scanner_id", F.get(F.get("matrix", F.lit(1)), F.lit(2)).alias("m12"))
+
+
+@query(base("SELECT vec_id, round(sqrt(sum(CASE WHEN i < 4 THEN 1 ELSE v * v END)), 6) AS norm FROM e GROUP BY vec_id"))
+def stored_maps(f, spark, sf_dir):
+    path = _stored(spark)
+    save_maps(spark, path, E.LinearMap(left=np.eye(DIM)[:, :4], right=np.eye(DIM)[:4], bias=np.ones(DIM)))
+    return _erased(f, load_maps(spark, path))
+
+
+@query("SELECT vec_id, label::BIGINT AS label FROM embeddings")
+def stored_cache(f, spark, sf_dir):
+    """The second call reads what the first has written, and agrees on how it was made."""
+    path = _stored(spark)
+    delete_at_exit(spark, f"{path}.config")
+    made = [T.cached(spark, path, lambda: f.select("vec_id", "label"), config={"dim": DIM}) for _ in range(2)]
+    return made[1]
+
+
+@query("SELECT 'slide' || vec_id // 25 || '-sample_' || vec_id || '-tile_0_0-GT450' AS tile_id, (vec_id % 5)::VARCHAR AS scanner_id, 'slide' || vec_id // 25 || '-sample_' || vec_id AS image_id, 'slide' || vec_id // 25 AS slide_id FROM embeddings")
+def stored_metadata(f, spark, sf_dir):
+    path = _stored(spark)
+    tile = F.concat(F.lit("slide"), F.col("grp").cast("string"), F.lit("-sample_"), F.col("vec_id").cast("string"), F.lit("-tile_0_0-GT450"))
+    f.select(tile.alias("tile_id"), F.col("domain").alias("scanner_id")).write.csv(path, header=True)
+    return T.read_metadata(spark, path)
+
+
+@query("SELECT CASE WHEN label = 0 THEN 'unnamed' ELSE 's_' || vec_id || '_x_y' END AS name FROM embeddings")
+def safe_names(f, spark, sf_dir):
+    text = F.when(F.col("label") == 0, F.lit("***")).otherwise(F.concat(F.lit(" s/"), F.col("vec_id").cast("string"), F.lit("**x  __y_")))
+    return f.select(names.safe_name(text).alias("name"))
+
+
+_STARTS = "list_distinct(list_transform(range(0, ceil(greatest({0} - 96, 0) / 64)::BIGINT + 1), lambda k: least(k * 64, greatest({0} - 96, 0))))"
+
+
+@query(f"WITH d AS (SELECT doc_id, n_chars % 700 + 40 AS h, n_chars % 500 + 40 AS w FROM documents), r AS (SELECT doc_id, w, unnest({_STARTS.format('h')})::BIGINT AS top FROM d) SELECT doc_id, top, unnest({_STARTS.format('w')})::BIGINT AS \"left\" FROM r")
+def window_grid(f, spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("n_chars") % 700 + 40).alias("height"), (F.col("n_chars") % 500 + 40).alias("width"))
+    return I.sliding_windows(docs, 96, 64, keys=["doc_id"])
+
+
+@query(base(f", p AS (SELECT vec_id, i // 3 AS k, bool_and(-ln((trunc(30 + (abs(v) * 997 + i * 31) % 150) + 1) / {I.IO}) >= {I.BETA}) AS dense FROM e WHERE i < 63 GROUP BY vec_id, i // 3) SELECT vec_id, round(avg(dense::INT), 6) AS tissue FROM p GROUP BY vec_id"))
+def tissue_fractions(f, spark, sf_dir):
+    made = I.map_pixels(_images(f), lambda p: I.tissue_mask(p).mean(keepdims=True))
+    return made.select("vec_id", F.get("result", F.lit(0)).alias("tissue"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
