@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from eigenloom.functions import vectors as V
 from eigenloom.operators.splits import sample_rows
 from eigenloom.roles import Roles, validate_delta_inputs
-from eigenloom.session import null_safe
+from eigenloom.session import join_checked, null_safe
 
 SIGNS = ("one", "both")
 
@@ -118,8 +118,7 @@ def common_domains(df: DataFrame, roles: Roles) -> DataFrame:
 
 def complete_group_means(df: DataFrame, roles: Roles) -> DataFrame:
     """(group, domain, group_mean, domain_mean, delta) over common domains; groups lacking one are skipped."""
-    shared = F.broadcast(common_domains(df, roles))
-    rows = df.withColumn("domain", F.col(roles.domain).cast("string")).join(shared, "domain")
+    rows = join_checked(df.withColumn("domain", F.col(roles.domain).cast("string")), common_domains(df, roles), "domain")
     groups = rows.groupBy(roles.group).agg(V.mean_of(roles.vector).alias("group_mean"))
     means = domain_means(rows, [roles.group], "domain", roles.vector)
     return means.join(groups, roles.group).select(roles.group, "domain", "group_mean", F.col("mean").alias("domain_mean"), V.subtract("mean", "group_mean").alias("delta"))

@@ -33,9 +33,15 @@ class Standard:
         return df.withColumn(output, array_to_vector(F.zip_with(V.subtract(vector, lit(self.mean)), lit(self.std), lambda x, s: x / s)))
 
 
+#: Classes of a label; a label with more is a key by mistake.
+MOST_CLASSES = 10_000
+
+
 def class_table(df: DataFrame, label: str) -> tuple[list[str], DataFrame]:
     """Class names in order, and a small table (label, class_no, weight) with balanced weights."""
-    counts = {r[0]: r[1] for r in df.groupBy(F.col(label).cast("string").alias("c")).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(F.col(label).cast("string").alias("c")).count().limit(MOST_CLASSES + 1).collect()}
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} classes")
     names, total = sorted(counts), sum(counts.values())
     rows = [(c, float(k), total / (len(names) * counts[c])) for k, c in enumerate(names)]
     return names, df.sparkSession.createDataFrame(rows, "class string, class_no double, class_weight double")

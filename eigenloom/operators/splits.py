@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eigenloom.session import join_checked, materialise
+from eigenloom.session import few_values, join_checked, materialise
 
 #: Samples up to this size are one top-k.
 TOP_ROWS = 10_000
@@ -194,7 +194,7 @@ def select_domains(df: DataFrame, domain: str, selected: list[str] | None) -> Da
     """Rows of the selected domains; None is all, unknown, repeated or no names are errors."""
     if selected is None:
         return df
-    known = {str(r[0]) for r in df.select(domain).distinct().collect()}
+    known = {str(v) for v in few_values(df, domain)}
     if not selected or len(set(selected)) < len(selected) or not set(selected) <= known:
         raise ValueError(f"selection {selected} of {sorted(known)}")
     return df.filter(F.col(domain).cast("string").isin(selected))

@@ -9,7 +9,7 @@ from eigenloom.functions import vectors as V
 from eigenloom.operators.deltas import pairwise, profiles, to_mean, with_signs
 from eigenloom.operators.splits import sample_rows, sample_sources
 from eigenloom.roles import Roles
-from eigenloom.session import join_checked
+from eigenloom.session import few_values, join_checked
 
 #: Targets are a panel of exemplar slides; more than this is a mistake in the configuration.
 MOST_TARGETS = 10_000
@@ -62,7 +62,7 @@ def with_matrices(df: DataFrame, matrices: DataFrame, slide: str, domain: str) -
 
 def missing_matrices(matrices: DataFrame, slides: DataFrame, scanners: DataFrame) -> DataFrame:
     """(slide_id, scanner_id) of the full product of slides and scanners without a matrix. Both are small panels."""
-    names = [r[0] for r in scanners.select("scanner_id").distinct().collect()]
+    names = few_values(scanners, "scanner_id", MOST_TARGETS)
     wanted = slides.select("slide_id").distinct().withColumn("scanner_id", F.explode(F.array(*[F.lit(n) for n in names])))
     return wanted.join(matrices, ["slide_id", "scanner_id"], "left_anti")
 

@@ -15,6 +15,7 @@ from eigenloom.operators.summary import displacement_summary
 from eigenloom.operators.metrics import feature_change
 from eigenloom.plans.grid import run_grid
 from eigenloom.roles import Roles
+from eigenloom.session import few_values
 from eigenloom.sources.artifacts import rows_frame
 
 
@@ -93,7 +94,7 @@ def crossfit_analysis(features: DataFrame, roles: Roles, fit, *, n_splits: int =
 
 def leave_one_domain_out(features: DataFrame, roles: Roles, fit, *, n_splits: int = 5, probe: str = "logistic") -> DataFrame:
     """``crossfit_analysis`` once for each domain left out of fitting: means and deviations of the scores."""
-    domains = sorted(r[0] for r in features.select(F.col(roles.domain).cast("string")).distinct().collect())
+    domains = sorted(few_values(features.select(F.col(roles.domain).cast("string")), roles.domain))
     out = None
     for d in domains:
         scores = crossfit_analysis(features, roles, fit, n_splits=n_splits, leave_out=d, probe=probe)["scores"]

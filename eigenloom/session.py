@@ -176,3 +176,11 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Have a table that exists deleted when the JVM ends."""
     at, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(at)
+
+
+def few_values(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """Distinct values of a column that a panel's names are in; more than ``most`` are an error, never brought whole."""
+    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return found

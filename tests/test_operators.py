@@ -354,3 +354,11 @@ def test_stream_of_vectors(spark, many, tmp_path):
     kept, want = keeper.moments(), Mo.collect_moments(many, "x", "d")
     assert set(kept) == set(want) and all(np.allclose(kept[k].m2, want[k].m2) for k in want)
     keeper.update(many.filter("id < 0"), 0)  # a batch that is run again replaces itself
+
+
+def test_few_values_refuse_a_key(spark):
+    from eigenloom.session import few_values
+
+    assert sorted(few_values(spark.range(6).selectExpr("id % 3 AS d"), "d", 3)) == [0, 1, 2]
+    with pytest.raises(ValueError, match="more than 3"):
+        few_values(spark.range(6), "id", 3)
