@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenloom.llm import chat, decontam, licenses, mixing, quality, simhash, token_counts, token_store, toxicity, urls
+from eigenloom.llm import chat, decontam, licenses, mixing, quality, repeats, simhash, token_counts, token_store, toxicity, urls
 from eigenloom.llm.text import unsigned_hex
 from eigenloom.session import delete_at_exit, new_table_path
 
@@ -75,6 +75,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "contaminated", "n_items", "item_id", F.round("share", 6).alias("share"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repeats.drop_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return judged.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def token_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts from a cache that a first call has filled: nothing is encoded by the second."""
     cache, docs = new_table_path(spark, "token-cache"), table(spark, sf_dir, "documents")
@@ -108,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_mixing, op2_chat, op3_toxicity, op4_token_counts, op5_token_store, op6_licenses, op7_quality, op8_simhash, op9_urls, op10_decontamination, token_cache_hits, token_lookup, quality_ablation, pipeline)
+        for f in (op1_mixing, op2_chat, op3_toxicity, op4_token_counts, op5_token_store, op6_licenses, op7_quality, op8_simhash, op9_urls, op10_decontamination, op12_repeats, token_cache_hits, token_lookup, quality_ablation, pipeline)
     }
 
 
@@ -349,5 +355,25 @@ FROM ruled r JOIN state{urls.ROUNDS} s ON r.host = s.host
 """
 
 
+OP12_SQL = """
+WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+blocks AS (SELECT doc_id, at, substr(t, 2 * at + 1, 2 * 599) AS t FROM (SELECT doc_id, t, unnest(range(0, len(t) // 2 - 99, 500)) AS at FROM docs WHERE len(t) >= 200)),
+windows AS (SELECT doc_id, at + j AS i, substr(t, 2 * j + 1, 200) AS w FROM (SELECT doc_id, at, t, unnest(range(0, len(t) // 2 - 99)) AS j FROM blocks)),
+firsts AS (SELECT w, min((doc_id, i)) AS place FROM windows GROUP BY w HAVING count(*) > 1),
+lost AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE (doc_id, i) <> place),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM lost),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY span)
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substr(t, 2 * a + 1) ELSE substr(t, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS t FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (len(d.t) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.t, CASE WHEN n_spans IS NULL THEN d.t ELSE '' END))) AS kept_sha256
+FROM docs d LEFT JOIN sums USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op6_licenses": op6_sql(), "op7_quality": OP7_SQL, "op9_urls": OP9_SQL, "op10_decontamination": OP10_SQL, "quality_ablation": QUALITY_ABLATION_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op6_licenses": op6_sql(), "op7_quality": OP7_SQL, "op9_urls": OP9_SQL, "op10_decontamination": OP10_SQL, "op12_repeats": OP12_SQL, "quality_ablation": QUALITY_ABLATION_SQL}
