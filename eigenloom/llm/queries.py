@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenloom.llm import chat, decontam, licenses, mixing, quality, repeats, simhash, token_counts, token_store, toxicity, urls
+from eigenloom.llm import chat, clusters, decontam, licenses, mixing, quality, repeats, resampling, simhash, token_counts, token_store, toxicity, urls
 from eigenloom.llm.text import unsigned_hex
 from eigenloom.session import delete_at_exit, new_table_path
 
@@ -75,12 +75,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "contaminated", "n_items", "item_id", F.round("share", 6).alias("share"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, centroids = clusters.clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    total = centroids.agg(F.sum("inertia").alias("inertia"))
+    of_cluster = F.broadcast(centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), digest.alias("centroid_sha256")).crossJoin(total))
+    return members.join(of_cluster, "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repeats.drop_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return judged.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def token_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts from a cache that a first call has filled: nothing is encoded by the second."""
     cache, docs = new_table_path(spark, "token-cache"), table(spark, sf_dir, "documents")
@@ -114,7 +127,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_mixing, op2_chat, op3_toxicity, op4_token_counts, op5_token_store, op6_licenses, op7_quality, op8_simhash, op9_urls, op10_decontamination, op12_repeats, token_cache_hits, token_lookup, quality_ablation, pipeline)
+        for f in (op1_mixing, op2_chat, op3_toxicity, op4_token_counts, op5_token_store, op6_licenses, op7_quality, op8_simhash, op9_urls, op10_decontamination, op11_clusters, op12_repeats, op13_resampling, token_cache_hits, token_lookup, quality_ablation, pipeline)
     }
 
 
@@ -355,10 +368,43 @@ FROM ruled r JOIN state{urls.ROUNDS} s ON r.host = s.host
 """
 
 
+def op11_sql() -> str:
+    """A table of assignments and one of centroids a round."""
+
+    def assigned(step: int) -> str:
+        gaps = "list_sum(list_transform(list_zip(v, centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        return f""",
+assigned{step} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, cluster)) AS best
+  FROM (SELECT r, vec_id, v, cluster, {gaps} AS d FROM vectors CROSS JOIN centroids{step}) GROUP BY r)"""
+
+    rounds = "".join(
+        assigned(k)
+        + f""",
+cells{k} AS (SELECT best[2] AS cluster, unnest(range(1, {clusters.DIMENSIONS + 1})) AS j, unnest(v) AS x FROM assigned{k}),
+means{k} AS (SELECT cluster, j, sum(x)::BIGINT AS s, count(*) AS n FROM cells{k} GROUP BY cluster, j),
+moved{k} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY j) AS centroid FROM means{k} GROUP BY cluster),
+centroids{k + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.centroid, c.centroid) AS centroid FROM centroids{k} c LEFT JOIN moved{k} m USING (cluster))"""
+        for k in range(clusters.ROUNDS)
+    )
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({clusters.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {clusters.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clusters.DIMENSIONS}),
+centroids0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS cluster, v AS centroid
+  FROM (SELECT v, sha256('{clusters.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM vectors ORDER BY h, v LIMIT {clusters.CLUSTERS})){rounds}{assigned(clusters.ROUNDS)}
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+       (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(centroid, ',')) AS centroid_sha256
+FROM assigned{clusters.ROUNDS} JOIN centroids{clusters.ROUNDS} ON best[2] = cluster
+"""
+
+
 OP12_SQL = """
 WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
-blocks AS (SELECT doc_id, at, substr(t, 2 * at + 1, 2 * 599) AS t FROM (SELECT doc_id, t, unnest(range(0, len(t) // 2 - 99, 500)) AS at FROM docs WHERE len(t) >= 200)),
-windows AS (SELECT doc_id, at + j AS i, substr(t, 2 * j + 1, 200) AS w FROM (SELECT doc_id, at, t, unnest(range(0, len(t) // 2 - 99)) AS j FROM blocks)),
+blocks AS (SELECT doc_id, o, substr(t, 2 * o + 1, 2 * 599) AS t FROM (SELECT doc_id, t, unnest(range(0, len(t) // 2 - 99, 500)) AS o FROM docs WHERE len(t) >= 200)),
+windows AS (SELECT doc_id, o + j AS i, substr(t, 2 * j + 1, 200) AS w FROM (SELECT doc_id, o, t, unnest(range(0, len(t) // 2 - 99)) AS j FROM blocks)),
 firsts AS (SELECT w, min((doc_id, i)) AS place FROM windows GROUP BY w HAVING count(*) > 1),
 lost AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE (doc_id, i) <> place),
 marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM lost),
@@ -375,5 +421,45 @@ FROM docs d LEFT JOIN sums USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
 
+_FEATURE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP13_SQL = rf"""
+WITH RECURSIVE crc_rows(i, step, v) AS (
+  SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, step + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc_rows WHERE step < 8),
+crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM crc_rows WHERE step = 8),
+raw AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_FEATURE_WORDS} AS w FROM documents),
+target AS (SELECT {_FEATURE_WORDS} AS w FROM benchmark),
+raw_runs AS MATERIALIZED (
+  SELECT r, f, count(*) AS n FROM (
+    SELECT r, unnest(w) AS f FROM raw
+    UNION ALL SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM raw) GROUP BY r, f),
+target_runs AS MATERIALIZED (
+  SELECT f, count(*) AS n FROM (
+    SELECT unnest(w) AS f FROM target
+    UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM target) GROUP BY f),
+spelt AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM raw_runs UNION SELECT f FROM target_runs)),
+hashed AS MATERIALIZED (
+  SELECT f, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % {resampling.BUCKETS} AS bucket
+  FROM spelt, crc_table),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM raw_runs JOIN hashed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM target_runs JOIN hashed USING (f) GROUP BY bucket),
+gains AS MATERIALIZED (
+  SELECT b AS bucket, floor(1000::DOUBLE * ln(((coalesce(t, 0) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + {resampling.BUCKETS}))
+    / ((coalesce(s, 0) + 1) * (coalesce((SELECT sum(t) FROM t), 0) + {resampling.BUCKETS}))))::BIGINT AS gain
+  FROM range({resampling.BUCKETS}) x(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+sums AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS g FROM raw_runs JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r),
+weighed AS (
+  SELECT doc_id, len(w) >= {resampling.LEAST_WORDS} AS fit, coalesce(n_features, 0)::BIGINT AS n_features,
+         coalesce((g - ((g % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h
+  FROM raw LEFT JOIN sums USING (r)),
+scored AS (SELECT *, weight + floor(-1000::DOUBLE * ln(-ln((h + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS place, {resampling.PERCENT} * count(*) OVER (PARTITION BY fit) // 100 AS n_drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= n_drawn THEN place END::BIGINT AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op6_licenses": op6_sql(), "op7_quality": OP7_SQL, "op9_urls": OP9_SQL, "op10_decontamination": OP10_SQL, "op12_repeats": OP12_SQL, "quality_ablation": QUALITY_ABLATION_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op6_licenses": op6_sql(), "op7_quality": OP7_SQL, "op9_urls": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_clusters": op11_sql(), "op12_repeats": OP12_SQL, "op13_resampling": OP13_SQL, "quality_ablation": QUALITY_ABLATION_SQL}
