@@ -21,9 +21,9 @@ hash of their core, so equal windows always meet.
 A core with more than ``MOST_PIECES`` different pieces, such as a common line between
 all sorts of neighbours, is split: windows that reach far enough to its left go by the
 core and half of what is missing to the left, the others by the core and the rest to
-the right. Each split halves what is missing, so after seven at most a piece is one
-window, whose first occurrence is an aggregate. So a task's suffix arrays are bounded
-whatever the input holds, and nothing is left out.
+the right; halves that are alike again stand for one another. Each split halves what
+is missing, so after seven at most a core is a whole window and its pieces are alike.
+So a task's suffix arrays are bounded whatever the input holds, and nothing is left out.
 
 Defined results
     null text: empty; texts shorter than ``LENGTH`` keep everything; null ``doc_id``:
@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from eigenloom.llm.suffixes import suffix_arrays
 from eigenloom.llm.text import body
-from eigenloom.session import join_checked, materialise, planned_partitions, release, text_batches
+from eigenloom.session import join_checked, materialise, planned_partitions, release, shuffles_dropped, text_batches
 
 #: Bytes of a string that may not repeat.
 LENGTH = 100
@@ -300,63 +301,53 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cut = StructType([StructField("key", LongType()), *key, StructField("start", LongType()), StructField("core_from", IntegerType()), StructField("core_to", IntegerType()), StructField("piece", BinaryType())])
     spans = StructType([*key, StructField("start", LongType()), StructField("stop", LongType())])
 
-    pieces = materialise(rows.mapInArrow(_find_pieces, listed), "repeats-pieces")
-    often = pieces.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    shared = materialise(pieces.join(often, "h"), "repeats-shared")
-    release(pieces)
-
-    # alike pieces: all windows of a copy repeat the first one's
-    first = materialise(
-        shared.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(_place()).alias("place"), F.first("n_windows").alias("n_windows"), F.first("core").alias("core")),
-        "repeats-first",
-    )
-    copied = first.filter("n > 1").select("h", "whole", "place")
-    copies = shared.join(copied, ["h", "whole"]).filter(_place() != F.col("place"))
-    copies = materialise(copies.select(*_KEY, "start", (F.col("start") + F.col("n_windows") + (LENGTH - 1)).alias("stop")), "repeats-copies")
-    release(shared)
-
-    # cores of several different pieces
-    several = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = (
-        first.join(several, "h")
-        .select("place.*", F.struct("h", F.col("place.start").alias("start"), "n_windows", "core").alias("piece"))
-        .groupBy(*_KEY)
-        .agg(F.collect_list("piece").alias("pieces"))
-    )
-    wanted = materialise(wanted, "repeats-wanted")
-    texts = join_checked(rows, wanted, _keyed(rows, wanted, _KEY)).select(rows["doc_id"], rows["text_hash"], "text", "pieces")
-    level = materialise(_once(texts.mapInArrow(_cut_pieces, cut)), "repeats-texts")
-    ready, used, parts = [], [first, wanted, level], planned_partitions(level, PIECE_BYTES)
-    while True:
-        counts = materialise(level.groupBy("key").agg(F.count("*").alias("n"), F.min(F.octet_length("piece")).alias("least"), F.max(F.octet_length("piece")).alias("most")).filter("n > 1"), "repeats-counts")
-        used.append(counts)
-        crowded = counts.filter(F.col("n") > MOST_PIECES)
-        ready.append(level.join(counts.filter(F.col("n") <= MOST_PIECES).select("key"), "key"))
-        if crowded.isEmpty():
-            break
-        single = level.filter(F.octet_length("piece") == LENGTH)
-        single = single.join(crowded.filter(F.col("most") == LENGTH).select("key"), "key")
-        earliest = single.groupBy("piece").agg(F.min(_place()).alias("place"))
-        later = single.join(earliest, "piece").filter(_place() != F.col("place"))
-        copies = copies.unionByName(later.select(*_KEY, "start", (F.col("start") + LENGTH).alias("stop")))
-        wide = level.join(crowded.filter(F.col("most") > LENGTH).select("key"), "key").select(*level.columns)
-        level = materialise(wide.mapInArrow(_split_pieces, cut), "repeats-texts")
-        used.append(level)
-    pieces = ready[0]
-    for more in ready[1:]:
-        pieces = pieces.unionByName(more)
-    pieces = pieces.repartition(parts, "key").sortWithinPartitions("key")
-    found = materialise(pieces.mapInArrow(_solve, spans).unionByName(copies), "repeats-spans")
-    for table in used:
-        release(table)
+    with shuffles_dropped(docs.sparkSession):
+        pieces = materialise(rows.mapInArrow(_find_pieces, listed), "repeats-pieces")
+        often = materialise(pieces.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeats-often")
+        shared = materialise(pieces.join(often, "h"), "repeats-shared")
+        release(pieces)
+        release(often)
+
+        # alike pieces: all windows of a copy repeat the first one's
+        first = shared.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(_place()).alias("place"), F.first("n_windows").alias("n_windows"), F.first("core").alias("core"))
+        first = materialise(first, "repeats-first")
+        copied = first.filter("n > 1").select("h", "whole", "place")
+        copies = shared.join(copied, ["h", "whole"]).filter(_place() != F.col("place"))
+        copies = [materialise(copies.select(*_KEY, "start", (F.col("start") + F.col("n_windows") + (LENGTH - 1)).alias("stop")), "repeats-copies")]
+        release(shared)
+
+        # cores of several different pieces
+        several = materialise(first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeats-several")
+        wanted = first.join(several, "h").select("place.*", F.struct("h", F.col("place.start").alias("start"), "n_windows", "core").alias("piece"))
+        wanted = materialise(wanted.groupBy(*_KEY).agg(F.collect_list("piece").alias("pieces")), "repeats-wanted")
+        release(first)
+        release(several)
+        texts = rows.join(wanted, _keyed(rows, wanted, _KEY)).select(rows["doc_id"], rows["text_hash"], "text", "pieces")
+        level = materialise(texts.mapInArrow(_cut_pieces, cut).dropDuplicates(["key", *_KEY, "start"]), "repeats-texts")  # of rows alike once
+        release(wanted)
+        ready, used, parts = [], [level], planned_partitions(level, PIECE_BYTES)
+        while True:
+            counts = materialise(level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeats-counts")
+            used.append(counts)
+            ready.append(level.join(counts.filter(F.col("n") <= MOST_PIECES).select("key"), "key").select(*cut.names))
+            crowded = counts.filter(F.col("n") > MOST_PIECES).select("key")
+            if crowded.isEmpty():
+                break
+            halves = materialise(level.join(crowded, "key").select(*cut.names).mapInArrow(_split_pieces, cut), "repeats-halves")
+            level = halves.groupBy("key", "core_from", "core_to", "piece").agg(F.count("*").alias("n"), F.min(_place()).alias("place"))
+            level = materialise(level.select("key", "place.*", "core_from", "core_to", "piece", "n", "place"), "repeats-texts")
+            copied = level.filter("n > 1").select("key", "piece", "place")
+            later = halves.join(copied, ["key", "piece"]).filter(_place() != F.col("place"))
+            copies.append(materialise(later.select(*_KEY, "start", (F.col("start") + F.octet_length("piece")).alias("stop")), "repeats-copies"))
+            release(halves)
+            used.append(level)
+        pieces = reduce(DataFrame.unionByName, ready).repartition(parts, "key").sortWithinPartitions("key")
+        found = materialise(reduce(DataFrame.unionByName, copies, pieces.mapInArrow(_solve, spans)), "repeats-spans")
+        for table in used + copies:
+            release(table)
     return found
 
 
-def _once(pieces: DataFrame) -> DataFrame:
-    """Pieces of rows that are alike in id and text only once."""
-    return pieces.dropDuplicates(["key", *_KEY, "start"])
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = body(text_col)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -393,17 +384,17 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     windows = repeated_windows(docs, id_col=id_col, text_col=text_col)
     rows = _rows(docs, id_col, text_col)
-    spans = windows.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "stop")).alias("windows"))
-    spans = materialise(spans, "repeats-by-text")
+    with shuffles_dropped(docs.sparkSession):
+        spans = materialise(windows.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "stop")).alias("windows")), "repeats-by-text")
+        alike = materialise(rows.groupBy(*_KEY).agg(F.count("*").alias("n")).filter("n > 1"), "repeats-alike")
     release(windows)
-    alike = materialise(rows.groupBy(*_KEY).agg(F.count("*").alias("n")).filter("n > 1"), "repeats-alike")
     if alike.isEmpty():
         counted = rows.withColumn("n", F.lit(1).cast("long"))
     else:
         rest = join_checked(rows, alike.drop("n"), _keyed(rows, alike, _KEY), "left_anti").withColumn("n", F.lit(1).cast("long"))
         twins = join_checked(rows, alike.drop("n"), _keyed(rows, alike, _KEY), "left_semi")
         counted = rest.unionByName(twins.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count("*").alias("n")))
-    joined = join_checked(counted, spans, _keyed(counted, spans, _KEY), "left")
+    joined = counted.join(spans, _keyed(counted, spans, _KEY), "left")
     joined = joined.select(counted["doc_id"], counted["text_hash"], counted["n"], counted["text"], spans["windows"])
     schema = StructType([*(StructField(c, rows.schema[c].dataType) for c in _KEY), StructField("n", LongType()), StructField("n_bytes", LongType())])
     ddl = f"{schema.simpleString()[7:-1]},spans:array<struct<start:bigint,stop:bigint>>,kept:binary"
