@@ -10,9 +10,11 @@ if at least ``SHARE`` of the item's tokens are equal, or if a stretch scores
 a longer item).
 
 With these masks an item of 15 or more tokens and one substitution in five is
-found with near certainty, wherever the substitutions are. An item that is shorter
-than a mask is looked up by the hash of all its tokens, so only exact copies of it
-are found.
+found with near certainty, wherever the substitutions are. Items of five and six
+tokens, in which one may be substituted, have masks of their own that leave out each
+place in turn, so none is missed; of shorter ones only exact copies are leaks, and
+the hash of all their tokens finds them. Of 10, 11 and 12 tokens with two substituted
+a 15th, 28th and 66th of the choices of places escapes.
 
 The windows of the benchmark are counted before they are broadcast: up to
 ``WINDOW_ROWS`` windows the texts' windows are hashed and looked up where they are
@@ -43,6 +45,8 @@ MASKS = ("110101", "101011")
 SPAN = 6
 SHARE = 0.8
 RUN, MISS = 20, 4
+#: Masks of items of so many tokens alone: for four and less all tokens.
+SHORT_MASKS = {n: ("1" * n,) for n in range(1, 5)} | {5: ("01111", "10111", "11011", "11101", "11110"), 6: ("011111", "111110")}
 #: Benchmark windows up to which they are broadcast.
 WINDOW_ROWS = 2_000_000
 
@@ -55,19 +59,19 @@ def _hashes(of: Column, at: Column) -> Column:
 def _windows(df: DataFrame, *keep: str, short: list[int], whole: bool = False) -> DataFrame:
     """A row (keep..., at, hash) for every window and mask of a table with a column ``tokens``.
 
-    ``short`` are the lengths of items shorter than a mask. Texts have all windows of
-    these lengths, items (``whole``) only that of all their tokens. The explodes are
+    ``short`` are lengths of items that have masks of their own. Texts have all windows
+    of these lengths, items (``whole``) only that of all their tokens. The explodes are
     outer ones, for which no filter is inferred that would split the texts a second
     time; a text without windows gives places that are null and equal nothing.
     """
-    size = F.size("tokens")
-    starts = F.explode_outer(F.when(size >= (1 if short else SPAN), F.sequence(F.lit(0), size - (1 if short else SPAN))))
+    size, least = F.size("tokens"), min([SPAN, *short])
+    starts = F.explode_outer(F.when(size >= least, F.sequence(F.lit(0), size - least)))
     placed = df.select(*dict.fromkeys([*keep, "tokens"]), starts.alias("at"))
     hashes = F.when(F.size("tokens") - F.col("at") >= SPAN, _hashes(F.col("tokens"), F.col("at")))
     for n in short:
         fits = (F.col("at") == 0) & (F.size("tokens") == n) if whole else F.size("tokens") - F.col("at") >= n
-        own = F.xxhash64(F.lit(-n), *[F.get(F.col("tokens"), F.col("at") + k) for k in range(n)])
-        hashes = F.concat(F.coalesce(hashes, F.array().cast("array<long>")), F.when(fits, F.array(own)).otherwise(F.array().cast("array<long>")))
+        own = [F.xxhash64(F.lit(-8 * n - m), *[F.get(F.col("tokens"), F.col("at") + k) for k, use in enumerate(mask) if use == "1"]) for m, mask in enumerate(SHORT_MASKS[n])]
+        hashes = F.concat(F.coalesce(hashes, F.array().cast("array<long>")), F.when(fits, F.array(*own)).otherwise(F.array().cast("array<long>")))
     return placed.select(*keep, "at", F.explode_outer(hashes).alias("hash"))
 
 
@@ -86,16 +90,20 @@ def _verified(candidates: DataFrame) -> DataFrame:
     return scored.filter((F.col("n_equal") >= F.lit(SHARE) * F.size("item_tokens")) | (F.col("run") >= RUN))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Verified overlaps, one row a (doc_id, text_hash, item_id): with ``n_equal``, ``n_item``, ``run`` and the token the item starts at."""
-    items = benchmark.select("item_id", tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS, least_tokens: int = 1) -> DataFrame:
+    """Verified overlaps, one row a (doc_id, text_hash, item_id): with ``n_equal``, ``n_item``, ``run`` and the token the item starts at.
+
+    Items of fewer than ``least_tokens`` tokens are left out (``skipped_items`` counts
+    them): one of a single common word is in most texts.
+    """
+    items = benchmark.select("item_id", tokens("text").alias("tokens")).filter(F.size("tokens") >= max(1, least_tokens))
     items = materialise(items.select("item_id", F.xxhash64(F.array_join("tokens", " ")).alias("item_hash"), "tokens"), "leak-items")
-    short = sorted(r[0] for r in items.filter(F.size("tokens") < SPAN).select(F.size("tokens")).distinct().collect())  # less than SPAN
+    short = sorted(r[0] for r in items.filter(F.size("tokens") <= max(SHORT_MASKS)).select(F.size("tokens")).distinct().collect())  # six at most
     windows = _windows(items, "item_id", "item_hash", short=short, whole=True).filter("hash IS NOT NULL").withColumnRenamed("at", "item_at")
     windows = materialise(windows, "leak-windows")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"), body(text_col).alias("text"))
     read = rows.select("doc_id", "text_hash", tokens("text").alias("tokens"))
-    # Every item has a window and at most five tokens more than windows, so the count bounds the items too.
+    # Every item has a window and few tokens more than windows, so the count bounds the items too.
     few = windows.count() <= window_rows
     small = F.broadcast if few else (lambda df: df)
     hits = _windows(read, "doc_id", "text_hash", short=short).join(small(windows), "hash")
@@ -116,9 +124,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS) -> DataFrame:
+def skipped_items(benchmark: DataFrame, least_tokens: int) -> DataFrame:
+    """(n_tokens, n_items) of the benchmark's items that ``least_tokens`` leaves out."""
+    n = F.size(tokens("text")).alias("n_tokens")
+    return benchmark.select(n).filter(F.col("n_tokens") < max(1, least_tokens)).groupBy("n_tokens").agg(F.count("*").alias("n_items"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS, least_tokens: int = 1) -> DataFrame:
     """(doc_id, contaminated, n_items, item_id, share) of every document: its leaked items and the best covered one."""
-    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, window_rows=window_rows)
+    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, window_rows=window_rows, least_tokens=least_tokens)
     share = F.col("n_equal") / F.col("n_item")
     best = F.min(F.struct((-share).alias("less"), F.col("item_id").alias("item_id")))
     verdicts = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), best.alias("best"))
@@ -129,9 +143,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     return joined.select("doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0).cast("long")).alias("n_items"), "item_id", "share")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window_rows: int = WINDOW_ROWS, least_tokens: int = 1) -> DataFrame:
     """``docs`` without those that hold a benchmark item; texts are shuffled only if more go than may be broadcast."""
-    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, window_rows=window_rows)
+    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, window_rows=window_rows, least_tokens=least_tokens)
     found, bad = bad, materialise(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "leak-documents")
     release(found)
     own = free_name(docs, "own_hash")

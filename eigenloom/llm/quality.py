@@ -130,9 +130,11 @@ def write_ledger(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     entries.withColumn("rule_set", F.lit(RULE_SET)).write.mode("append").partitionBy("rule_set").parquet(path)
 
 
-def read_ledger(spark, path: str) -> DataFrame:
-    """The entries of a stored ledger that were made with this rule set."""
-    return spark.read.parquet(path).filter(F.col("rule_set") == RULE_SET).drop("rule_set")
+def read_ledger(spark, path: str, *, id_type: str = "long") -> DataFrame:
+    """The entries of a stored ledger that were made with this rule set; one that has only been given empty tables has none."""
+    numbers = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failures"))
+    entries = spark.read.schema(f"doc_id {id_type}, {numbers}, rule_set string").parquet(path)
+    return entries.filter(F.col("rule_set") == RULE_SET).drop("rule_set")
 
 
 def apply_policy(entries: DataFrame, policy: str = POLICY) -> DataFrame:

@@ -243,21 +243,23 @@ FROM entries CROSS JOIN (VALUES {_RULES_SQL}) AS rules(rule, bit) GROUP BY rule
 """
 
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_MASKS_SQL = ", ".join(f"({n}, {8 * n + m}, {[k for k, use in enumerate(mask) if use == '1']})" for n, masks in decontam.SHORT_MASKS.items() for m, mask in enumerate(masks))
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
 b AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
-short AS (SELECT DISTINCT len(t) AS n FROM b WHERE len(t) BETWEEN 1 AND 5),
+masks(n, m, p) AS (VALUES {_MASKS_SQL}),
+short AS (SELECT * FROM masks WHERE n IN (SELECT len(t) FROM b)),
 dp AS (SELECT doc_id, t, unnest(range(1, len(t) - 4)) AS i FROM d WHERE len(t) >= 6),
 bp AS (SELECT item_id, t, unnest(range(1, len(t) - 4)) AS i FROM b WHERE len(t) >= 6),
-ds AS (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d JOIN short ON len(t) >= n),
+ds AS (SELECT doc_id, t, m, p, unnest(range(1, len(t) - n + 2)) AS i FROM d JOIN short ON len(t) >= n),
 dw AS (
   SELECT doc_id, i, 0 AS m, t[i] || ' ' || t[i + 1] || ' ' || t[i + 3] || ' ' || t[i + 5] AS h FROM dp
   UNION ALL SELECT doc_id, i, 1, t[i] || ' ' || t[i + 2] || ' ' || t[i + 4] || ' ' || t[i + 5] FROM dp
-  UNION ALL SELECT doc_id, i, 1 + n, array_to_string(t[i : i + n - 1], ' ') FROM ds),
+  UNION ALL SELECT doc_id, i, m, array_to_string(list_transform(p, lambda o: t[i + o]), ' ') FROM ds),
 bw AS (
   SELECT item_id, i, 0 AS m, t[i] || ' ' || t[i + 1] || ' ' || t[i + 3] || ' ' || t[i + 5] AS h FROM bp
   UNION ALL SELECT item_id, i, 1, t[i] || ' ' || t[i + 2] || ' ' || t[i + 4] || ' ' || t[i + 5] FROM bp
-  UNION ALL SELECT item_id, 1, 1 + len(t), array_to_string(t, ' ') FROM b WHERE len(t) BETWEEN 1 AND 5),
+  UNION ALL SELECT item_id, 1, m, array_to_string(list_transform(p, lambda o: t[1 + o]), ' ') FROM b JOIN masks ON len(t) = n),
 aligned AS (SELECT DISTINCT dw.doc_id, bw.item_id, dw.i - bw.i AS shift FROM dw JOIN bw ON dw.m = bw.m AND dw.h = bw.h),
 cells AS (
   SELECT a.doc_id, a.item_id, a.shift, len(b.t) AS n_item, k,

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -297,3 +298,41 @@ def test_whole_link_farms_are_blocked(spark):
         frame = spark.createDataFrame(pages + farm + mixed, "page_id long, url string, html string")
         got = {r.page_id: r.verdict for r in urls.filter_urls(frame).collect()}
         assert got == {0: "block", 1: "allow", 2: "allow"} | {p[0]: "block" for p in farm} | {p[0]: "allow" for p in mixed}
+
+
+def test_short_items_with_a_substitution(spark):
+    """Items of 5 and 6 tokens are found whichever token is substituted; longer ones at the recall that the docstring states."""
+    escaped = {}
+    for n in (4, 5, 6, 7, 9, 10, 11, 12):
+        item = [f"w{n}x{k}" for k in range(n)]
+        allowed = n - -(-8 * n // 10)
+        docs, k = [], 0
+        for places in combinations(range(n), allowed):
+            docs.append((k, " ".join(["before", "it", *("other" if at in places else w for at, w in enumerate(item)), "and", "after", "it"])))
+            k += 1
+        one_more = " ".join("other" if at <= allowed else w for at, w in enumerate(item))
+        docs.append((-1, one_more))
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        found = {r.doc_id for r in decontam.leaks(frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+        assert -1 not in found
+        escaped[n] = (k - len(found), k)
+    assert escaped == {4: (0, 1), 5: (0, 5), 6: (0, 6), 7: (0, 7), 9: (0, 9), 10: (3, 45), 11: (2, 55), 12: (1, 66)}
+
+
+def test_least_length_of_items(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "no way out"), (3, None), (4, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "yes indeed"), (2, "there is no way out"), (3, "one two three four five six")], "doc_id long, text string")
+    assert {r.doc_id for r in decontam.leaks(docs, bench).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench, least_tokens=3).collect()} == {1}
+    assert {(r.n_tokens, r.n_items) for r in decontam.skipped_items(bench, 3).collect()} == {(1, 1), (0, 1)}
+
+
+def test_ledger_of_an_empty_table(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    quality.write_ledger(no_documents(spark), path)
+    entries = quality.read_ledger(spark, path)
+    assert entries.collect() == [] and entries.columns == quality.ledger(no_documents(spark)).columns
+    assert quality.apply_policy(entries).collect() == []
+    assert quality.ablation(entries).collect() == []
+    quality.write_ledger(odd_documents(spark), path)
+    assert quality.read_ledger(spark, path).count() == odd_documents(spark).count()
