@@ -11,8 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eigenloom.functions import vectors as V
+from eigenloom.operators.sgd import KINDS, fit_sgd, probe_scores
 
-PROBES = ("logistic", "lr_ovr")
+#: Probes by name. Each is fitted as ``fit(train, vector, label)``, which gives a function
+#: that adds ``predicted`` to a table, and the class names.
+PROBES = {
+    "logistic": lambda train, vector, label: _fit_regression(train, vector, label, "logistic"),
+    "lr_ovr": lambda train, vector, label: _fit_regression(train, vector, label, "lr_ovr"),
+    "sgd": lambda train, vector, label: fit_sgd(train, vector, label, "sgd"),
+    "sgd_safe": lambda train, vector, label: fit_sgd(train, vector, label, "sgd_safe"),
+}
+
+
+def register_probe(name: str, fit) -> None:
+    """Make a classifier known by a name of its own."""
+    if name in PROBES:
+        raise ValueError(f"probe {name!r} is known already")
+    PROBES[name] = fit
 
 
 @dataclass(frozen=True)
@@ -47,14 +62,22 @@ def class_table(df: DataFrame, label: str) -> tuple[list[str], DataFrame]:
     return names, df.sparkSession.createDataFrame(rows, "class string, class_no double, class_weight double")
 
 
-def fit_probe(train: DataFrame, vector: str, label: str, probe: str = "logistic", max_iter: int = 100):
+def fit_probe(train: DataFrame, vector: str, label: str, probe="logistic"):
     """A function from a table to itself with ``predicted`` (class name), and the class names.
 
     ``logistic``: L2 with unit strength over balanced rows, intercept free. ``lr_ovr``:
-    one against the rest with weak regularisation, in place of stochastic probes.
+    one against the rest with weak regularisation. ``sgd`` and ``sgd_safe``: averaged
+    stochastic gradients (``operators/sgd.py``). A function in place of a name is a
+    probe of the caller's own, fitted as those of ``PROBES``.
     """
+    if callable(probe):
+        return probe(train, vector, label)
     if probe not in PROBES:
-        raise ValueError(f"probe {probe!r}; one of {PROBES}")
+        raise ValueError(f"probe {probe!r}; one of {sorted(PROBES)}")
+    return PROBES[probe](train, vector, label)
+
+
+def _fit_regression(train: DataFrame, vector: str, label: str, probe: str, max_iter: int = 100):
     names, classes = class_table(train, label)
     if len(names) < 2:
         raise ValueError("two classes are needed")
@@ -93,14 +116,22 @@ def evaluate_probe(train: DataFrame, test: DataFrame, vector: str, label: str, p
     return {"balanced_accuracy": row.balanced_accuracy, "accuracy": row.accuracy, "chance": 1 / len(names)}
 
 
-def probe_cv(df: DataFrame, vector: str, label: str, probe: str = "logistic") -> dict:
+def probe_cv(df: DataFrame, vector: str, label: str, probe="logistic") -> dict:
     """Mean and population deviation of the balanced accuracy over the folds of a table with ``fold``."""
     folds = sorted(r[0] for r in df.select("fold").distinct().collect())
-    scores = [evaluate_probe(df.filter(F.col("fold") != f), df.filter(F.col("fold") == f), vector, label, probe) for f in folds]
+    if probe in KINDS:  # all folds in the same passes
+        names, _ = class_table(df.filter(F.col(label).isNotNull()), label)
+        scores = list(probe_scores(df.withColumn("split", F.lit(None).cast("string")), names, label, vector, [], folds, kind=probe).values())
+    else:
+        scores = _scores_by_fold(df, folds, vector, label, probe)
     values = np.array([s["balanced_accuracy"] for s in scores])
     return {"mean": float(values.mean()), "std": float(values.std()), "chance": scores[0]["chance"], "n_folds": len(folds)}
 
 
+def _scores_by_fold(df: DataFrame, folds: list[int], vector: str, label: str, probe) -> list[dict]:
+    return [evaluate_probe(df.filter(F.col("fold") != f), df.filter(F.col("fold") == f), vector, label, probe) for f in folds]
+
+
 def confusion(predictions: DataFrame, label: str, predicted: str = "predicted") -> DataFrame:
     """(true, predicted, n) of all pairs that occur."""
     return predictions.groupBy(F.col(label).cast("string").alias("true"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))

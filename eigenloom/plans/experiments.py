@@ -13,6 +13,7 @@ from eigenloom.operators.probe import evaluate_probe, fit_probe
 from eigenloom.operators.splits import test_rows, train_rows, with_folds
 from eigenloom.operators.summary import displacement_summary
 from eigenloom.operators.metrics import feature_change
+from eigenloom.plans.concepts import run_concept_grid
 from eigenloom.plans.grid import run_grid
 from eigenloom.roles import Roles
 from eigenloom.session import few_values
@@ -105,7 +106,9 @@ def leave_one_domain_out(features: DataFrame, roles: Roles, fit, *, n_splits: in
 
 
 def _grid(name):
-    def run(features: DataFrame, roles: Roles, config: dict) -> DataFrame:
+    def run(features: DataFrame, roles: Roles, config: dict) -> DataFrame | dict[str, DataFrame]:
+        if "scanner" in config or "stain" in config:
+            return run_concept_grid(features, roles, **config)
         known = {"stages", "delta_options", "label", "n_splits", "folds", "probe", "concepts", "evaluate_intermediate", "fit_without"}
         if unknown := set(config) - known:
             raise ValueError(f"{name}: unknown keys {sorted(unknown)}")
@@ -127,8 +130,12 @@ EXPERIMENTS = {
 }
 
 
-def run_experiment(kind: str, features: DataFrame, roles: Roles, config: dict, *, run_only_one_fold: bool = False, dry_run: bool = False) -> DataFrame | None:
-    """Run a registered experiment on a feature table; a dry run only checks its name and configuration."""
+def run_experiment(kind: str, features: DataFrame, roles: Roles, config: dict, *, run_only_one_fold: bool = False, dry_run: bool = False) -> DataFrame | dict[str, DataFrame] | None:
+    """Run a registered experiment on a feature table; a dry run only checks its name and configuration.
+
+    A grid whose configuration names ``scanner`` or ``stain`` sources goes over both
+    concepts and gives its four tables by name.
+    """
     if kind not in EXPERIMENTS:
         raise ValueError(f"experiment {kind!r}; one of {sorted(EXPERIMENTS)}")
     if dry_run:

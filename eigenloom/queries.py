@@ -23,10 +23,11 @@ from eigenloom.operators import images as I
 from eigenloom.operators import metrics as M
 from eigenloom.operators import moments as Mo
 from eigenloom.operators import probe as P
+from eigenloom.operators import sgd
 from eigenloom.operators import splits as K
 from eigenloom.operators import stain as S
 from eigenloom.operators import summary as A
-from eigenloom.plans import experiments, grid
+from eigenloom.plans import concepts, experiments, grid
 from eigenloom.roles import Roles, column_or_default, require_columns
 from eigenloom.session import delete_at_exit, new_table_path
 from eigenloom.sources import tables as T
@@ -1055,6 +1056,141 @@ def tissue_fractions(f, spark, sf_dir):
     return made.select("vec_id", F.get("result", F.lit(0)).alias("tissue"))
 
 
+# Grids over two concepts. Four axes differ by domain, four others by target, the rest by
+# group only, so each concept's deltas span their axes and no more, and SQL can say what
+# taking their directions away leaves.
+
+CONCEPT_DIM = 12
+CONCEPT = f"""
+WITH folds AS (SELECT grp, ((row_number() OVER (ORDER BY grp::VARCHAR DESC) - 1) % 5)::BIGINT AS fold FROM (SELECT DISTINCT vec_id // 25 AS grp FROM embeddings)),
+e AS (
+  SELECT vec_id, (vec_id % 5)::VARCHAR AS domain, vec_id // 25 AS grp, i,
+         CASE WHEN i < 4 THEN embedding[i + 1]::DOUBLE + (CASE WHEN i = vec_id % 5 THEN 0.5 ELSE 0 END)::DOUBLE
+              ELSE ((vec_id // 25 * (2 * i + 3)) % 11)::DOUBLE / 10 END AS v
+  FROM (SELECT *, unnest(range(0, {CONCEPT_DIM})) AS i FROM embeddings)),
+x AS (SELECT e.*, fold FROM e JOIN folds USING (grp)),
+each AS (SELECT DISTINCT fold FROM folds),
+train AS (SELECT each.fold, i, avg(v) AS m, var_samp(v) AS var, var_pop(v) AS pop FROM each JOIN x ON x.fold <> each.fold GROUP BY each.fold, i),
+gm AS (SELECT fold, grp, domain, i, avg(v) AS v FROM x GROUP BY fold, grp, domain, i),
+g2m AS (SELECT fold, grp || '|' || domain AS k, i, v - avg(v) OVER (PARTITION BY grp, i) AS v FROM gm),
+d AS (
+  SELECT 'scanner.mean' AS source, fold, k, i, v FROM g2m
+  UNION ALL SELECT 'stain.target', fold, vec_id || '|' || t, i, CASE WHEN i = 4 + t THEN 0.137::DOUBLE * (t + 1) * (1 + vec_id % 3) ELSE 0 END
+  FROM x, (SELECT unnest(range(0, 4)) AS t)),
+paths(path, affine, taken) AS (VALUES ('0/0', true, 4), ('0/1', true, 7), ('0/2', true, 6), ('1/0', false, 4), ('1/1', false, 7), ('1/2', false, 6)),
+prefixes(path, affine, taken) AS (SELECT * FROM paths UNION ALL VALUES ('0', true, 12), ('1', false, 12))
+"""
+
+
+def concept_features(spark, sf_dir):
+    """Vectors of twelve: four of the row, shifted by domain, and eight of the group."""
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    own = F.transform(F.slice(V.vec("embedding"), 1, 4), lambda v, i: v + F.when(i == F.col("vec_id") % 5, 0.5).otherwise(0.0))
+    group = F.floor(F.col("vec_id") / 25)
+    rest = F.transform(F.sequence(F.lit(4), F.lit(CONCEPT_DIM - 1)), lambda i: (group * (2 * i + 3)) % 11 / 10.0)
+    return t.select("vec_id", F.col("label").cast("long").alias("label"), (F.col("vec_id") % 5).cast("string").alias("domain"), group.alias("grp"), F.floor(F.col("vec_id") / 5).alias("pair"), F.concat(own, rest).alias("x"))
+
+
+def concept_stain(f):
+    keys = S.stain_keys(f.select("vec_id", "grp", "domain", "pair", "x"), TARGETS, key="vec_id", slide="grp", domain="domain")
+    shift = lambda i: F.lit(0.137) * (F.col("target_index") + 1) * (1 + F.col("source_row_index") % 3)
+    return keys.withColumn("z", F.transform("source_x", lambda v, i: v + F.when(i == F.col("target_index") + 4, shift(i)).otherwise(0.0))).drop("source_x")
+
+
+def _concept_grid(spark, sf_dir, stages=None, **options):
+    f = concept_features(spark, sf_dir)
+    stages = stages or [{"method": "pca", "ranks": [None], "affine": [True, False], "sources": {"scanner.mean": 1.0}}, {"method": "pca", "ranks": [None, 1, 2], "sources": {"stain.target": 1.0}}]
+    grids = {"scanner": {"mean": {"mode": "group_to_mean"}}, "stain": concept_stain(f), "stain_options": {"target": {"mode": "original_to_target"}}, "probe": None}
+    return concepts.run_concept_grid(f, ROLES, stages, **grids | options)
+
+
+# of a test row: what stage one takes (its bias is the training mean, or nothing), then stage two
+_TAKEN = "sum(CASE WHEN x.i < 4 THEN (v - CASE WHEN affine THEN m ELSE 0 END) ^ 2 WHEN x.i >= taken AND x.i < 8 THEN (v - m) ^ 2 ELSE 0 END)"
+
+
+@query(CONCEPT + f"""
+, rows AS (SELECT x.fold, path, vec_id, sqrt({_TAKEN}) AS change, sqrt(sum(v * v)) AS norm FROM x JOIN train USING (fold, i) CROSS JOIN paths GROUP BY x.fold, path, vec_id),
+traces AS (SELECT fold, path, sum(var) AS reference_trace, sum(CASE WHEN i < 4 OR i >= taken AND i < 8 THEN 0 ELSE var END) AS projected_trace FROM train CROSS JOIN paths GROUP BY fold, path)
+SELECT fold, path, '4,' || CASE right(path, 1) WHEN '0' THEN 4 ELSE right(path, 1)::INTEGER END AS ranks, (SELECT count(*) FROM embeddings) - count(*) AS n_train, count(*)::BIGINT AS n_test,
+       round(avg(change), 6) AS mean_l2_change, round(avg(change * change), 6) AS mean_squared_change, round(avg(norm), 6) AS mean_raw_norm, round(avg(change / (norm + 1e-12)), 6) AS mean_relative_change,
+       round(any_value(reference_trace), 6) AS reference_trace, round(any_value(projected_trace), 6) AS projected_trace
+FROM rows JOIN traces USING (fold, path) GROUP BY fold, path
+""")
+def concept_chains(f, spark, sf_dir):
+    chains = _concept_grid(spark, sf_dir)["chains"]
+    ranks = F.array_join(F.transform("stage_ranks", lambda r: r.cast("string")), ",").alias("ranks")
+    return chains.select("fold", "path", ranks, "n_train", "n_test", "mean_l2_change", "mean_squared_change", "mean_raw_norm", "mean_relative_change", "reference_trace", "projected_trace")
+
+
+@query(CONCEPT + """
+, norms AS (SELECT source, fold, path, k, sum(v * v) AS a, sum(CASE WHEN i < 4 OR i >= taken AND i < 8 THEN 0 ELSE v * v END) AS b FROM d CROSS JOIN paths GROUP BY source, fold, path, k),
+traces AS (SELECT fold, sum(var) AS t FROM train GROUP BY fold)
+SELECT fold, path, source, split_part(source, '.', 1) AS kind, count(*)::BIGINT AS n_delta, round(avg(sqrt(a)), 6) AS mean_raw_norm, round(avg(sqrt(b)), 6) AS mean_projected_norm,
+       round(avg(b) / avg(a), 6) + 0.0 AS residual_ratio, round(1 - avg(b) / avg(a), 6) AS removed_fraction, round(avg(a) / any_value(t), 6) AS raw_over_trace, round(avg(b) / any_value(t), 6) + 0.0 AS projected_over_trace
+FROM norms JOIN traces USING (fold) GROUP BY fold, path, source
+""")
+def concept_deltas(f, spark, sf_dir):
+    return _concept_grid(spark, sf_dir, diagnostics=False)["deltas"].drop("mean_norm_ratio")
+
+
+@query(CONCEPT + f"""
+, rows AS (SELECT x.fold, path, vec_id, sqrt({_TAKEN}) AS change FROM x JOIN train USING (fold, i) CROSS JOIN prefixes GROUP BY x.fold, path, vec_id),
+test AS (SELECT fold, i, var_samp(v) AS var FROM x GROUP BY fold, i),
+traces AS (
+  SELECT fold, path, sum(CASE WHEN i < 4 OR i >= taken AND i < 8 THEN 0 ELSE train.var END) AS a, sum(test.var) AS b, sum(CASE WHEN i < 4 OR i >= taken AND i < 8 THEN 0 ELSE test.var END) AS c
+  FROM train JOIN test USING (fold, i) CROSS JOIN prefixes GROUP BY fold, path)
+SELECT fold, path, (len(path) // 2)::BIGINT AS stage_index, count(*)::BIGINT AS n_test, round(avg(change), 6) AS mean_l2_change,
+       round(any_value(a), 6) AS projected_trace, round(any_value(b), 6) AS test_trace, round(any_value(c), 6) AS projected_test_trace
+FROM rows JOIN traces USING (fold, path) GROUP BY fold, path
+""")
+def concept_stages(f, spark, sf_dir):
+    stages = _concept_grid(spark, sf_dir, evaluate_intermediate=True, diagnostics=False)["stages"]
+    return stages.select("fold", "path", "stage_index", "n_test", "mean_l2_change", "projected_trace", "test_trace", "projected_test_trace")
+
+
+@query(CONCEPT + """
+, energy AS (SELECT each.fold, source, sum(v * v) / count(DISTINCT k) AS q FROM each JOIN d ON d.fold <> each.fold GROUP BY each.fold, source),
+left_energy AS (SELECT each.fold, path, sum(CASE WHEN i >= taken AND i < 8 THEN 0 ELSE v * v END) / count(DISTINCT k) AS q
+  FROM each JOIN d ON d.fold <> each.fold AND source = 'stain.target' CROSS JOIN paths GROUP BY each.fold, path),
+pops AS (SELECT fold, sum(pop) AS a, sum(CASE WHEN i < 4 THEN 0 ELSE pop END) AS b FROM train GROUP BY fold),
+stage AS (
+  SELECT fold, path, 0 AS stage_index, 'scanner.mean' AS source, q, a, 0.0::DOUBLE AS after FROM pops JOIN energy USING (fold) CROSS JOIN (VALUES ('0'), ('1')) AS p(path) WHERE source = 'scanner.mean'
+  UNION ALL SELECT fold, path, 1, 'stain.target', energy.q, b, left_energy.q FROM pops JOIN energy USING (fold) JOIN left_energy USING (fold) WHERE source = 'stain.target')
+SELECT fold, path, stage_index::BIGINT AS stage_index, kind, CASE WHEN kind LIKE 'source%' THEN source END AS source,
+       round(CASE kind WHEN 'A' THEN a WHEN 'B_after' THEN after ELSE q END, 6) + 0.0 AS trace
+FROM stage CROSS JOIN (VALUES ('A'), ('B'), ('source_raw'), ('source_normalised'), ('B_after')) AS kinds(kind)
+""")
+def concept_moments(f, spark, sf_dir):
+    moments = _concept_grid(spark, sf_dir)["moments"].filter("kind IN ('A', 'B', 'source_raw', 'source_normalised', 'B_after')")
+    return moments.select("fold", "path", "stage_index", "kind", "source", "trace")
+
+
+@query()
+def concept_probes(f, spark, sf_dir):
+    """Scores of both concepts along soft and LEACE chains, capped stain examples."""
+    stages = [{"method": "soft", "lambdas": [1.0, 100.0], "sources": {"scanner.mean": 1.0, "stain.target": 0.5}}, {"method": "leace", "concept": "domain", "tols": [0.01]}]
+    made = _concept_grid(spark, sf_dir, stages=stages, concepts=["domain"], probe="sgd", evaluate_intermediate=True, max_probe_examples=1000)
+    return made["stages"].select("fold", "path", "raw_scanner_score", "projected_scanner_score", "scanner_chance", "raw_stain_score", "projected_stain_score", "stain_chance", "n_stain_train", "n_stain_test")
+
+
+@query("""
+WITH folds AS (SELECT grp, ((row_number() OVER (ORDER BY grp::VARCHAR DESC) - 1) % 5)::BIGINT AS fold FROM (SELECT DISTINCT vec_id // 25 AS grp FROM embeddings))
+SELECT fold, (SELECT count(*) FROM embeddings) - count(*) AS n_train, count(*)::BIGINT AS n_test, 1.0::DOUBLE AS balanced_accuracy, 1.0::DOUBLE AS accuracy, 0.2::DOUBLE AS chance
+FROM embeddings JOIN folds ON grp = vec_id // 25 GROUP BY fold
+""")
+def sgd_separable(f, spark, sf_dir):
+    """Probes of domains that are four units apart, all folds in the same passes: no row is told wrong."""
+    far = f.withColumn("x", F.transform("x", lambda v, i: v + F.when(i == F.col("vec_id") % 5, 4.0).otherwise(0.0)))
+    rows = K.with_folds(far, "grp", 5)
+    scores = sgd.probe_scores(rows.withColumn("split", F.lit(None).cast("string")), [str(k) for k in range(5)], "domain", "x", ["vec_id"], list(range(5)))
+    return rows_frame(spark, [{"fold": fold} | row for (fold, _), row in scores.items()])
+
+
+@query()
+def sgd_probe(f, spark, sf_dir):
+    return rows_frame(spark, [P.probe_cv(K.with_folds(f, "grp", 3), "x", "domain", "sgd_safe")])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
