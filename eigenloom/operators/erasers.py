@@ -213,46 +213,56 @@ def fantope(matrix: np.ndarray, rank: int) -> np.ndarray:
     return (vectors * capped_simplex(values, rank)) @ vectors.T
 
 
-def rlace_eraser(df: DataFrame, vector: str, label: str, *, rank: int = 1, key: str, max_rows: int = 20_000, rounds: int = 400, step: float = 0.05, seed: int = 0, affine: bool = True) -> LinearMap:
-    """Adversarial erasure on a bounded, deterministic sample of ``max_rows`` rows.
+def minimax_sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray, removal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over rows of a softmax predictor's gradients: by its weights, and by the projection that it sees the rows through."""
+    z = x - x @ removal
+    logits = z @ weights
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    gap = e / e.sum(1, keepdims=True) - np.eye(weights.shape[1])[y]
+    return z.T @ gap, x.T @ (gap @ weights.T)
+
+
+def rlace_eraser(df: DataFrame, vector: str, label: str, *, rank: int = 1, rounds: int = 400, step: float = 0.05, seed: int = 0, affine: bool = True, keep_every: int = 50) -> LinearMap:
+    """Adversarial erasure over all rows with a vector and a label.
 
     A softmax predictor descends its loss on projected vectors while the removal
-    ascends it, put back into the Fantope after each step; the hard projection
-    whose freshly fitted predictor is nearest to the majority's accuracy is kept.
+    ascends it, put back into the Fantope after each step. A round is one pass: tasks
+    sum both gradients, the driver gets one d x (classes + d) state of each merger.
+    Every ``keep_every`` rounds the removal's leading directions are a candidate. All
+    candidates are probed together (``operators/sgd.py``); that whose probe is nearest
+    to chance is the map, the earliest of equals.
     """
-    from eigenloom.operators.splits import sample_rows
-
-    rows = sample_rows(df.select(key, V.vec(vector).alias("x"), F.col(label).cast("string").alias("y")), max_rows, [key], seed).toPandas()
-    x, names = np.stack(rows["x"].to_numpy()), sorted(rows["y"].unique())
-    y = np.searchsorted(names, rows["y"].to_numpy())
-    bias = x.mean(0) if affine else np.zeros(x.shape[1])
-    scale = x.std() or 1.0
-    x, hot = (x - bias) / scale, np.eye(len(names))[y]
-    majority = np.bincount(y).max() / len(y)
-    rng = np.random.default_rng(seed)
-    d, best = x.shape[1], (np.inf, None)
-    removal, weights = fantope(rng.standard_normal((d, d)) * 0.01, rank), np.zeros((d, len(names)))
-
-    def gap(z: np.ndarray, w: np.ndarray) -> np.ndarray:
-        logits = z @ w
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        return (e / e.sum(1, keepdims=True) - hot) / len(z)
-
-    for k in range(rounds):
-        z = x - x @ removal
-        weights -= 20 * step * z.T @ gap(z, weights)
-        g = gap(z, weights) @ weights.T
-        removal = fantope(removal - 20 * step * symmetric(x.T @ g), rank)
-        if k % 50 == 49:
+    from eigenloom.operators import sgd
+    from eigenloom.operators.moments import collect_moments
+    from eigenloom.operators.probe import class_table
+    from eigenloom.session import release
+
+    names, classes = class_table(df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull()), label)
+    if len(names) < 2:
+        raise ValueError("two classes are needed")
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("class"), V.vec(vector).alias("x")).join(F.broadcast(classes), "class")
+    blocks = sgd.pack(rows.select(F.lit(-1).alias("fold"), F.lit(None).cast("string").alias("split"), F.col("class_no").cast("int").alias("y"), "x"))
+    m = collect_moments(rows, "x")["default"]
+    d, k = len(m.mean), len(names)
+    bias = m.mean if affine else np.zeros(d)
+    gap = m.mean - bias
+    scale = np.sqrt(max((np.trace(m.m2) / m.n + gap @ gap) / d - gap.mean() ** 2, 0)) or 1.0
+    n_parts = blocks.select(F.spark_partition_id().alias("p")).distinct().count()
+    removal, weights, candidates = fantope(np.random.default_rng(seed).standard_normal((d, d)) * 0.01, rank), np.zeros((d, k)), []
+    for at in range(max(rounds, 1)):
+        by_weights, by_removal = sgd.summed_over(blocks, lambda x, y, w=weights, p=removal: minimax_sums((x - bias) / scale, y, w, p), [(d, k), (d, d)], n_parts)
+        weights = weights - 20 * step * by_weights / m.n
+        removal = fantope(removal - 20 * step * symmetric(by_removal / m.n), rank)
+        if (at + 1) % keep_every == 0 or at + 1 == max(rounds, 1):
             values, vectors = np.linalg.eigh(removal)
-            u = vectors[:, np.argsort(values)[::-1][:rank]]
-            z, probe = x - x @ u @ u.T, np.zeros_like(weights)
-            for _ in range(200):
-                probe -= 2 * z.T @ gap(z, probe)
-            excess = abs(np.mean((z @ probe).argmax(1) == y) - majority)
-            if excess < best[0]:
-                best = (excess, u)
-    return LinearMap(left=best[1], right=best[1].T, bias=bias if affine else None, method="rlace", config={"rank": rank})
+            candidates.append(vectors[:, np.argsort(values)[::-1][:rank]])
+    views = [sgd.scaled(None, np.eye(d) - u @ u.T, np.zeros(d), m.mean, m.m2, m.n) for u in candidates]
+    fitted = sgd.fit_probes(blocks, views, k)
+    scores = sgd.score_probes(blocks, [sgd.View(-1, v.matrix, v.offset) for v in views], fitted)
+    best = min(range(len(candidates)), key=lambda c: abs(scores[c]["balanced_accuracy"] - 1 / k))
+    release(blocks)
+    u = candidates[best]
+    return LinearMap(left=u, right=u.T, bias=bias if affine else None, method="rlace", config={"rank": rank})
 
 
 def head_projection(df: DataFrame, vector: str, components: np.ndarray, rank: int, *, mode: str = "same_dim", normalise: bool = False) -> DataFrame:

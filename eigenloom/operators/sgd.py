@@ -136,6 +136,22 @@ def _summed(parts: DataFrame, size: int, n_parts: int) -> np.ndarray:
     return out
 
 
+def summed_over(blocks: DataFrame, function, shapes: list[tuple[int, ...]], n_parts: int) -> list[np.ndarray]:
+    """Sums of the arrays (of the given shapes) that ``function(x, y)`` makes of every shard, added up in tasks and mergers first."""
+    sizes = [int(np.prod(s)) for s in shapes]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(sum(sizes))
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                y = np.frombuffer(row.y, np.int32)
+                total += np.concatenate([np.asarray(a).ravel() for a in function(np.frombuffer(row.x).reshape(len(y), -1), y)])
+        yield pd.DataFrame({"state": [total.tobytes()]})
+
+    state = _summed(blocks.mapInPandas(run, "state binary"), sum(sizes), n_parts)
+    return [part.reshape(s) for part, s in zip(np.split(state, np.cumsum(sizes)[:-1]), shapes, strict=True)]
+
+
 def _class_counts(blocks: DataFrame, n_classes: int) -> dict[tuple[int, str | None], np.ndarray]:
     """Rows of each class by fold and split: a few numbers."""
 
@@ -248,7 +264,7 @@ def score_probes(blocks: DataFrame, views: list[View], weights: np.ndarray) -> l
         out.append({
             "balanced_accuracy": float((hits[seen] / n[seen]).mean()) if seen.any() else None,
             "accuracy": float(hits.sum() / n.sum()) if seen.any() else None,
-            "chance": 1 / int((trained > 0).sum()),
+            "chance": 1 / int((trained > 0).sum()) if (trained > 0).any() else None,
             "n_train": int(trained.sum()),
             "n_test": int(n.sum()),
         })

@@ -695,7 +695,7 @@ def fitted_chain(f, spark, sf_dir):
 
 @query()
 def rlace_eraser(f, spark, sf_dir):
-    return _erased(f, E.rlace_eraser(f, "x", "domain", key="vec_id", rank=2, max_rows=2000, rounds=100))
+    return _erased(f, E.rlace_eraser(f, "x", "domain", rank=2))
 
 
 @query()
@@ -1191,6 +1191,40 @@ def sgd_probe(f, spark, sf_dir):
     return rows_frame(spark, [P.probe_cv(K.with_folds(f, "grp", 3), "x", "domain", "sgd_safe")])
 
 
+# Erasers that take four of twelve axes and must leave the others as they are
+
+
+@query(CONCEPT + """
+SELECT vec_id, x.i, round(CASE WHEN x.i < 4 THEN m ELSE v END, 6) + 0.0 AS v
+FROM x JOIN (SELECT i, avg(v) AS m FROM x GROUP BY i) USING (i)
+""")
+def low_rank_pca_cells(f, spark, sf_dir):
+    own = concept_features(spark, sf_dir)
+    m = E.pca_eraser(Mo.collect_moments(own, "x")["default"], Mo.collect_moments(D.domain_deltas(own, ROLES), "delta"), None)
+    return long(E.apply_map(own, "x", m, "y"), "y", "vec_id")
+
+
+@query("SELECT 8.0::DOUBLE AS trace, 0.0::DOUBLE AS twice_apart, 0.0::DOUBLE AS oblique_apart, 0.0::DOUBLE AS energy_left, 5 * count(DISTINCT vec_id // 25)::BIGINT AS n_deltas FROM embeddings")
+def low_rank_hard_map(f, spark, sf_dir):
+    """Of the whitened map P: trace (axes left), |PP - P|, |PA - AP'| (A-orthogonal), and what it leaves of the deltas."""
+    own = concept_features(spark, sf_dir)
+    x, deltas = Mo.collect_moments(own, "x")["default"], D.domain_deltas(own, ROLES).cache()
+    m = E.hard_eraser(x, Mo.collect_moments(deltas, "delta"))
+    p, a = m.dense(), x.covariance(True) + 1e-4 * np.eye(CONCEPT_DIM)
+    left = E.apply_map(deltas, "delta", m, "left", affine=False).agg(F.avg(V.squared_norm("left")).alias("energy_left"), F.count("*").alias("n_deltas"))
+    facts = {"trace": np.trace(p), "twice_apart": np.abs(p @ p - p).max(), "oblique_apart": np.abs(p @ a - a @ p.T).max()}
+    return left.select(*[F.lit(float(v)).alias(k) for k, v in facts.items()], "energy_left", "n_deltas")
+
+
+@query(f"SELECT {DIM - 4}.0::DOUBLE AS trace, 0.0::DOUBLE AS twice_apart, 0.0::DOUBLE AS class_energy, count(*)::BIGINT AS n FROM embeddings")
+def leace_map_facts(f, spark, sf_dir):
+    """Of LEACE without blending: it takes as many directions as classes but one, and no class mean differs after it."""
+    cross = Mo.label_moments(f, "x", "domain")
+    p = E.leace_eraser(cross, tol=1e-7, constrain_trace=False).dense()
+    after = p @ cross.cross
+    return rows_frame(spark, [{"trace": float(np.trace(p)), "twice_apart": float(np.abs(p @ p - p).max()), "class_energy": float((after**2).sum()), "n": cross.x.n}])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

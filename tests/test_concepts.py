@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eigenloom import queries as Q
 from eigenloom.operators import probe as P
 from eigenloom.operators import sgd
-from eigenloom.operators.erasers import compose
+from eigenloom.operators.erasers import compose, fantope, minimax_sums, rlace_eraser
 from eigenloom.operators.metrics import residual_from_moments
 from eigenloom.operators.moments import collect_moments, label_moments
 from eigenloom.operators.splits import test_rows as rows_inside
@@ -172,3 +172,26 @@ def test_probes_of_both_concepts(spark):
         assert r.n_stain_train == 200 and r.n_stain_test <= 200 and r.n_scanner_test == r.n_test
     whole = concepts._stain_probe_table(stain, with_folds(f, "grp", 3), ROLES, [0], "target_id", None, True, 0)
     assert whole.filter("split IS NOT NULL").isEmpty() and whole.count() == stain.count()
+
+
+def test_adversarial_rounds_against_one_task(spark):
+    """The loop over shards gives what the same loop over one array gives, whatever the partitions."""
+    df, x, y = labelled(spark, 300, 5, 4)
+    centred = x - x.mean(0)
+    centred /= x.std() if abs(x.mean()) < 1e-12 else np.sqrt((centred**2).mean())
+    removal, weights = fantope(np.random.default_rng(0).standard_normal((5, 5)) * 0.01, 2), np.zeros((5, 3))
+    for _ in range(40):
+        a, b = minimax_sums(centred, y, weights, removal)
+        weights, removal = weights - a / 300, fantope(removal - (b + b.T) / 600, 2)
+    u = np.linalg.eigh(removal)[1][:, -2:]
+    for parts in (1, 5):
+        got = rlace_eraser(df.repartition(parts), "x", "y", rank=2, rounds=40, keep_every=40)
+        assert np.allclose(got.left @ got.right, u @ u.T, atol=1e-6) and np.allclose(got.bias, x.mean(0))
+    slow = np.zeros((5, 3))
+    for row, own in zip(centred, y, strict=True):
+        z = row - row @ removal
+        p = np.exp(z @ weights) / np.exp(z @ weights).sum()
+        slow += np.outer(z, p - np.eye(3)[own])
+    assert np.allclose(minimax_sums(centred, y, weights, removal)[0], slow)
+    with pytest.raises(ValueError, match="two classes"):
+        rlace_eraser(df.filter("y = 1"), "x", "y")
