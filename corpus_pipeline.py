@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: filter, dedup, decontaminate, mix, store as token ids.
 
 Each stage works on all rows its predecessor kept and returns the columns of
-``documents``; the last writes a token store and returns its documents.
+``documents``; the last writes a token store and returns its documents. Other columns
+are dropped by each stage, whatever their names; very long texts are read whole; a stage
+gives no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -21,22 +23,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that of the smallest id; all texts without words are one component."""
+    """One document of each SimHash component stays, that of the smallest id (null ids last, ties by content, of rows alike one); null, empty and wordless texts are one component."""
     return simhash.drop_near_duplicates(docs.select(COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; null and empty texts hold none."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, repeated rows and ids are judged by their texts; without a benchmark all stay."""
     return decontam.drop_contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed by weight: a row for each copy that the mix takes; a null source is one, wordless texts stay once."""
+    """Sources are mixed by weight: a row for each copy that the mix takes; a null source is one, null and wordless texts stay once, repeated rows each count, ties of the key go by id and size."""
     return mixing.mixed_documents(docs.select(COLUMNS))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as a token store, read back: a row a document of the mix."""
+    """The corpus as a token store, read back: a row a document of the mix, in ascending id; a null or empty text is its end mark alone, null and repeated ids keep a row each."""
     store = new_table_path(spark, "token-store")
     token_store.write_store(docs.select(COLUMNS), store, tokenizer_path())
     delete_at_exit(spark, store)
