@@ -5,38 +5,42 @@ an end mark; nothing is folded, so any script, digits and punctuation keep their
 bytes. An expression is ``ORDER`` bytes of a word, the last of which is predicted
 from those before it; before a word's start there are zero bytes, so words are
 judged on their own. Expressions that occur are counted in whole texts, of all
-documents and of the toxic and ordinary training documents, as a table that grows
-with the input: words are counted in each task first, then their expressions.
+documents and of the toxic and ordinary training documents, each distinct word once
+a document (so that a document that repeats itself counts as one), as a table that
+grows with the input: words are counted in each task first, then their expressions.
 
 Each class's model interpolates its own discounted counts with one shared backoff,
 an interpolated Kneser-Ney model of shorter expressions (``BACKOFF``) over all
 documents: an expression of which a word's beginning is no part counts the different
 bytes seen before it, one at a word's beginning (nothing else can precede it) its
 occurrences.
-An expression that a class has rarely seen is thus judged by what is usual in the
-corpus. A document's evidence is the difference of its two log-likelihoods divided
-by its number of symbols (at least ``LEAST_SYMBOLS``). So that a few toxic words
-show in a long text, it is also taken word by word: a document's peak is the mean
-of the three highest differences of its distinct words. Two logistic weights and an
-intercept make a score of evidence and peak.
+
+Both classes give an expression the shared probability, so that it tells nothing,
+unless their counts differ by more than chance (a log-likelihood ratio statistic of
+at least ``LEAST_STATISTIC`` within its context) and their probabilities by a factor
+of at least e to ``LEAST_RATIO``. Without this the sampling noise of some hundred
+ordinary words outweighs the few that matter. A document's evidence is the
+difference of its two log-likelihoods over all occurrences, divided by its number of
+symbols (at least ``LEAST_SYMBOLS``); a logistic weight and an intercept make it a
+score.
 
 They are fitted on what training documents get from models that have not seen
 them: training rows are in ``PARTS`` parts by their hash, and each part is judged by
 the models of the others. They are fitted on a histogram over all training rows with
 fixed bins and each bin's means, so no rows come to the driver.
 
-Log-ratios are needed of those expressions only that a training document has, and
-of their contexts: with the same backoff, any other expression differs by its
-context alone. Up to ``MODEL_ROWS`` of them are broadcast, after they are counted;
-beyond that, words are joined to them by shuffling, with the same result.
+Only expressions with a log-ratio are kept: some hundred on texts of a few languages.
+Up to ``MODEL_ROWS`` of them are broadcast, after they are counted; beyond that,
+words are joined to them by shuffling, with the same result.
 
 Defined results
-    null text: an empty one; texts without words get evidence and peak 0; zero bytes
+    null text: an empty one; texts without words get evidence 0; zero bytes
     part words; very long texts and words are read whole; repeated documents count and are judged as often as they occur;
     a repeated ``doc_id`` in the labels counts as toxic if any of its rows is; null
     labels and ids are ignored; without a toxic or without an ordinary training row
-    every score is 0; empty table: no rows. Added column names avoid those of the
-    input.
+    every score is 0; where no expression is kept every document gets the share of
+    toxic training rows; empty table: no rows. Other columns of documents and labels
+    play no part, and added column names avoid those of the input.
 """
 
 from __future__ import annotations
@@ -56,7 +60,7 @@ from eigenloom.llm.text import body
 from eigenloom.session import join_checked, materialise, release, text_batches
 
 #: Bytes of an expression; eight fit a key.
-ORDER = 7
+ORDER = 6
 #: Bytes of the shorter expressions that the shared backoff goes by, one after the other.
 BACKOFF = (5, 3, 1)
 #: Parts of the training rows, each judged by models of the others.
@@ -66,12 +70,12 @@ MODELS = 1 + PARTS
 THRESHOLD = 0.7
 #: Rows of the training labels up to which they are broadcast to the texts.
 LABEL_ROWS = 2_000_000
-#: Expressions and contexts up to which their log-ratios are broadcast (28 bytes each).
+#: Least statistic, and least difference of log probabilities, by which an expression tells the classes apart.
+LEAST_STATISTIC, LEAST_RATIO = 20.0, 1.0
+#: Expressions up to which their log-ratios are broadcast (28 bytes each).
 MODEL_ROWS = 4_000_000
-#: Steps and ends of the histogram that the weights are fitted on.
-STEPS = {"evidence": (1 / 64, -2.0, 2.0), "peak": (0.25, -8.0, 60.0)}
-#: Words whose mean is a document's peak.
-TOP_WORDS = 3
+#: Step and ends of the histogram that the weights are fitted on.
+STEP, LOW, HIGH = 1 / 4096, -2.0, 2.0
 #: Shorter texts count as this long in the evidence: a few symbols say little.
 LEAST_SYMBOLS = 64
 #: Distinct words, and characters, that a task counts or remembers before it hands them on and starts anew.
@@ -129,12 +133,12 @@ def _counted(words: list[str], tallies: dict[int, np.ndarray]) -> Iterator[pd.Da
 
 
 def _count_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the partition's expressions: a row for each, or several where its words are too many to hold at once."""
+    """Counts of the expressions of each document's distinct words in the partition: a row for each, or several where its words are too many to hold at once."""
     number, tallies, chars = Numbers(), {}, 0
     for batch in batches:
         said: dict[int, list[np.ndarray]] = {}
         for text, group in zip(batch["text"], batch["counted_as"], strict=True):
-            if words := words_of(text):
+            if words := dict.fromkeys(words_of(text)):
                 said.setdefault(group, []).append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
                 chars += len(text)
         for group, some in said.items():
@@ -205,79 +209,76 @@ def _class_counts(kind: str, left_out: int) -> Column:
     return sum((F.col(f"{kind}_{k}") for k in range(PARTS) if k != left_out - 1), F.lit(0))
 
 
-def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Log of toxic over ordinary probability by each model, an array ``ratios``: of expressions, and of what else follows a context.
+def log_ratios(counts: DataFrame) -> DataFrame | None:
+    """(key, ratios): log of toxic over ordinary probability by each model, 0 where that model keeps the shared one.
 
-    Two tables with a ``key``, written to the shared folder; None without a toxic or an ordinary expression.
+    A table in the shared folder, of expressions that any model tells apart; None without a toxic or an ordinary expression.
     """
     kinds = [(kind, v) for kind in ("toxic", "plain") for v in range(MODELS)]
     wide = counts.select("key", *[_class_counts(kind, v).alias(f"{kind}{v}") for kind, v in kinds]).filter("toxic0 + plain0 > 0")
     wide = materialise(wide.withColumn("context", F.shiftrightunsigned("key", 8)), "toxicity-classes")
     d = wide.agg(F.sum("toxic0").alias("toxic"), F.sum("plain0").alias("plain"), *[_discount(F.col(f"{kind}{v}")).alias(f"{kind}{v}") for kind, v in kinds]).first()
     if not d["toxic"] or not d["plain"]:
+        release(wide)
         return None
     totals = wide.groupBy("context").agg(
         *[F.sum(f"{kind}{v}").alias(f"total_{kind}{v}") for kind, v in kinds], *[F.count_if(F.col(f"{kind}{v}") > 0).alias(f"kinds_{kind}{v}") for kind, v in kinds]
     )
-    totals = materialise(totals, "toxicity-contexts")
-    shared = shared_backoff(counts)
-    one = F.lit(1.0)
 
-    def ratio(v: int, n: bool) -> Column:
-        def log_of(kind: str) -> Column:
-            name = f"{kind}{v}"
-            own = F.col(name) if n else F.lit(0)
-            return F.log(_discounted(own, F.lit(d[name]), F.col(f"kinds_{name}"), F.col(f"total_{name}"), F.col("shared") if n else one))
+    def statistic(v: int) -> Column:
+        own = [(F.col(f"{kind}{v}"), F.col(f"total_{kind}{v}")) for kind in ("toxic", "plain")]
+        share = (own[0][0] + own[1][0]) / (own[0][1] + own[1][1])
+        return 2 * sum((F.when(n > 0, n * F.log(n / (total * share))).otherwise(0.0) for n, total in own), F.lit(0.0))
 
-        return (log_of("toxic") - log_of("plain")).cast("float")
+    def ratio(v: int) -> Column:
+        toxic, plain = (
+            F.log(_discounted(F.col(f"{kind}{v}"), F.lit(d[f"{kind}{v}"]), F.col(f"kinds_{kind}{v}"), F.col(f"total_{kind}{v}"), F.col("shared"))) for kind in ("toxic", "plain")
+        )
+        kept = (F.col(f"statistic{v}") >= LEAST_STATISTIC) & (F.abs(toxic - plain) >= LEAST_RATIO)
+        return F.when(kept, toxic - plain).otherwise(0.0).cast("float")
 
-    ratios = lambda n: F.array(*[ratio(v, n) for v in range(MODELS)]).alias("ratios")
-    joined = wide.join(totals, "context").withColumn("shorter", _low(F.col("key"), BACKOFF[0])).join(shared.withColumnRenamed("key", "shorter"), "shorter")
-    expressions = materialise(joined.select("key", ratios(True)), "toxicity-expressions")
-    contexts = materialise(totals.select(F.col("context").alias("key"), ratios(False)), "toxicity-ratios")
-    for used in (wide, totals, shared):
+    tested = wide.join(totals, "context").withColumns({f"statistic{v}": statistic(v) for v in range(MODELS)})
+    tested = tested.filter(F.greatest(*[F.col(f"statistic{v}") for v in range(MODELS)]) >= LEAST_STATISTIC)
+    shared = shared_backoff(counts)
+    joined = tested.withColumn("shorter", _low(F.col("key"), BACKOFF[0])).join(shared.withColumnRenamed("key", "shorter"), "shorter")
+    expressions = joined.select("key", F.array(*[ratio(v) for v in range(MODELS)]).alias("ratios"))
+    expressions = materialise(expressions.filter(F.exists("ratios", lambda r: r != 0)), "toxicity-expressions")
+    for used in (wide, shared):
         release(used)
-    return expressions, contexts
+    return expressions
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Log-ratios of expressions and contexts (None if untrained), and the weights of intercept, evidence and peak."""
+    """Log-ratios of expressions (None if untrained), and the weights of intercept and evidence."""
 
     expressions: DataFrame | None
-    contexts: DataFrame | None = None
-    weights: tuple[float, ...] | None = None
+    weights: tuple[float, float] | None = None
 
 
 class WordJudge:
-    """Log-ratios of words by each model, from sorted keys of expressions and contexts; words are remembered."""
+    """Log-ratios of words by each model, from sorted keys of expressions; words are remembered."""
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray, context_keys: np.ndarray, context_ratios: np.ndarray):
-        self.keys, self.ratios, self.context_keys, self.context_ratios = keys, ratios, context_keys, context_ratios
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        self.keys, self.ratios = keys, ratios
         self._forget()
 
     def _forget(self) -> None:
         self.number, self.chars = Numbers(), 0
         self.values, self.symbols = np.zeros((0, self.ratios.shape[1])), np.zeros(0, np.int64)
 
-    @staticmethod
-    def _find(keys: np.ndarray, ratios: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-        hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-        out = np.zeros((len(wanted), ratios.shape[1]))
-        out[hit] = ratios[at[hit]]
-        return hit, out
-
     def judge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of log-ratios of each word (a row each) and numbers of symbols."""
         keys, lengths = word_expressions(words)
-        own, inverse = np.unique(keys, return_inverse=True)
-        hit, values = self._find(self.keys, self.ratios, own)
-        values[~hit] = self._find(self.context_keys, self.context_ratios, (own[~hit].view(np.uint64) >> np.uint64(8)).view(np.int64))[1]
-        return np.add.reduceat(values[inverse], np.cumsum(lengths) - lengths, axis=0), lengths
-
-    def measure(self, texts: list[str | None]) -> list[tuple[int, list[float], list[float]]]:
-        """Symbols, evidence and peak of each text, the last two by each model."""
+        values = np.zeros((len(keys), self.ratios.shape[1]))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            values[hit] = self.ratios[at[hit]]
+        return np.add.reduceat(values, np.cumsum(lengths) - lengths, axis=0), lengths
+
+    def measure(self, texts: list[str | None]) -> list[tuple[int, list[float]]]:
+        """Symbols and evidence of each text, the latter by each model."""
         if len(self.number) > HELD_WORDS or self.chars > HELD_CHARS:
             self._forget()
         found = [words_of(t) for t in texts]
@@ -291,13 +292,11 @@ class WordJudge:
         for at in places:
             n = int(self.symbols[at].sum())
             evidence = self.values[at].sum(axis=0) / max(n, LEAST_SYMBOLS)
-            distinct = self.values[np.unique(at)]
-            top = np.sort(distinct, axis=0)[-TOP_WORDS:] if len(distinct) else np.zeros((1, self.ratios.shape[1]))
-            out.append((n, evidence.tolist(), top.mean(axis=0).tolist()))
+            out.append((n, evidence.tolist()))
         return out
 
 
-_EVIDENCE = StructType([StructField("n_symbols", LongType()), StructField("evidence", ArrayType(DoubleType())), StructField("peak", ArrayType(DoubleType()))])
+_EVIDENCE = StructType([StructField("n_symbols", LongType()), StructField("evidence", ArrayType(DoubleType()))])
 
 
 def _arrays(table: DataFrame, models: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,19 +308,19 @@ def _arrays(table: DataFrame, models: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], ratios[order]
 
 
-def _broadcast_evidence(docs: DataFrame, text: Column, expressions: DataFrame, contexts: DataFrame, models: int) -> Column:
+def _broadcast_evidence(docs: DataFrame, text: Column, expressions: DataFrame, models: int) -> Column:
     """Evidence of a column of texts, as a UDF with the broadcast model."""
-    shared = docs.sparkSession.sparkContext.broadcast((*_arrays(expressions, models), *_arrays(contexts, models)))
+    shared = docs.sparkSession.sparkContext.broadcast(_arrays(expressions, models))
 
     def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         judge = WordJudge(*shared.value)
         for batch in texts:
-            yield pd.DataFrame(judge.measure(batch.tolist()), columns=["n_symbols", "evidence", "peak"])
+            yield pd.DataFrame(judge.measure(batch.tolist()), columns=["n_symbols", "evidence"])
 
     return F.pandas_udf(measure, _EVIDENCE)(text)
 
 
-def _joined_evidence(texts: DataFrame, expressions: DataFrame, contexts: DataFrame, models: int) -> DataFrame:
+def _joined_evidence(texts: DataFrame, expressions: DataFrame, models: int) -> DataFrame:
     """(doc_id, text_hash, e) of the distinct rows of ``texts`` (doc_id, text_hash, text), by joining words to the model."""
 
     @F.pandas_udf("array<struct<word: string, n: long>>")
@@ -337,62 +336,56 @@ def _joined_evidence(texts: DataFrame, expressions: DataFrame, contexts: DataFra
     own = texts.dropDuplicates(["doc_id", "text_hash"])
     said = materialise(own.select("doc_id", "text_hash", F.explode_outer(tallied("text")).alias("w")).select("doc_id", "text_hash", "w.*"), "toxicity-words")
     each = said.select("word").filter("word IS NOT NULL").distinct().select("word", F.explode(keys_of("word")).alias("key"))
-    hit = each.join(expressions.withColumnRenamed("ratios", "own"), "key", "left").withColumn("context", F.shiftrightunsigned("key", 8))
-    hit = hit.join(contexts.select(F.col("key").alias("context"), F.col("ratios").alias("other")), "context", "left")
-    value = lambda v: F.coalesce(F.col("own")[v], F.col("other")[v], F.lit(0.0)).cast("double")
+    hit = each.join(expressions, "key", "left")
+    value = lambda v: F.coalesce(F.col("ratios")[v], F.lit(0.0)).cast("double")
     judged = hit.groupBy("word").agg(F.array(*[F.sum(value(v)) for v in range(models)]).alias("values"), F.count("*").alias("symbols"))
     rows = said.join(judged, "word", "left").groupBy("doc_id", "text_hash").agg(
         F.coalesce(F.sum(F.col("n") * F.col("symbols")), F.lit(0)).alias("n_symbols"),
         F.array(*[F.coalesce(F.sum(F.col("n") * F.col("values")[v]), F.lit(0.0)) for v in range(models)]).alias("sums"),
-        F.array(*[F.slice(F.sort_array(F.collect_list(F.col("values")[v]), asc=False), 1, TOP_WORDS) for v in range(models)]).alias("tops"),
     )
     evidence = F.transform("sums", lambda s: s / F.greatest(F.col("n_symbols"), F.lit(LEAST_SYMBOLS)))
-    peak = F.transform("tops", lambda t: F.coalesce(F.aggregate(t, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(t), F.lit(0)), F.lit(0.0)))
-    return rows.select("doc_id", "text_hash", F.struct("n_symbols", evidence.alias("evidence"), peak.alias("peak")).alias("e"))
+    return rows.select("doc_id", "text_hash", F.struct("n_symbols", evidence.alias("evidence")).alias("e"))
 
 
 def with_evidence(docs: DataFrame, model: ToxicityModel, *keep: Column, id_col: str, text_col: str, models: int = MODELS, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """(keep..., e: n_symbols, evidence, peak) of every row of ``docs``."""
+    """(keep..., e: n_symbols, evidence) of every row of ``docs``."""
     text = body(text_col)
-    if model.expressions.count() + model.contexts.count() <= model_rows:
-        return docs.select(*keep, _broadcast_evidence(docs, text, model.expressions, model.contexts, models).alias("e"))
+    if model.expressions.count() <= model_rows:
+        return docs.select(*keep, _broadcast_evidence(docs, text, model.expressions, models).alias("e"))
     rows = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(text).alias("own_hash"), F.struct(*keep).alias("kept"))
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    judged = _joined_evidence(texts, model.expressions, model.contexts, models)
+    judged = _joined_evidence(texts, model.expressions, models)
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
     return rows.join(judged, same).select("kept.*", "e")
 
 
-def fit_weights(bins: pd.DataFrame) -> tuple[float, ...]:
-    """Logistic weights of intercept, evidence and peak, by Newton steps, slightly regularised; none below 0 but the intercept.
+def fit_weights(bins: pd.DataFrame) -> tuple[float, float]:
+    """Logistic weights of intercept and evidence, the latter not below 0, by Newton steps, slightly regularised.
 
-    ``bins`` has rows (evidence, peak, toxic, n).
+    ``bins`` has rows (evidence, toxic, n).
     """
-    x = np.stack([np.ones(len(bins)), *(bins[c].to_numpy(float) for c in STEPS)], axis=1)
-    y, n = bins["toxic"].to_numpy(float), bins["n"].to_numpy(float)
-    used = list(range(x.shape[1]))
-    while True:
-        w, own = np.zeros(len(used)), x[:, used]
-        ridge = np.diag([1e-6] + [1e-2] * (len(used) - 1))
+    evidence, y, n = (bins[c].to_numpy(float) for c in ("evidence", "toxic", "n"))
+    scale = np.sqrt((n * evidence**2).sum() / max(n.sum(), 1)) or 1.0
+    x, ridge = np.stack([np.ones(len(bins)), evidence / scale], axis=1), np.diag([1e-6, 1e-2])
+    for used in ([0, 1], [0]):
+        w, own, held = np.zeros(len(used)), x[:, used], ridge[np.ix_(used, used)]
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
-            gradient = own.T @ (n * (p - y)) + ridge @ w
-            hessian = (own * (n * p * (1 - p))[:, None]).T @ own + ridge + 1e-9 * np.eye(len(w))
+            gradient = own.T @ (n * (p - y)) + held @ w
+            hessian = (own * (n * p * (1 - p))[:, None]).T @ own + held + 1e-9 * np.eye(len(w))
             step = np.linalg.solve(hessian, gradient)
             size = np.abs(step).max()
             w = w - step * min(1.0, 2.0 / max(size, 1e-12))
             if size < 1e-8:
                 break
-        if (w[1:] >= 0).all():
-            full = np.zeros(x.shape[1])
-            full[used] = w
-            return tuple(full.tolist())
-        used.remove(used[1 + int(w[1:].argmin())])
+        if len(w) == 1 or w[1] >= 0:
+            break
+    return float(w[0]), float(w[1] / scale) if len(w) > 1 else 0.0
 
 
-def logistic_score(weights: tuple[float, ...], evidence: Column, peak: Column) -> Column:
-    """Score, 0 to 1, strictly rising in what has a weight."""
-    z = F.lit(weights[0]) + F.lit(weights[1]) * evidence + F.lit(weights[2]) * peak
+def logistic_score(weights: tuple[float, float], evidence: Column) -> Column:
+    """Score, 0 to 1, rising in the evidence."""
+    z = F.lit(weights[0]) + F.lit(weights[1]) * evidence
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
@@ -400,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks and that are not held out.
 
     Returns the model, or with ``measured`` the model and the table
-    (doc_id, n_symbols, evidence, peak) of all documents that it was fitted with.
+    (doc_id, n_symbols, evidence) of all documents that it was fitted with.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -412,35 +405,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), body(text_col).alias("text"))
     marked = join_checked(texts, known, texts["doc_id"] == known["known_id"], "left", LABEL_ROWS)
     counts = materialise(expression_counts(marked.select("text", F.coalesce("counted_as", F.lit(0)).alias("counted_as"))), "toxicity-counts")
-    ratios = log_ratios(counts)
-    if ratios is None:
-        return (ToxicityModel(None), None) if measured else ToxicityModel(None)
-    model = ToxicityModel(*ratios)
+    model = ToxicityModel(log_ratios(counts))
     release(counts)
+    if model.expressions is None:
+        return (model, None) if measured else model
     judged = texts if measured else join_checked(texts, known, texts["doc_id"] == known["known_id"], "left_semi", LABEL_ROWS)
     evidence = with_evidence(judged, model, F.col("doc_id"), id_col="doc_id", text_col="text", model_rows=model_rows)
     evidence = materialise(evidence.select("doc_id", "e.*"), "toxicity-evidence")
-    of_others = lambda c: F.get(c, F.col("part") + 1).alias(c)
-    rows = evidence.join(known, evidence["doc_id"] == known["known_id"]).select(of_others("evidence"), of_others("peak"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.withColumns({c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c))) for c, (_, low, high) in STEPS.items()})
-    bins = rows.groupBy("toxic", *[F.round(F.col(c) / step).alias(f"{c}_bin") for c, (step, *_) in STEPS.items()]).agg(
-        F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in STEPS]
+    of_others = F.get("evidence", F.col("part") + 1)
+    rows = evidence.join(known, evidence["doc_id"] == known["known_id"]).select(
+        F.greatest(F.lit(LOW), F.least(F.lit(HIGH), of_others)).alias("evidence"), F.col("toxic").cast("int").alias("toxic")
     )
-    model = ToxicityModel(model.expressions, model.contexts, fit_weights(bins.toPandas()))
+    bins = rows.groupBy("toxic", F.round(F.col("evidence") / STEP).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("evidence"), 9).alias("evidence"))
+    model = ToxicityModel(model.expressions, fit_weights(bins.toPandas()))
     release(known)
     return (model, evidence) if measured else model
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_symbols, log_ratio, peak) of every document."""
+    """(doc_id, held_out, score, predicted, n_symbols, log_ratio) of every document."""
     model, evidence = fit(docs, labels, id_col=id_col, text_col=text_col, measured=True, model_rows=model_rows)
     held = F.coalesce(hash_of(F.col("doc_id")) % 3 == 1, F.lit(False)).alias("held_out")
     if model.weights is None:
         zero = docs.select(F.col(f"`{id_col}`").alias("doc_id"))
-        return zero.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_ratio"), F.lit(0.0).alias("peak"))
-    own = [F.get(c, F.lit(0)) for c in ("evidence", "peak")]
-    scored = evidence.select("doc_id", held, logistic_score(model.weights, *own).alias("score"), "n_symbols", own[0].alias("log_ratio"), own[1].alias("peak"))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_symbols", "log_ratio", "peak")
+        return zero.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_ratio"))
+    own = F.get("evidence", F.lit(0))
+    scored = evidence.select("doc_id", held, logistic_score(model.weights, own).alias("score"), "n_symbols", own.alias("log_ratio"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_symbols", "log_ratio")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model_rows: int = MODEL_ROWS) -> DataFrame:
@@ -450,5 +441,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
         return docs
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     judged = with_evidence(docs, model, row, id_col=id_col, text_col=text_col, models=1, model_rows=model_rows)
-    own = [F.get(f"e.{c}", F.lit(0)) for c in ("evidence", "peak")]
-    return judged.filter(logistic_score(model.weights, *own) < threshold).select("row.*")
+    return judged.filter(logistic_score(model.weights, F.get("e.evidence", F.lit(0))) < threshold).select("row.*")
