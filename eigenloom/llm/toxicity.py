@@ -71,7 +71,7 @@ THRESHOLD = 0.7
 #: Rows of the training labels up to which they are broadcast to the texts.
 LABEL_ROWS = 2_000_000
 #: Least statistic, and least difference of log probabilities, by which an expression tells the classes apart.
-LEAST_STATISTIC, LEAST_RATIO = 20.0, 1.0
+LEAST_STATISTIC, LEAST_RATIO = 15.0, 1.0
 #: Expressions up to which their log-ratios are broadcast (28 bytes each).
 MODEL_ROWS = 4_000_000
 #: Step and ends of the histogram that the weights are fitted on.
