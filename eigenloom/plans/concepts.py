@@ -64,7 +64,8 @@ class Node:
         return matrix, offset
 
 
-def _merged(parts: list[Moments], d: int) -> Moments:
+def merged(parts: list[Moments], d: int) -> Moments:
+    """Moments of all parts together; of none, empty ones."""
     return reduce(Moments.merge, parts, Moments.empty(d))
 
 
@@ -110,7 +111,7 @@ def grid_deltas(rows: DataFrame, roles: Roles, scanner: dict[str, dict], stain:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _source_moments(deltas: DataFrame, folds: list[int], d: int) -> dict[tuple[str, int, str], Moments]:
+def source_moments(deltas: DataFrame, folds: list[int], d: int) -> dict[tuple[str, int, str], Moments]:
     """(source, fold, train or test) to moments, from one pass."""
     tagged = deltas.withColumn("tag", F.to_json(F.array("source", F.col("fold").cast("string"), F.coalesce("split", F.lit("")))))
     found = {tuple(json.loads(tag)): m for tag, m in collect_moments(tagged, "delta", "tag").items()}
@@ -118,7 +119,7 @@ def _source_moments(deltas: DataFrame, folds: list[int], d: int) -> dict[tuple[s
     for name, fold in itertools.product(sorted({k[0] for k in found}), folds):
         own = {k[1]: m for k, m in found.items() if k[0] == name and k[2] == ""}
         if own:
-            out[name, fold, "train"] = _merged([m for f, m in sorted(own.items()) if f != str(fold)], d)
+            out[name, fold, "train"] = merged([m for f, m in sorted(own.items()) if f != str(fold)], d)
             out[name, fold, "test"] = own.get(str(fold), Moments.empty(d))
         else:
             for split in ("train", "test"):
@@ -153,7 +154,7 @@ def _path(node: Node) -> str:
     return "/".join(map(str, node.path))
 
 
-def _by_node(rows: DataFrame, nodes: list[Node], vector: str, keep: list[str], affine: bool) -> DataFrame:
+def norms_by_node(rows: DataFrame, nodes: list[Node], vector: str, keep: list[str], affine: bool) -> DataFrame:
     """(node, keep..., before, after, change): norms of every row under each node of its fold. ``rows`` has ``fold``."""
     maps = rows.sparkSession.sparkContext.broadcast([(k, n.fold, *n.affine()) for k, n in enumerate(nodes)])
     kinds = dict(rows.dtypes)
@@ -185,7 +186,8 @@ def _stain_probe_table(stain: DataFrame, rows: DataFrame, roles: Roles, folds: l
     return reduce(DataFrame.unionByName, parts)
 
 
-def _excess(raw: dict, after: dict) -> float | None:
+def excess(raw: dict, after: dict) -> float | None:
+    """Share of a probe's score over chance that is left; null where the raw score is chance."""
     gap = raw["balanced_accuracy"] - raw["chance"]
     return (after["balanced_accuracy"] - raw["chance"]) / gap if abs(gap) > 1e-12 else None
 
@@ -213,17 +215,17 @@ def run_concept_grid(features: DataFrame, roles: Roles, stages: list[dict], *, s
     sums = {c: class_sums(rows, roles.vector, c) for c in concepts}
     if scanner or stain_options:
         deltas = materialise(grid_deltas(rows, roles, scanner, stain, stain_options, n_splits, seed), "grid-deltas")
-        sources = _source_moments(deltas, wanted, d)
+        sources = source_moments(deltas, wanted, d)
     else:
         deltas, sources = None, {}
     starts = {}
     for fold in wanted:
-        x = _merged([m for f, m in sorted(by_fold.items()) if f != fold], d)
+        x = merged([m for f, m in sorted(by_fold.items()) if f != fold], d)
         starts[fold] = State(x, {n: m for (n, f, split), m in sources.items() if f == fold and split == "train"}, {c: _cross(x, sums[c], fold) for c in concepts})
     nodes, moments = _search(wanted, starts, [expand_stage(s) for s in stages], diagnostics)
     judged = [n for n in nodes if n.leaf or evaluate_intermediate]
 
-    change = _by_node(rows.filter(F.col("fold").isin(wanted)), judged, roles.vector, [], True)
+    change = norms_by_node(rows.filter(F.col("fold").isin(wanted)), judged, roles.vector, [], True)
     median = lambda c: F.percentile_approx(c, 0.5, MEDIAN_ACCURACY)
     change = change.groupBy("node").agg(
         F.count("*").alias("n_test"),
@@ -250,7 +252,7 @@ def run_concept_grid(features: DataFrame, roles: Roles, stages: list[dict], *, s
         for name, scores in (("scanner", scanner_scores), ("stain", stain_scores)):
             raw, after = (scores[node.fold, ""], scores[node.fold, _path(node)]) if scores else ({}, {})
             out |= {f"raw_{name}_score": raw.get("balanced_accuracy"), f"projected_{name}_score": after.get("balanced_accuracy"), f"raw_{name}_accuracy": raw.get("accuracy"), f"projected_{name}_accuracy": after.get("accuracy")}
-            out |= {f"{name}_chance": raw.get("chance"), f"{name}_excess_ratio": _excess(raw, after) if scores else None, f"n_{name}_train": raw.get("n_train", 0), f"n_{name}_test": raw.get("n_test", 0)}
+            out |= {f"{name}_chance": raw.get("chance"), f"{name}_excess_ratio": excess(raw, after) if scores else None, f"n_{name}_train": raw.get("n_train", 0), f"n_{name}_test": raw.get("n_test", 0)}
         return out
 
     def variance(node: Node) -> dict:
@@ -299,7 +301,7 @@ def _table(spark, rows: list[dict], schema: str) -> DataFrame:
 
 def _delta_scores(tested: DataFrame, leaves: list[Node], reference: dict[int, Moments]) -> DataFrame:
     """What chains leave of the test deltas of their folds, by source; one pass, a row a chain and source."""
-    norms = _by_node(tested, leaves, "delta", ["source"], False)
+    norms = norms_by_node(tested, leaves, "delta", ["source"], False)
     a, b = F.col("before") * F.col("before"), F.col("after") * F.col("after")
     sums = norms.groupBy("node", "source").agg(F.count("*").alias("n"), F.avg(a).alias("a"), F.avg(b).alias("b"), F.avg("before").alias("raw"), F.avg("after").alias("left"), F.avg(F.col("after") / (F.col("before") + F.lit(1e-12))).alias("ratio"))
     out = []

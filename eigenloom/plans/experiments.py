@@ -15,6 +15,7 @@ from eigenloom.operators.summary import displacement_summary
 from eigenloom.operators.metrics import feature_change
 from eigenloom.plans.concepts import run_concept_grid
 from eigenloom.plans.grid import run_grid
+from eigenloom.plans.variants import run_paired_grid
 from eigenloom.roles import Roles
 from eigenloom.session import few_values
 from eigenloom.sources.artifacts import rows_frame
@@ -107,6 +108,8 @@ def leave_one_domain_out(features: DataFrame, roles: Roles, fit, *, n_splits: in
 
 def _grid(name):
     def run(features: DataFrame, roles: Roles, config: dict) -> DataFrame | dict[str, DataFrame]:
+        if "erasers" in config:
+            return run_paired_grid(features, roles, **config)
         if "scanner" in config or "stain" in config:
             return run_concept_grid(features, roles, **config)
         known = {"stages", "delta_options", "label", "n_splits", "folds", "probe", "concepts", "evaluate_intermediate", "fit_without"}
@@ -134,7 +137,8 @@ def run_experiment(kind: str, features: DataFrame, roles: Roles, config: dict, *
     """Run a registered experiment on a feature table; a dry run only checks its name and configuration.
 
     A grid whose configuration names ``scanner`` or ``stain`` sources goes over both
-    concepts and gives its four tables by name.
+    concepts and gives its four tables by name; one whose configuration names ``erasers``
+    goes over the kinds of moments of single erasers and gives two.
     """
     if kind not in EXPERIMENTS:
         raise ValueError(f"experiment {kind!r}; one of {sorted(EXPERIMENTS)}")

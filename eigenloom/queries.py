@@ -27,7 +27,7 @@ from eigenloom.operators import sgd
 from eigenloom.operators import splits as K
 from eigenloom.operators import stain as S
 from eigenloom.operators import summary as A
-from eigenloom.plans import concepts, experiments, grid
+from eigenloom.plans import concepts, experiments, grid, variants
 from eigenloom.roles import Roles, column_or_default, require_columns
 from eigenloom.session import delete_at_exit, new_table_path
 from eigenloom.sources import tables as T
@@ -1225,6 +1225,69 @@ def leace_map_facts(f, spark, sf_dir):
     return rows_frame(spark, [{"trace": float(np.trace(p)), "twice_apart": float(np.abs(p @ p - p).max()), "class_energy": float((after**2).sum()), "n": cross.x.n}])
 
 
+VARIANTS = CONCEPT + """
+, own AS (
+  SELECT 'mean' AS source, fold, k, i, v FROM g2m
+  UNION ALL SELECT 'pairs', fold, vec_id::VARCHAR, i, v - avg(v) OVER (PARTITION BY vec_id // 5, i) FROM x)
+"""
+PAIR_SOURCES = {"mean": {"mode": "group_to_mean"}, "pairs": {"mode": "pair_col_to_mean"}}
+
+
+@query(VARIANTS + """
+, fit AS (SELECT each.fold, source, i, count(*) AS n, avg(v * v) AS q, var_samp(v) AS c FROM each JOIN own ON own.fold <> each.fold GROUP BY ALL),
+b AS (SELECT fold, source, max(n) AS n_delta_fit, sum(q) AS q, sum(c) AS c FROM fit GROUP BY ALL),
+norms AS (SELECT fold, source, k, sqrt(sum(v * v)) AS n FROM own GROUP BY ALL),
+t AS (SELECT fold, source, count(*) AS n_delta_test, avg(n) AS raw FROM norms GROUP BY ALL),
+rows AS (SELECT x.fold, vec_id, sqrt(sum(CASE WHEN i < 4 THEN (v - m) ^ 2 ELSE 0 END)) AS change, sqrt(sum(v * v)) AS norm FROM x JOIN train USING (fold, i) GROUP BY ALL),
+ch AS (SELECT fold, count(*) AS n_test, avg(change) AS l2, avg(change / (norm + 1e-8)) AS relative, avg(norm) AS norm FROM rows GROUP BY fold),
+a AS (SELECT fold, sum(var) AS var, sum(pop) AS pop FROM train GROUP BY fold)
+SELECT fold, source, whiten, moment, shrink_a, (SELECT count(*) FROM embeddings) - n_test AS n_train, n_test, n_delta_fit, n_delta_test::BIGINT AS n_delta_test, 8.0::DOUBLE AS map_trace, 4::BIGINT AS erased_rank,
+       round(CASE WHEN shrink_a THEN pop ELSE var END, 6) AS trace_a, round(CASE moment WHEN 'covariance' THEN c ELSE q END, 6) AS trace_b,
+       CASE WHEN NOT whiten THEN round(l2, 6) END AS mean_l2_change, CASE WHEN NOT whiten THEN round(relative, 6) END AS mean_relative_change, round(norm, 6) AS mean_raw_norm,
+       round(raw, 6) AS mean_raw_delta_norm, 0.0::DOUBLE AS residual_ratio
+FROM b JOIN t USING (fold, source) JOIN ch USING (fold) JOIN a USING (fold)
+CROSS JOIN (VALUES (true), (false)) AS w(whiten) CROSS JOIN (VALUES ('second_moment'), ('covariance')) AS m(moment) CROSS JOIN (VALUES (true), (false)) AS s(shrink_a)
+""")
+def paired_grid(f, spark, sf_dir):
+    """Full-rank erasers over axes of whitening, moment and shrinkage: each takes its source's four directions and leaves no delta."""
+    axes = {"method": "pca", "ranks": [None], "whiten": [True, False], "moment": ["second_moment", "covariance"], "shrink_a": [True, False]}
+    scores = variants.run_paired_grid(concept_features(spark, sf_dir), ROLES, PAIR_SOURCES, [axes], probe=None)["scores"]
+    plain = [F.when(~F.col("whiten"), F.col(c)).alias(c) for c in ("mean_l2_change", "mean_relative_change")]
+    return scores.select("fold", "source", "whiten", "moment", "shrink_a", "n_train", "n_test", "n_delta_fit", "n_delta_test", "map_trace", "erased_rank", "trace_a", "trace_b", *plain, "mean_raw_norm", "mean_raw_delta_norm", "residual_ratio")
+
+
+@query(VARIANTS + f"""
+, s AS (
+  SELECT each.fold, p.i, q.i AS j, count(*) AS n, covar_pop(p.v, q.v) AS s
+  FROM each JOIN x p ON p.fold <> each.fold JOIN x q ON q.vec_id = p.vec_id GROUP BY ALL),
+t AS (SELECT fold, sum(CASE WHEN i = j THEN s ELSE 0 END) AS t, sum(s * s) AS q FROM s GROUP BY fold),
+w AS (SELECT fold, t, 1 - (t * t * (t * t / {CONCEPT_DIM}) / max(n) + 1e-12) / (q * (t * t / {CONCEPT_DIM}) - (t * t / {CONCEPT_DIM}) ^ 2 + 1e-12) AS w FROM s JOIN t USING (fold) GROUP BY fold, t, q)
+SELECT fold, source, moment, shrink_a, shrink_b, lam, i, j,
+       round(CASE WHEN shrink_a THEN w * s + CASE WHEN i = j THEN (1 - w) * t / {CONCEPT_DIM} ELSE 0 END ELSE s * n / (n - 1) END + CASE WHEN i = j THEN 0.0001 ELSE 0 END, 6) + 0.0 AS m
+FROM s JOIN w USING (fold) CROSS JOIN (VALUES ('mean'), ('pairs')) AS o(source) CROSS JOIN (VALUES ('second_moment'), ('covariance')) AS k(moment)
+CROSS JOIN (VALUES (true), (false)) AS a(shrink_a) CROSS JOIN (VALUES (true), (false)) AS b(shrink_b) CROSS JOIN (VALUES (1.0::DOUBLE), (100.0::DOUBLE)) AS l(lam)
+""")
+def paired_grid_products(f, spark, sf_dir):
+    """P (A + lambda B) of the soft erasers of every pair, which is A."""
+    axes = {"method": "soft", "lambdas": [1.0, 100.0], "moment": ["second_moment", "covariance"], "shrink_a": [True, False], "shrink_b": [True, False]}
+    _, _, x, moments = variants.fold_moments(concept_features(spark, sf_dir), ROLES, PAIR_SOURCES, 5, list(range(5)))
+    out = []
+    for fold in range(5):
+        for v in variants.expand_variants(sorted(PAIR_SOURCES), [axes]):
+            pair = variants.Pair(x[fold], moments[v.source, fold, "train"], v)
+            a = pair.a + v.ridge * np.eye(CONCEPT_DIM)
+            cells = pair.eraser(v).dense() @ (a + v.lam * pair.b)
+            out += [(fold, v.source, v.moment, v.shrink_a, v.shrink_b, v.lam, i, j, float(c)) for (i, j), c in np.ndenumerate(cells)]
+    return spark.createDataFrame(out, "fold long, source string, moment string, shrink_a boolean, shrink_b boolean, lam double, i long, j long, m double")
+
+
+@query()
+def paired_grid_summary(f, spark, sf_dir):
+    """Means and deviations over folds of probed erasers: both methods, whitened or not, cut at ranks."""
+    erasers = [{"method": "pca", "ranks": [1, 2, 4], "whiten": [True, False]}, {"method": "soft", "lambdas": [1.0, 100.0], "ranks": [None, 2], "shrink_b": [False, True]}]
+    return variants.run_paired_grid(concept_features(spark, sf_dir), ROLES, PAIR_SOURCES, erasers)["summary"]
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
