@@ -526,7 +526,7 @@ def stain_pair_distances(f, spark, sf_dir):
 
 @query(_MATRICES + ", n AS (SELECT item_a, min(distance) AS nearest FROM (SELECT item_a, item_b, avg(distance) AS distance FROM d GROUP BY ALL) WHERE item_b IN (0, 1, 2) GROUP BY item_a) SELECT round(avg(nearest), 6) AS mean, round(quantile_cont(nearest, 0.5), 6) AS median, round(max(nearest), 6) AS max FROM n")
 def panel_coverage(f, spark, sf_dir):
-    return G.panel_coverage(G.pair_distances(_matrices(spark, sf_dir)), [0, 1, 2])
+    return G.panel_coverage(G.unit_panel(_matrices(spark, sf_dir)), [0, 1, 2])
 
 
 _DISPERSION = """
@@ -544,12 +544,30 @@ def dispersion_qc(f, spark, sf_dir):
     return A.leave_one_out_dispersion(_matrices(spark, sf_dir), "slide_id", "scanner_id")
 
 
+_PICKED = ", ".join(
+    f"p{k} AS (SELECT {k} AS place, item_b AS slide_id, round(min(distance), 9) AS distance FROM means WHERE item_a IN ({' UNION ALL '.join(f'SELECT slide_id FROM p{j}' for j in range(k))})"
+    f" AND item_b NOT IN ({' UNION ALL '.join(f'SELECT slide_id FROM p{j}' for j in range(k))}) GROUP BY item_b ORDER BY distance DESC, slide_id LIMIT 1)"
+    for k in range(1, 5)
+)
+
+
+@query(_MATRICES + f"""
+, means AS (SELECT item_a, item_b, avg(distance) AS distance FROM d GROUP BY ALL),
+p0 AS (SELECT 0 AS place, item_a AS slide_id, round(avg(distance), 9) AS distance FROM means GROUP BY item_a ORDER BY distance, slide_id LIMIT 1), {_PICKED}
+SELECT place::BIGINT AS place, slide_id, round(distance, 6) AS distance FROM ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(5))})
+""")
+def exemplar_panel(f, spark, sf_dir):
+    chosen = G.panel_exemplars(G.unit_panel(_matrices(spark, sf_dir)), 5)
+    return chosen.select("place", F.col("item").alias("slide_id"), "distance")
+
+
 @query()
 def exemplar_selection(f, spark, sf_dir):
-    ids, d = G.distance_matrix(G.pair_distances(_matrices(spark, sf_dir)))
-    chosen, plane = G.exemplars(ids, d, 5), G.classical_mds(d)
-    at = {n: i for i, n in enumerate(ids)}
-    return spark.createDataFrame([(k, int(n), *map(float, plane[at[n]])) for k, n in enumerate(chosen)], "place int, slide_id long, x double, y double")
+    """The exemplars with their places in the layout of the whole panel."""
+    panel = G.unit_panel(_matrices(spark, sf_dir))
+    chosen = G.panel_exemplars(panel, 5).select("place", "item")
+    placed = G.panel_layout(panel).join(F.broadcast(chosen), "item")
+    return placed.select("place", F.col("item").alias("slide_id"), F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
 
 
 # Names, JSON, images
