@@ -502,7 +502,8 @@ def token_pooling(f, spark, sf_dir):
 
 
 _MATRICES = """
-WITH m AS (SELECT vec_id // 5 AS slide_id, vec_id % 5 AS scanner_id, vec_id, embedding[1:3] AS h, embedding[4:6] AS e FROM embeddings),
+WITH m AS (SELECT vec_id // 5 AS slide_id, vec_id % 5 AS scanner_id, vec_id, embedding[1:3] AS h, embedding[4:6] AS e FROM embeddings
+  WHERE vec_id // 5 IN (SELECT vec_id // 5 FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 5) = 5)),
 u AS (
   SELECT slide_id, scanner_id, list_transform(h, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(h, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-12)) AS h,
          list_transform(e, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(e, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-12)) AS e FROM m),
@@ -519,14 +520,19 @@ def _matrices(spark, sf_dir):
     return t.select(F.floor(F.col("vec_id") / 5).alias("slide_id"), (F.col("vec_id") % 5).alias("scanner_id"), matrix.alias("matrix"))
 
 
+def _panel(spark, sf_dir):
+    """The matrices of slides that have one of every scanner: others have no distance."""
+    return K.complete_pairs(_matrices(spark, sf_dir), "scanner_id", "slide_id")
+
+
 @query(_MATRICES + "SELECT item_a, item_b, count(*)::BIGINT AS n, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std FROM d GROUP BY item_a, item_b")
 def stain_pair_distances(f, spark, sf_dir):
-    return G.pair_distances(_matrices(spark, sf_dir))
+    return G.pair_distances(_panel(spark, sf_dir))
 
 
 @query(_MATRICES + ", n AS (SELECT item_a, min(distance) AS nearest FROM (SELECT item_a, item_b, avg(distance) AS distance FROM d GROUP BY ALL) WHERE item_b IN (0, 1, 2) GROUP BY item_a) SELECT round(avg(nearest), 6) AS mean, round(quantile_cont(nearest, 0.5), 6) AS median, round(max(nearest), 6) AS max FROM n")
 def panel_coverage(f, spark, sf_dir):
-    return G.panel_coverage(G.unit_panel(_matrices(spark, sf_dir)), [0, 1, 2])
+    return G.panel_coverage(G.unit_panel(_panel(spark, sf_dir)), [0, 1, 2])
 
 
 _DISPERSION = """
@@ -557,14 +563,14 @@ p0 AS (SELECT 0 AS place, item_a AS slide_id, round(avg(distance), 9) AS distanc
 SELECT place::BIGINT AS place, slide_id, round(distance, 6) AS distance FROM ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(5))})
 """)
 def exemplar_panel(f, spark, sf_dir):
-    chosen = G.panel_exemplars(G.unit_panel(_matrices(spark, sf_dir)), 5)
+    chosen = G.panel_exemplars(G.unit_panel(_panel(spark, sf_dir)), 5)
     return chosen.select("place", F.col("item").alias("slide_id"), "distance")
 
 
 @query()
 def exemplar_selection(f, spark, sf_dir):
     """The exemplars with their places in the layout of the whole panel."""
-    panel = G.unit_panel(_matrices(spark, sf_dir))
+    panel = G.unit_panel(_panel(spark, sf_dir))
     chosen = G.panel_exemplars(panel, 5).select("place", "item")
     placed = G.panel_layout(panel).join(F.broadcast(chosen), "item")
     return placed.select("place", F.col("item").alias("slide_id"), F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
