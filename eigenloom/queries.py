@@ -29,7 +29,7 @@ from eigenloom.operators import stain as S
 from eigenloom.operators import summary as A
 from eigenloom.plans import concepts, experiments, grid, variants
 from eigenloom.roles import Roles, column_or_default, require_columns
-from eigenloom.session import delete_at_exit, new_table_path
+from eigenloom.session import delete_at_exit, new_table_path, release
 from eigenloom.sources import tables as T
 from eigenloom.sources.artifacts import load_maps, rows_frame, save_maps
 from eigenloom.streaming.moments import event_windows
@@ -1294,7 +1294,9 @@ CROSS JOIN (VALUES (true), (false)) AS a(shrink_a) CROSS JOIN (VALUES (true), (f
 def paired_grid_products(f, spark, sf_dir):
     """P (A + lambda B) of the soft erasers of every pair, which is A."""
     axes = {"method": "soft", "lambdas": [1.0, 100.0], "moment": ["second_moment", "covariance"], "shrink_a": [True, False], "shrink_b": [True, False]}
-    _, _, x, moments = variants.fold_moments(concept_features(spark, sf_dir), ROLES, PAIR_SOURCES, 5, list(range(5)))
+    *written, x, moments = variants.fold_moments(concept_features(spark, sf_dir), ROLES, PAIR_SOURCES, 5, list(range(5)))
+    for table in written:
+        release(table)
     out = []
     for fold in range(5):
         for v in variants.expand_variants(sorted(PAIR_SOURCES), [axes]):
