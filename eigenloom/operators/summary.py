@@ -69,16 +69,18 @@ def median_reference(df: DataFrame, mean: str, std: str, fraction: str | None =
 def leave_one_out_dispersion(matrices: DataFrame, item: str, domain: str, matrix: str = "matrix") -> DataFrame:
     """(item, mean, max, std, flagged): distance of each domain's matrix to the normalised mean of the item's others.
 
-    Flagged from the 90th percentile of means on. An item has one small matrix a domain.
+    Flagged from the 90th percentile of means on. An item has one small matrix a domain;
+    an item's only matrix has no others to be apart from, its distance is 0.
     """
     from eigenloom.operators.geometry import matrix_distance
 
     flat = matrices.withColumn("flat", V.vec(F.flatten(F.col(matrix))))
     whole = Window.partitionBy(item)
     d = 6
-    others = flat.withColumn("others", F.array(*[(F.sum(F.get("flat", F.lit(k))).over(whole) - F.get("flat", F.lit(k))) / (F.count("*").over(whole) - 1) for k in range(d)]))
+    n = F.count("*").over(whole)
+    others = flat.withColumn("n", n).withColumn("others", F.array(*[(F.sum(F.get("flat", F.lit(k))).over(whole) - F.get("flat", F.lit(k))) / F.greatest(n - 1, F.lit(1)) for k in range(d)]))
     rows = lambda c: F.array(F.slice(c, 1, 3), F.slice(c, 4, 3))
-    distances = others.withColumn("distance", matrix_distance(rows("flat"), rows("others")))
+    distances = others.withColumn("distance", F.when(F.col("n") > 1, matrix_distance(rows("flat"), rows("others"))).otherwise(0.0))
     stats = distances.groupBy(item).agg(F.avg("distance").alias("mean"), F.max("distance").alias("max"), F.stddev_pop("distance").alias("std"))
     limit = stats.agg(F.percentile("mean", F.lit(0.9)).alias("limit"))
     return stats.join(F.broadcast(limit)).select(item, "mean", "max", "std", (F.col("mean") >= F.col("limit")).alias("flagged"))
