@@ -39,3 +39,7 @@ def test_dispersion_of_an_item_with_one_matrix(spark, cut):
 @pytest.mark.parametrize("name", ["pair_to_mean_deltas", "duplicate_domain_deltas", "source_sizes", "group_to_mean_deltas", "full_rank_pca_energy"])
 def test_deltas_of_a_group_with_one_domain(spark, cut, name):
     same_as_sql(spark, cut(476), name)
+
+
+def test_matrices_that_no_row_asks_for_are_not_absent(spark, cut):
+    same_as_sql(spark, cut(478), "absent_matrices")
