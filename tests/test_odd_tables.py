@@ -43,3 +43,7 @@ def test_deltas_of_a_group_with_one_domain(spark, cut, name):
 
 def test_matrices_that_no_row_asks_for_are_not_absent(spark, cut):
     same_as_sql(spark, cut(478), "absent_matrices")
+
+
+def test_mixtures_of_a_group_that_lacks_domains(spark, cut):
+    same_as_sql(spark, cut(478), "synthetic_domains")
