@@ -189,9 +189,9 @@ def _norms_left(norms: DataFrame) -> DataFrame:
     return norms.groupBy("node").agg(F.count("*").alias("n_delta_test"), F.avg("before").alias("mean_raw_delta_norm"), F.avg("after").alias("mean_projected_delta_norm"), V.guarded_ratio(b, a).alias("residual_ratio"), F.avg(ratio).alias("mean_norm_ratio"), F.percentile_approx(ratio, 0.5, MEDIAN_ACCURACY).alias("median_norm_ratio"))
 
 
-def fold_moments(features: DataFrame, roles: Roles, sources: dict[str, dict], n_splits: int, folds: list[int], seed: int = 0) -> tuple[DataFrame, DataFrame, dict[int, Moments], dict[tuple[str, int, str], Moments]]:
+def fold_moments(features: DataFrame, roles: Roles, sources: dict[str, dict], n_splits: int, folds: list[int], seed: int = 0, folds_by_size: bool = True) -> tuple[DataFrame, DataFrame, dict[int, Moments], dict[tuple[str, int, str], Moments]]:
     """Rows with folds and all deltas as written tables, moments of each fold's training features, and of its sources by split."""
-    rows = materialise(with_folds(features, roles.group, n_splits), "variant-rows")
+    rows = materialise(with_folds(features, roles.group, n_splits, folds_by_size), "variant-rows")
     by_fold = {int(f): m for f, m in collect_moments(rows, roles.vector, "fold").items()}
     d = len(next(iter(by_fold.values())).mean)
     deltas = materialise(variant_deltas(rows, roles, sources, n_splits, seed), "variant-deltas")
@@ -200,18 +200,18 @@ def fold_moments(features: DataFrame, roles: Roles, sources: dict[str, dict], n_
     return rows, deltas, x, nothing | source_moments(deltas, folds, d)
 
 
-def run_paired_grid(features: DataFrame, roles: Roles, sources: dict[str, dict], erasers: list[dict], *, label: str | None = None, n_splits: int = 5, folds: list[int] | None = None, probe: str | None = "sgd", seed: int = 0) -> dict[str, DataFrame]:
+def run_paired_grid(features: DataFrame, roles: Roles, sources: dict[str, dict], erasers: list[dict], *, label: str | None = None, n_splits: int = 5, folds: list[int] | None = None, probe: str | None = "sgd", folds_by_size: bool = True, seed: int = 0) -> dict[str, DataFrame]:
     """Every variant of every source over folds: tables ``scores`` (a row a fold and variant) and ``summary`` (over folds).
 
     ``sources`` are delta configurations by name, as ``variant_deltas`` takes them;
     ``erasers`` as ``expand_variants``. A source without training deltas in a fold has no
     rows there; without test deltas its columns of deltas are null. ``probe`` is ``sgd``,
-    ``sgd_safe`` or None.
+    ``sgd_safe`` or None; ``folds_by_size`` is of ``group_folds``.
     """
     spark, label = features.sparkSession, label or roles.domain
     wanted = list(folds) if folds is not None else list(range(n_splits))
     variants = expand_variants(sorted(sources), erasers)
-    rows, deltas, x, moments = fold_moments(features, roles, sources, n_splits, wanted, seed)
+    rows, deltas, x, moments = fold_moments(features, roles, sources, n_splits, wanted, seed, folds_by_size)
     d = len(x[wanted[0]].mean)
     test_rows = rows.filter(F.col("fold").isin(wanted))
     tested = deltas.filter(F.col("fold").isin(wanted) & (F.col("split").isNull() | (F.col("split") == "test")))

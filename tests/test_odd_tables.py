@@ -47,3 +47,8 @@ def test_matrices_that_no_row_asks_for_are_not_absent(spark, cut):
 
 def test_mixtures_of_a_group_that_lacks_domains(spark, cut):
     same_as_sql(spark, cut(478), "synthetic_domains")
+
+
+@pytest.mark.parametrize("name", ["fold_assignment", "concept_chains", "concept_moments", "concept_stages", "paired_grid", "sgd_separable"])
+def test_folds_where_the_last_group_is_short(spark, cut, name):
+    same_as_sql(spark, cut(478), name)
