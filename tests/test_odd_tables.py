@@ -52,3 +52,9 @@ def test_mixtures_of_a_group_that_lacks_domains(spark, cut):
 @pytest.mark.parametrize("name", ["fold_assignment", "concept_chains", "concept_moments", "concept_stages", "paired_grid", "sgd_separable"])
 def test_folds_where_the_last_group_is_short(spark, cut, name):
     same_as_sql(spark, cut(478), name)
+
+
+def test_means_that_end_in_a_five_at_the_seventh_place(spark):
+    """0.137 (k + 1) (1 + vec_id % 3) over the rows of fold 3 and k of 0 to 3 has the mean 0.6867125."""
+    got = queries.queries()["concept_deltas"](spark, "/root/testdata/sf0.1").filter("fold = 3 AND source = 'stain.target'").collect()
+    assert len(got) == 6 and {r.mean_raw_norm for r in got} == {0.686713}
