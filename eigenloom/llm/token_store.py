@@ -213,11 +213,11 @@ def read_documents(spark, path: str) -> DataFrame:
     return each.select("d.doc_id", (F.col("start") + F.col("d.rel")).alias("start"), "d.n_tokens", "d.ids_crc32")
 
 
-@F.udf(LongType())
-def _last_doc(doc_ids):
+@F.pandas_udf(LongType())
+def _last_doc(doc_ids: pd.Series) -> pd.Series:
     """How far a chunk's last document id is from its first."""
-    gaps = EliasFano.from_bytes(bytes(doc_ids))
-    return gaps.select(len(gaps) - 1)
+    found = (EliasFano.from_bytes(data) for data in doc_ids)
+    return pd.Series([gaps.select(len(gaps) - 1) for gaps in found], dtype="int64")
 
 
 def _first_at_least(sequence: EliasFano, value: int) -> int:
@@ -232,18 +232,29 @@ def _first_at_least(sequence: EliasFano, value: int) -> int:
     return low
 
 
-@F.udf(ArrayType(_DOCUMENT))
-def _looked_up(first_doc, width, ids, ends, doc_ids, wanted):
-    """The wanted documents of one chunk; offsets are read by ``select``, and only their ids."""
-    stops, gaps, out = EliasFano.from_bytes(bytes(ends)), EliasFano.from_bytes(bytes(doc_ids)), []
-    for doc in wanted:
-        place = _first_at_least(gaps, doc - first_doc)
-        while place < len(gaps) and gaps.select(place) == doc - first_doc:
-            start, stop = (stops.select(place - 1) if place else 0), stops.select(place)
-            own = np.frombuffer(ids, f"<u{width}", count=stop - start, offset=width * start)
-            out.append((doc, start, stop - start, zlib.crc32(own.astype("<u4").tobytes())))
-            place += 1
-    return out
+_PLACE = StructType(_DOCUMENT.fields[:3])
+
+
+@F.pandas_udf(ArrayType(_PLACE))
+def _places(first_doc: pd.Series, ends: pd.Series, doc_ids: pd.Series, wanted: pd.Series) -> pd.Series:
+    """Where the wanted documents of a chunk are among its ids; offsets are read by ``select``."""
+    out = []
+    for first, stops, gaps, docs in zip(first_doc.tolist(), map(EliasFano.from_bytes, ends), map(EliasFano.from_bytes, doc_ids), wanted, strict=True):
+        own = []
+        for doc in docs.tolist():
+            place = _first_at_least(gaps, doc - first)
+            while place < len(gaps) and gaps.select(place) == doc - first:
+                start, stop = (stops.select(place - 1) if place else 0), stops.select(place)
+                own.append({"doc_id": doc, "rel": start, "n_tokens": stop - start})
+                place += 1
+        out.append(own)
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(LongType())
+def _ids_crc32(ids: pd.Series, width: pd.Series) -> pd.Series:
+    """CRC-32 of a document's ids as four bytes each."""
+    return pd.Series([zlib.crc32(np.frombuffer(own, f"<u{w}").astype("<u4").tobytes()) for own, w in zip(ids, width, strict=True)], dtype="int64")
 
 
 #: Wanted ids that are looked up in a chunk at once; bounds the arrays of a hot chunk.
@@ -254,7 +265,9 @@ def lookup(spark, path: str, wanted: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents of a store whose ids are in ``wanted`` (doc_id).
 
     Chunks are ranges of ids, so a wanted id is joined to the few chunks whose range
-    has it: ids and ranges meet by the blocks of ids that they touch.
+    has it: ids and ranges meet by the blocks of ids that they touch. Places are found
+    from offsets alone, and a chunk's ids are cut before Python sees them: a worker
+    never holds a whole chunk.
     """
     chunks = open_store(spark, path).filter("has_ids")
     ends = chunks.select("part", "chunk", "first_doc", _last_doc("doc_ids").alias("reach")).withColumn("last_doc", F.col("first_doc") + F.col("reach"))
@@ -265,5 +278,9 @@ def lookup(spark, path: str, wanted: DataFrame) -> DataFrame:
     ranges = ends.withColumn("block", F.explode(F.sequence(F.floor(F.col("first_doc") / block).cast("long"), F.floor(F.col("last_doc") / block).cast("long"))))
     met = own.join(ranges, "block").filter("doc_id BETWEEN first_doc AND last_doc")
     lists = met.groupBy("part", "chunk", F.floor(F.col("doc_id") / LOOKUP_IDS).alias("set")).agg(F.sort_array(F.collect_list("doc_id")).alias("wanted"))
-    found = lists.join(chunks, ["part", "chunk"]).select("start", F.explode(_looked_up("first_doc", "width", "ids", "ends", "doc_ids", "wanted")).alias("d"))
-    return found.select("d.doc_id", (F.col("start") + F.col("d.rel")).alias("start"), "d.n_tokens", "d.ids_crc32")
+    placed = lists.join(chunks.select("part", "chunk", "start", "first_doc", "width", "ends", "doc_ids"), ["part", "chunk"])
+    placed = placed.select("part", "chunk", "start", "width", _places("first_doc", "ends", "doc_ids", "wanted").alias("places"))
+    ids = spark.read.schema(STORE_SCHEMA).parquet(path).select("part", "chunk", "ids")
+    cut = F.transform("places", lambda p: p.withField("ids", F.substring("ids", (F.col("width") * p["rel"] + 1).cast("int"), (F.col("width") * p["n_tokens"]).cast("int"))))
+    found = placed.join(ids, ["part", "chunk"]).select("start", "width", F.explode(cut).alias("d"))
+    return found.select("d.doc_id", (F.col("start") + F.col("d.rel")).alias("start"), "d.n_tokens", _ids_crc32("d.ids", "width").alias("ids_crc32"))

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -121,6 +122,17 @@ def test_lookups_equal_whole_reads(spark):
     assert token_store.lookup(spark, path + "-empty", spark.createDataFrame([(1,)], "doc_id long")).collect() == []
 
 
+def test_lookups_hand_python_no_whole_chunk(spark):
+    docs = spark.createDataFrame([(k, prose(k, 40)) for k in range(90)], "doc_id long, text string")
+    path = new_table_path(spark, "store")
+    token_store.write_store(docs, path, PATH, chunk_ids=200)
+    found = token_store.lookup(spark, path, docs.select("doc_id").filter("doc_id % 7 = 0"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    calls = re.findall(r"EvalPython \[(\w+)\(([^)]*)\)", plan)
+    assert calls and not [c for c in calls if re.search(r"\bids#", c[1])]
+    assert sorted(r.doc_id for r in found.collect()) == list(range(0, 90, 7))
+
+
 def test_cache_is_asked_before_texts_move(spark):
     docs = odd_documents(spark)
     half = docs.filter("doc_id < 6")
