@@ -1,6 +1,7 @@
 """Grids over two concepts and the stacked probes against plain loops."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,16 @@ def test_adversarial_rounds_against_one_task(spark):
         rlace_eraser(df.filter("y = 1"), "x", "y")
 
 
+def test_a_worker_is_handed_one_shard_at_a_time(spark):
+    def most(batches):
+        yield pd.DataFrame({"state": [np.array([max(map(len, batches))], float).tobytes()]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert sgd._summed(spark.range(6).coalesce(1).mapInPandas(most, "state binary"), 1, 1)[0] == 1
+    assert spark.conf.get(key) == before
+
+
 def test_an_epoch_whose_losses_do_not_count_makes_the_same_weights():
     rng = np.random.default_rng(5)
     x, y = rng.standard_normal((130, 4)), rng.integers(0, 3, 130).astype(np.int32)
