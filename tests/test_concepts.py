@@ -208,6 +208,14 @@ def test_a_worker_is_handed_one_shard_at_a_time(spark):
     assert spark.conf.get(key) == before
 
 
+def test_rows_under_many_views_are_held_in_small_parts(monkeypatch):
+    held, seen = [], sgd._seen
+    monkeypatch.setattr(sgd, "_seen", lambda *a: held.append(seen(*a)) or held[-1])
+    x, y = np.random.default_rng(0).standard_normal((4096, 64)), np.arange(4096) % 3
+    sgd.local_epoch(x, y, np.stack([np.eye(64)] * 20), np.zeros((20, 64)), np.zeros((20, 3, 65)), np.ones((20, 3)), 0.01, 1e-4)
+    assert sum(z.shape[1] for z in held) == 4096 and max(z.nbytes for z in held) <= 9 << 20
+
+
 def test_an_epoch_whose_losses_do_not_count_makes_the_same_weights():
     rng = np.random.default_rng(5)
     x, y = rng.standard_normal((130, 4)), rng.integers(0, 3, 130).astype(np.int32)
