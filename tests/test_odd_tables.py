@@ -3,6 +3,8 @@
 import pytest
 
 from eigenloom import queries
+from eigenloom.operators import deltas as D
+from eigenloom.roles import Roles
 
 from .checks import duck, rows_of
 
@@ -49,6 +51,21 @@ def test_mixtures_of_a_group_that_lacks_domains(spark, cut):
     same_as_sql(spark, cut(478), "synthetic_domains")
 
 
+@pytest.mark.parametrize("rows", [476, 478, 500])
+def test_every_group_has_a_delta_of_each_domain(spark, cut, rows):
+    same_as_sql(spark, cut(rows), "low_rank_hard_map")
+
+
+def test_deltas_of_domains_that_a_group_lacks_are_zero_and_change_no_other(spark):
+    rows = spark.createDataFrame([(1, "A", [1.0, 2.0]), (1, "B", [4.0, 0.0]), (2, "C", [5.0, 5.0]), (3, "A", [0.0, 1.0]), (3, "B", [1.0, 3.0]), (3, "C", [2.0, 2.0])], "g long, d string, x array<double>")
+    roles = Roles(domain="d", group="g", vector="x")
+    of = lambda **options: {(r.g, r.domain_a): r.delta for r in D.domain_deltas(rows, roles, least=1, **options).collect()}
+    plain, filled = of(), of(domains=["A", "B", "C"])
+    assert len(plain) == 6 and filled == plain | {(1, "C"): [0.0, 0.0], (2, "A"): [0.0, 0.0], (2, "B"): [0.0, 0.0]}
+    with pytest.raises(ValueError, match="to a mean only"):
+        of(mode="group_pairwise", domains=["A"])
+
+
 @pytest.mark.parametrize("name", ["fold_assignment", "concept_chains", "concept_moments", "concept_stages", "paired_grid", "sgd_separable"])
 def test_folds_where_the_last_group_is_short(spark, cut, name):
     same_as_sql(spark, cut(478), name)
